@@ -86,3 +86,26 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 def lower_ascii(col: Column) -> Column:
     """Lower-case A to Z only."""
     return F.translate(col, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def tiled(filed: DataFrame, tile: int) -> DataFrame:
+    """Deal rows ``key, id, ...`` that share a key to tasks that compare them.
+
+    Keys of one row are dropped.  Keys of up to ``tile`` rows are one unit; larger
+    ones are cut into tiles by hashed id, and each pair of tiles is a unit, so no
+    unit holds more than about two tiles.  Adds ``t, u`` (the unit within the key)
+    and ``side`` (0: compare all, 1 and 2: compare with the other side only), and
+    partitions and sorts by key, t, u.
+    """
+    rest = [c for c in filed.columns if c != "key"]
+    sizes = filed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key", F.ceil(F.col("n") / tile).cast("int").alias("tiles"))
+    filed = filed.join(sizes, "key")
+    mine = F.pmod(F.xxhash64("id", "key"), F.col("tiles")).cast("int")
+    zero = F.lit(0)
+    one = filed.where("tiles = 1").select("key", zero.alias("t"), zero.alias("u"), zero.alias("side"), *rest)
+    many = (
+        filed.where("tiles > 1")
+        .select("key", mine.alias("m"), F.explode(F.sequence(zero, F.col("tiles") - 1)).alias("o"), *rest)
+        .select("key", F.least("m", "o").alias("t"), F.greatest("m", "o").alias("u"), F.when(F.col("m") == F.col("o"), 0).when(F.col("m") < F.col("o"), 1).otherwise(2).alias("side"), *rest)
+    )
+    return one.unionByName(many).repartition("key", "t", "u").sortWithinPartitions("key", "t", "u")

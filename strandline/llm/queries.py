@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strandline.llm import ann, decontaminate, langid, packing, quality, simhash, warc
+from strandline.llm import ann, decontaminate, langid, packing, paragraphs, quality, simhash, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,6 +37,10 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.report(table(spark, sf_dir, "documents"))
 
 
+def op9_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return paragraphs.report(table(spark, sf_dir, "documents"))
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -48,6 +52,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_warc": op6_warc,
     "op7_quality": op7_quality,
     "op8_simhash": op8_simhash,
+    "op9_paragraphs": op9_paragraphs,
     "op10_decontamination": op10_decontamination,
 }
 

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.common import components, written
+from strandline.llm.common import components, tiled, written
 
 SHINGLE = 3
 SEED = 42
@@ -155,18 +155,7 @@ def near_links(distinct_fps: DataFrame, radius: int = RADIUS, tile: int = TILE)
     keys = [
         (F.lit((5 * i + j) << 26) + F.shiftleft(part[i], 13) + part[j]).cast("long") for i in range(5) for j in range(i + 1, 5)
     ]
-    filed = distinct_fps.select("fp", F.explode(F.array(*keys)).alias("key"))
-    sizes = filed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key", F.ceil(F.col("n") / tile).cast("int").alias("tiles"))
-    filed = filed.join(sizes, "key")
-    mine = F.pmod(F.xxhash64("fp", "key"), F.col("tiles")).cast("int")
-    one = filed.where("tiles = 1").select("key", F.lit(0).alias("t"), F.lit(0).alias("u"), F.lit(0).alias("side"), "fp")
-    many = (
-        filed.where("tiles > 1")
-        .select("key", "fp", mine.alias("m"), F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("o"))
-        .select("key", F.least("m", "o").alias("t"), F.greatest("m", "o").alias("u"), F.when(F.col("m") == F.col("o"), 0).when(F.col("m") < F.col("o"), 1).otherwise(2).alias("side"), "fp")
-    )
-    dealt = one.unionByName(many)
-    dealt = dealt.repartition("key", "t", "u").sortWithinPartitions("key", "t", "u")
+    dealt = tiled(distinct_fps.select(F.explode(F.array(*keys)).alias("key"), F.col("fp").alias("id")), tile)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: list[np.ndarray] | None = None
