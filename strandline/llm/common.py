@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 #: Used only where the session names no shared folder, as in tests on one machine.
 LOCAL_CHECKPOINTS = "/tmp/checkpoints/strandline"
+#: Bits of the bitmap of :func:`maybe_in` (2 MB).
+FILTER_BITS = 1 << 24
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -109,3 +111,23 @@ def tiled(filed: DataFrame, tile: int) -> DataFrame:
         .select("key", F.least("m", "o").alias("t"), F.greatest("m", "o").alias("u"), F.when(F.col("m") == F.col("o"), 0).when(F.col("m") < F.col("o"), 1).otherwise(2).alias("side"), *rest)
     )
     return one.unionByName(many).repartition("key", "t", "u").sortWithinPartitions("key", "t", "u")
+
+
+def maybe_in(rows: DataFrame, ids: DataFrame, on: str = "id") -> DataFrame:
+    """Rows whose long column ``on`` may be among those of ``ids``; some others pass, none is lost.
+
+    A test against a broadcast bitmap of fixed size keeps most other rows out of the shuffle of the exact join that follows.
+    """
+    spot = (F.pmod(F.xxhash64(on), F.lit(FILTER_BITS)) + 1).alias("spot")
+    bits = (
+        ids.select(spot)
+        .groupBy(F.bitmap_bucket_number("spot").alias("bucket"))
+        .agg(F.bitmap_construct_agg(F.bitmap_bit_position("spot")).alias("bits"))
+    )
+    # At most FILTER_BITS / 32768 rows of 4 KB.
+    rows = rows.withColumn("spot", F.pmod(F.xxhash64(on), F.lit(FILTER_BITS)) + 1)
+    rows = rows.join(F.broadcast(bits), F.bitmap_bucket_number("spot") == F.col("bucket"))
+    at = F.bitmap_bit_position("spot")
+    byte = F.conv(F.hex(F.substring(F.col("bits"), F.shiftright(at, 3).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    rows = rows.withColumn("__byte", byte).withColumn("__pos", (at % 8).cast("int")).where("(shiftright(__byte, __pos) & 1) = 1")
+    return rows.drop("__byte", "__pos", "spot", "bucket", "bits")
