@@ -113,21 +113,29 @@ def tiled(filed: DataFrame, tile: int) -> DataFrame:
     return one.unionByName(many).repartition("key", "t", "u").sortWithinPartitions("key", "t", "u")
 
 
-def maybe_in(rows: DataFrame, ids: DataFrame, on: str = "id") -> DataFrame:
-    """Rows whose long column ``on`` may be among those of ``ids``; some others pass, none is lost.
+def with_maybe(rows: DataFrame, ids: DataFrame, on: str, flag: str) -> DataFrame:
+    """``rows`` with ``flag``: false only if the long column ``on`` surely isn't among those of ``ids``.
 
-    A test against a broadcast bitmap of fixed size keeps most other rows out of the shuffle of the exact join that follows.
+    A test against a broadcast bitmap of hashed ids, of fixed size.
     """
-    spot = (F.pmod(F.xxhash64(on), F.lit(FILTER_BITS)) + 1).alias("spot")
+    spot = F.pmod(F.xxhash64(on), F.lit(FILTER_BITS)) + 1
     bits = (
-        ids.select(spot)
-        .groupBy(F.bitmap_bucket_number("spot").alias("bucket"))
-        .agg(F.bitmap_construct_agg(F.bitmap_bit_position("spot")).alias("bits"))
+        ids.select(spot.alias("__spot"))
+        .groupBy(F.bitmap_bucket_number("__spot").alias("__bucket"))
+        .agg(F.bitmap_construct_agg(F.bitmap_bit_position("__spot")).alias("__bits"))
     )
+    rows = rows.withColumn("__spot", spot)
     # At most FILTER_BITS / 32768 rows of 4 KB.
-    rows = rows.withColumn("spot", F.pmod(F.xxhash64(on), F.lit(FILTER_BITS)) + 1)
-    rows = rows.join(F.broadcast(bits), F.bitmap_bucket_number("spot") == F.col("bucket"))
-    at = F.bitmap_bit_position("spot")
-    byte = F.conv(F.hex(F.substring(F.col("bits"), F.shiftright(at, 3).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    rows = rows.withColumn("__byte", byte).withColumn("__pos", (at % 8).cast("int")).where("(shiftright(__byte, __pos) & 1) = 1")
-    return rows.drop("__byte", "__pos", "spot", "bucket", "bits")
+    rows = rows.join(F.broadcast(bits), F.bitmap_bucket_number("__spot") == F.col("__bucket"), "left")
+    at = F.bitmap_bit_position("__spot")
+    byte = F.conv(F.hex(F.substring(F.col("__bits"), F.shiftright(at, 3).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    rows = rows.withColumn("__byte", byte).withColumn("__pos", (at % 8).cast("int"))
+    return rows.withColumn(flag, F.expr("coalesce((shiftright(__byte, __pos) & 1) = 1, false)")).drop("__byte", "__pos", "__spot", "__bucket", "__bits")
+
+
+def maybe_in(rows: DataFrame, ids: DataFrame, on: str = "id") -> DataFrame:
+    """Rows whose long column ``on`` may be among those of ``ids``; some others pass, none is lost.
+
+    It keeps most other rows out of the shuffle of the exact join that follows.
+    """
+    return with_maybe(rows, ids, on, "__maybe").where("__maybe").drop("__maybe")
