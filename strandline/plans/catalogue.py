@@ -1,6 +1,302 @@
-"""Registered queries over the driver tables, with the SQL that states each."""
+"""Registered queries over the driver tables, and the SQL that states each of them independently."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from strandline.functions import names as fn
+from strandline.operators import analytics as an
+from strandline.operators import classify as cl
+from strandline.operators import documents as dc
+from strandline.operators import features as ft
+from strandline.operators import geography as ge
+from strandline.operators import merge as mg
+from strandline.operators import quality as qu
+from strandline.operators import search as se
+from strandline.operators import timeline as tl
+from strandline.sources import sinks
+from strandline.sources.panel import driver_observations
+from strandline.streaming import limits
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/{name}.parquet")
+
+
+def _obs(spark: SparkSession, sf: str) -> DataFrame:
+    return driver_observations(spark, sf)
+
+
+def _companies(spark: SparkSession, sf: str) -> DataFrame:
+    return tl.company_rollup(_obs(spark, sf))
+
+
+def _dates(spark: SparkSession, sf: str) -> DataFrame:
+    return tl.filing_dates(tl.filled(_obs(spark, sf))).select("cik", F.date_format("fdate", "yyyy-MM-dd").alias("fdate"))
+
+
+def _subs(spark: SparkSession, sf: str) -> DataFrame:
+    """Children; the driver tables hold no enrichment, so the flag is made from the name's length."""
+    return tl.child_timeline(_obs(spark, sf)).withColumn("enriched", (F.length("sub_name") % 2).cast("int"))
+
+
+def _typed(spark: SparkSession, sf: str) -> DataFrame:
+    return cl.classify(_subs(spark, sf), _companies(spark, sf))
+
+
+def _enrichments(spark: SparkSession, sf: str) -> DataFrame:
+    e = _table(spark, sf, "events")
+    return e.select("event_id", F.col("user_id").alias("sub_id"), F.col("event_type").alias("source_type"), F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("searched_at"), "value")
+
+
+def _page_names(spark: SparkSession, sf: str) -> DataFrame:
+    return _table(spark, sf, "pages").select("page_id", F.col("html").alias("name"))
+
+
+def _strings(words: tuple[str, ...]) -> str:
+    return ", ".join("'" + w.replace("'", "''") + "'" for w in words)
+
+
+def register(name: str, query: Query, sql: str | None = None) -> None:
+    QUERIES[name] = query
+    if sql is not None:
+        ORACLE_SQL[name] = sql
+
+
+# The panel in SQL: observations, made-up rows, children, companies.
+PANEL = """
+WITH obs0 AS (
+  SELECT DISTINCT CAST(l_suppkey AS VARCHAR) AS cik, CAST(date_trunc('year', l_shipdate) AS DATE) AS fdate, s_name AS comp_name,
+    CASE CAST(p_size % 8 AS INT)
+      WHEN 0 THEN p_brand || ' LLC' WHEN 1 THEN 'S' || CAST(l_suppkey AS VARCHAR) || p_brand || ' Inc' WHEN 2 THEN p_brand || ' Pty Ltd'
+      WHEN 3 THEN 'S' || CAST(l_suppkey AS VARCHAR) || p_brand || ' Canada' WHEN 4 THEN p_brand || ' B.V.'
+      WHEN 5 THEN s_name || ' ' || p_brand || ' Holdings' WHEN 6 THEN p_brand || ' Funding Trust' ELSE p_brand || ' Joint Venture' END AS sub_name
+  FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey),
+obs AS (SELECT *, lower(trim(sub_name)) AS sub_norm FROM obs0),
+present AS (SELECT DISTINCT cik, sub_norm, CAST(year(fdate) AS BIGINT) AS y FROM obs),
+info AS (SELECT cik, sub_norm, min(comp_name) AS comp_name, min(sub_name) AS sub_name FROM obs GROUP BY ALL),
+fill AS (
+  SELECT a.cik, make_date(CAST(a.y + 1 AS BIGINT), 6, 30) AS fdate, i.comp_name, i.sub_name, a.sub_norm
+  FROM present a JOIN present b ON a.cik = b.cik AND a.sub_norm = b.sub_norm AND b.y = a.y + 2 JOIN info i ON a.cik = i.cik AND a.sub_norm = i.sub_norm
+  WHERE NOT EXISTS (SELECT 1 FROM present c WHERE c.cik = a.cik AND c.sub_norm = a.sub_norm AND c.y = a.y + 1)
+    AND EXISTS (SELECT 1 FROM present d WHERE d.cik = a.cik AND d.y = a.y + 1)),
+allobs AS (SELECT cik, fdate, comp_name, sub_name, sub_norm FROM obs UNION ALL SELECT * FROM fill),
+dates0 AS (SELECT DISTINCT cik, fdate FROM allobs),
+dates AS (SELECT cik, strftime(fdate, '%Y-%m-%d') AS fdate FROM dates0),
+span AS (SELECT cik, sub_norm, min(sub_name) AS sub_name, min(fdate) AS f, max(fdate) AS l FROM allobs GROUP BY ALL),
+near AS (
+  SELECT s.*, (SELECT max(d.fdate) FROM dates0 d WHERE d.cik = s.cik AND d.fdate < s.f) AS p, (SELECT min(d.fdate) FROM dates0 d WHERE d.cik = s.cik AND d.fdate > s.l) AS n
+  FROM span s),
+subs AS (
+  SELECT cik, sub_norm, sub_name, CAST(f AS VARCHAR) AS first_seen, CAST(l AS VARCHAR) AS last_seen,
+    CASE WHEN p IS NULL THEN 'On or before ' || CAST(f AS VARCHAR) ELSE 'Between ' || CAST(p AS VARCHAR) || ' and ' || CAST(f AS VARCHAR) END AS time_in,
+    CASE WHEN n IS NULL THEN 'Active as of ' || CAST(l AS VARCHAR) ELSE 'Between ' || CAST(l AS VARCHAR) || ' and ' || CAST(n AS VARCHAR) END AS time_out,
+    CASE WHEN regexp_matches(upper(sub_name), ' (LLC|INC|LTD|B\\.V\\.)$') OR p IS NOT NULL THEN 'HIGH' ELSE 'MEDIUM' END AS confidence,
+    CAST(length(sub_name) % 2 AS INTEGER) AS enriched, time_out LIKE 'Active%' AS act
+  FROM near),
+companies AS (
+  SELECT c.cik, company_name, num_filings, first_filing, last_filing, num_subsidiaries
+  FROM (SELECT cik, min(comp_name) AS company_name, count(DISTINCT sub_norm) AS num_subsidiaries FROM allobs GROUP BY cik) c
+  JOIN (SELECT cik, count(*) AS num_filings, CAST(min(fdate) AS VARCHAR) AS first_filing, CAST(max(fdate) AS VARCHAR) AS last_filing FROM dates0 GROUP BY cik) d ON c.cik = d.cik)
+"""
+
+_NOISE = _strings(fn.TYPE_NOISE_WORDS)
+_WORDS = "list_filter(list_transform(string_split_regex(lower(trim({0})), '\\s+'), lambda w: trim(w, '.,()')), lambda w: length(w) > 1 AND w NOT IN ({1}))"
+_ANY = lambda c, ws: "(" + " OR ".join(f"contains({c}, '{w}')" for w in ws) + ")"
+
+# The type rules in SQL, on top of the panel.
+TYPED = (
+    PANEL
+    + f""",
+shared AS (SELECT DISTINCT lower(trim(sub_name)) AS k FROM (SELECT sub_name FROM subs GROUP BY sub_name HAVING count(DISTINCT cik) > 1)),
+brands AS (SELECT b FROM (SELECT lower(string_split(sub_name, ' ')[1]) AS b, cik FROM subs WHERE length(sub_name) > 3) WHERE length(b) >= 5 GROUP BY b HAVING count(DISTINCT cik) > 1),
+batches AS (SELECT cik, first_seen, count(*) AS batch_size FROM subs GROUP BY ALL),
+w0 AS (
+  SELECT s.*, c.company_name, c.first_filing, t.batch_size, s.sub_norm IN (SELECT k FROM shared)
+      OR (string_split(s.sub_norm, ' ')[1] IN (SELECT b FROM brands) AND string_split(s.sub_norm, ' ')[1] NOT IN ({_strings(cl.COMMON_BRANDS)})) AS cross_parent,
+    {_WORDS.format("sub_name", _NOISE)} AS sw, {_WORDS.format("company_name", _NOISE)} AS pw
+  FROM subs s JOIN companies c ON s.cik = c.cik JOIN batches t ON s.cik = t.cik AND s.first_seen = t.first_seen),
+w1 AS (SELECT *, coalesce(pw[1], '') AS core, list_filter(sw, lambda w: NOT list_contains(pw, w) AND len(list_filter(pw, lambda p: length(p) >= 4 AND (contains(p, w) OR contains(w, p)))) = 0) AS far FROM w0),
+w2 AS (SELECT *, length(core) >= 3 AND (contains(sub_norm, core) OR (length(core) >= 4 AND contains(sub_norm, core[1:4]))) AS has_parent, {_ANY("sub_norm", fn.GENERIC)} AS generic,
+  {_ANY("sub_norm", fn.FUNCTIONAL)} AS functional, {_ANY("sub_norm", fn.GEOGRAPHIC)} AS geographic, first_seen <= first_filing AS original,
+  list_has_any(sw, [{_strings(fn.STRUCTURAL)}]) AS structural, list_has_any(far, [{_strings(fn.STRUCTURAL)}]) AS far_structural,
+  regexp_matches(sub_norm, '(inc|inc\\.|corp|corp\\.|corporation|co\\.|company)$| (inc|inc\\.|corp|corp\\.|corporation|co\\.|company) ') AS standalone FROM w1),
+typed AS (SELECT *, CASE
+  WHEN {_ANY("sub_norm", fn.JOINT_VENTURE)} THEN 'Joint Venture'
+  WHEN has_parent AND (far_structural OR (len(far) = 0 AND structural)) THEN 'Restructuring'
+  WHEN has_parent THEN 'Internal Creation'
+  WHEN cross_parent AND NOT generic THEN 'External Acquisition'
+  WHEN generic THEN 'Internal Creation'
+  WHEN length(core) >= 3 AND len(far) = len(sw) THEN CASE WHEN standalone AND NOT original AND NOT (batch_size BETWEEN 1 AND 2) AND NOT functional AND NOT geographic THEN 'External Acquisition' ELSE 'Internal Creation' END
+  WHEN length(core) >= 3 THEN CASE WHEN structural THEN 'Restructuring' ELSE 'Internal Creation' END
+  WHEN original OR functional THEN 'Internal Creation'
+  WHEN batch_size >= 10 THEN 'External Acquisition'
+  ELSE 'Internal Creation' END AS type FROM w2)
+"""
+)
+_Y = "CAST(substr({}, 1, 4) AS BIGINT)"
+
+# Panel.
+register("gap_fill", lambda s, d: tl.gap_fill(_obs(s, d)).select("cik", F.date_format("fdate", "yyyy-MM-dd").alias("fdate"), "comp_name", "sub_name", "sub_norm"), PANEL + "SELECT cik, CAST(fdate AS VARCHAR) AS fdate, comp_name, sub_name, sub_norm FROM fill")
+register("child_timeline", lambda s, d: tl.child_timeline(_obs(s, d)), PANEL + "SELECT cik, sub_norm, sub_name, first_seen, last_seen, time_in, time_out, confidence FROM subs")
+register("company_rollup", _companies, PANEL + "SELECT * FROM companies")
+register("filing_dates", _dates, PANEL + "SELECT * FROM dates")
+register(
+    "filing_neighbours",
+    lambda s, d: tl.neighbours(tl.filing_dates(tl.filled(_obs(s, d)))).select("cik", *(F.date_format(c, "yyyy-MM-dd").alias(c) for c in ("fdate", "before", "after"))),
+    PANEL + "SELECT cik, CAST(fdate AS VARCHAR) AS fdate, CAST(lag(fdate) OVER w AS VARCHAR) AS before, CAST(lead(fdate) OVER w AS VARCHAR) AS after FROM dates0 WINDOW w AS (PARTITION BY cik ORDER BY fdate)",
+)
+
+# Analytics.
+register("stats_overview", lambda s, d: an.overview(_subs(s, d)), PANEL + """SELECT count(*) AS total, CAST(sum((confidence = 'HIGH')::INT) AS BIGINT) AS high, CAST(sum((confidence = 'MEDIUM')::INT) AS BIGINT) AS medium,
+  CAST(sum((confidence = 'LOW')::INT) AS BIGINT) AS low, CAST(sum(act::INT) AS BIGINT) AS active, CAST(sum((NOT act)::INT) AS BIGINT) AS divested, CAST(sum(enriched) AS BIGINT) AS enriched FROM subs""")
+_TIMELINE = f"""SELECT {_Y.format('d.fdate')} AS year, count(DISTINCT d.cik) AS companies_filing, count(DISTINCT s.cik || '|' || s.sub_name) AS subsidiaries_seen
+  FROM dates d LEFT JOIN subs s ON s.cik = d.cik AND s.first_seen <= d.fdate AND s.last_seen >= d.fdate GROUP BY 1"""
+register("filing_timeline", lambda s, d: an.filing_timeline(_dates(s, d), _subs(s, d)), PANEL + _TIMELINE)
+_GROWTH = f""", t AS ({_TIMELINE}), g AS (SELECT *, lag(subsidiaries_seen) OVER (ORDER BY year) AS b FROM t)
+, growth AS (SELECT year, subsidiaries_seen, CAST(sum(subsidiaries_seen) OVER (ORDER BY year) AS BIGINT) AS running_total, coalesce(subsidiaries_seen - b, 0) AS delta,
+  round(coalesce((subsidiaries_seen - b) * 100.0::DOUBLE / CASE WHEN b = 0 THEN 1 ELSE b END, 0), 4) AS growth_pct,
+  round(subsidiaries_seen::DOUBLE / max(subsidiaries_seen) OVER (), 6) AS share_of_max, round(subsidiaries_seen * 100.0::DOUBLE / sum(subsidiaries_seen) OVER (), 1) AS share_of_total_pct FROM g) """
+_growth = lambda s, d: an.timeline_growth(an.filing_timeline(_dates(s, d), _subs(s, d)))
+_ROUND = ", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c in ("growth_pct", "share_of_max", "share_of_total_pct"))
+register("timeline_growth", lambda s, d: _growth(s, d).withColumns({c: F.col(c).cast("double") for c in ("growth_pct", "share_of_max", "share_of_total_pct")}), PANEL + _GROWTH + f"SELECT year, subsidiaries_seen, running_total, delta, {_ROUND} FROM growth")
+register("fastest_growth", lambda s, d: an.fastest_growth(_growth(s, d)).withColumn("growth_pct", F.col("growth_pct").cast("double")), PANEL + _GROWTH + "SELECT year, CAST(growth_pct AS DOUBLE) AS growth_pct FROM growth WHERE delta <> 0 ORDER BY growth_pct DESC, year LIMIT 3")
+register("churn", lambda s, d: an.churn(_subs(s, d)), PANEL + f""", a AS (SELECT {_Y.format('first_seen')} AS year, count(*) AS added FROM subs GROUP BY 1), r AS (SELECT {_Y.format('last_seen')} AS year, count(*) AS removed FROM subs WHERE NOT act GROUP BY 1)
+SELECT coalesce(a.year, r.year) AS year, coalesce(added, 0) AS added, coalesce(removed, 0) AS removed FROM a FULL JOIN r ON a.year = r.year""")
+_BUCKET = "CASE WHEN {0} = 1 THEN '1' WHEN {0} BETWEEN 2 AND 5 THEN '2-5' WHEN {0} BETWEEN 6 AND 20 THEN '6-20' WHEN {0} BETWEEN 21 AND 50 THEN '21-50' WHEN {0} BETWEEN 51 AND 100 THEN '51-100' WHEN {0} BETWEEN 101 AND 500 THEN '101-500' ELSE '500+' END"
+register("size_distribution", lambda s, d: an.size_distribution(_companies(s, d)), PANEL + f"SELECT {_BUCKET.format('num_subsidiaries')} AS bucket, count(*) AS companies, min(num_subsidiaries) AS smallest FROM companies GROUP BY 1")
+register(
+    "customer_size_distribution",
+    lambda s, d: an.size_distribution(_table(s, d, "customer").join(_table(s, d, "orders").groupBy("o_custkey").agg(F.count("*").alias("k")), F.col("c_custkey") == F.col("o_custkey"), "left").select(F.coalesce("k", F.lit(0)).alias("n")), "n"),
+    f"WITH c AS (SELECT c_custkey, count(o_orderkey) AS n FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY 1) SELECT {_BUCKET.format('n')} AS bucket, count(*) AS companies, min(n) AS smallest FROM c GROUP BY 1",
+)
+register("confidence_by_year", lambda s, d: an.confidence_by_year(_subs(s, d)), PANEL + f"SELECT {_Y.format('first_seen')} AS year, CAST(sum((confidence = 'HIGH')::INT) AS BIGINT) AS high, CAST(sum((confidence = 'MEDIUM')::INT) AS BIGINT) AS medium, CAST(sum((confidence = 'LOW')::INT) AS BIGINT) AS low FROM subs GROUP BY 1")
+register("top_churners", lambda s, d: an.top_churners(_subs(s, d), _companies(s, d)), PANEL + """SELECT s.cik, count(*) AS total, CAST(sum(act::INT) AS BIGINT) AS active, CAST(sum((NOT act)::INT) AS BIGINT) AS divested, company_name
+  FROM subs s JOIN companies c ON s.cik = c.cik GROUP BY s.cik, company_name HAVING sum((NOT act)::INT) > 0 ORDER BY divested DESC, s.cik LIMIT 15""")
+register("longevity", lambda s, d: an.longevity(_subs(s, d)), PANEL + f"SELECT CASE WHEN y = 0 THEN 'Single year' WHEN y BETWEEN 1 AND 2 THEN '1-2 years' WHEN y BETWEEN 3 AND 5 THEN '3-5 years' ELSE '6+ years' END AS bucket, count(*) AS children FROM (SELECT {_Y.format('last_seen')} - {_Y.format('first_seen')} AS y FROM subs) GROUP BY 1")
+register("type_distribution", lambda s, d: an.type_distribution(_typed(s, d)), TYPED + "SELECT type, count(*) AS children FROM typed GROUP BY 1")
+register("type_by_year", lambda s, d: an.type_by_year(_typed(s, d)), TYPED + f"SELECT {_Y.format('first_seen')} AS year, type, count(*) AS children FROM typed GROUP BY 1, 2")
+register("type_maps", lambda s, d: an.type_maps(an.type_by_year(_typed(s, d))).select("year", F.to_json("types").alias("types")), TYPED + f"SELECT year, '{{' || string_agg('\"' || type || '\":' || children, ',' ORDER BY type) || '}}' AS types FROM (SELECT {_Y.format('first_seen')} AS year, type, count(*) AS children FROM typed GROUP BY 1, 2) GROUP BY 1")
+_CIKS = ["1", "2", "3", "no such key"]
+register("compare_profile", lambda s, d: an.profiles(_subs(s, d), _companies(s, d), _dates(s, d), _CIKS), PANEL + """SELECT c.cik, company_name, total, active, divested, high, filings FROM companies c
+  JOIN (SELECT cik, count(*) AS total, CAST(sum(act::INT) AS BIGINT) AS active, CAST(sum((NOT act)::INT) AS BIGINT) AS divested, CAST(sum((confidence = 'HIGH')::INT) AS BIGINT) AS high FROM subs GROUP BY 1) s ON c.cik = s.cik
+  JOIN (SELECT cik, string_agg(fdate, ',' ORDER BY fdate) AS filings FROM dates GROUP BY 1) d ON c.cik = d.cik WHERE c.cik IN ('1', '2', '3')""")
+register("compare_years", lambda s, d: an.profile_years(_subs(s, d), _CIKS[:3]), PANEL + f""", r AS (SELECT cik, {_Y.format('first_seen')} AS year, count(*) AS n FROM subs WHERE cik IN ('1', '2', '3') GROUP BY ALL)
+SELECT c.cik, y.year, coalesce(n, 0) AS children FROM (SELECT DISTINCT year FROM r) y CROSS JOIN (VALUES ('1'), ('2'), ('3')) c(cik) LEFT JOIN r ON r.cik = c.cik AND r.year = y.year""")
+register("overlap", lambda s, d: an.overlap(_subs(s, d), "1", "2"), PANEL + "SELECT lower(a.sub_name) AS name, a.sub_name AS a_name, a.first_seen AS a_first_seen, b.sub_name AS b_name, b.first_seen AS b_first_seen FROM subs a JOIN subs b ON lower(a.sub_name) = lower(b.sub_name) WHERE a.cik = '1' AND b.cik = '2' ORDER BY name, a_name, b_name LIMIT 100")
+register("ma_events", lambda s, d: an.ma_events(_subs(s, d), "1"), PANEL + """, e AS ((SELECT sub_name, first_seen AS event_date, 'acquisition' AS event_type, confidence, time_in, NULL AS time_out FROM subs WHERE cik = '1' ORDER BY first_seen DESC, sub_name LIMIT 50)
+UNION ALL (SELECT sub_name, last_seen, 'divestiture', confidence, NULL, time_out FROM subs WHERE cik = '1' AND NOT act ORDER BY last_seen DESC, sub_name LIMIT 50)) SELECT * FROM e ORDER BY event_date DESC, event_type, sub_name LIMIT 100""")
+register("recent_window", lambda s, d: an.recent_window(_dates(s, d), "1"), PANEL + """, m AS (SELECT CAST(fdate AS DATE) AS d FROM dates WHERE cik = '1'), k AS (SELECT d FROM m WHERE d >= (SELECT max(d) FROM m) - 1825)
+SELECT CAST(min(d) - 30 AS VARCHAR) AS first_day, CAST(max(d) + 30 AS VARCHAR) AS last_day, count(*) AS filings FROM k""")
+register("recent_acquisitions", lambda s, d: an.recent_of_type(_typed(s, d).drop("company_name"), _companies(s, d)), TYPED + "SELECT cik, company_name, sub_name, first_seen, confidence FROM typed WHERE type = 'External Acquisition' ORDER BY first_seen DESC, cik, sub_name LIMIT 20")
+register(
+    "recent_enrichments",
+    lambda s, d: _enrichments(s, d).join(_table(s, d, "customer").select(F.col("c_custkey").alias("sub_id"), F.col("c_name").alias("sub_name"), "c_nationkey"), "sub_id").join(_table(s, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).orderBy(F.col("searched_at").desc(), F.col("event_id").desc()).limit(20).select("event_id", "sub_name", "n_name", "source_type", "searched_at"),
+    "SELECT event_id, c_name AS sub_name, n_name, event_type AS source_type, strftime(ts, '%Y-%m-%d %H:%M:%S') AS searched_at FROM events JOIN customer ON user_id = c_custkey JOIN nation ON c_nationkey = n_nationkey ORDER BY searched_at DESC, event_id DESC LIMIT 20",
+)
+
+# Search, pages, graph.
+register("company_page", lambda s, d: se.company_page(_companies(s, d), "supp", "num_subsidiaries", "desc", 2, 10), PANEL + "SELECT * FROM companies WHERE company_name ILIKE '%supp%' OR cik ILIKE '%supp%' ORDER BY num_subsidiaries DESC, cik LIMIT 10 OFFSET 10")
+register("page_totals", lambda s, d: se.totals(se.name_search(_subs(s, d), _companies(s, d), "brand")), PANEL + "SELECT count(*) AS total, CAST(ceil(count(*) / 25) AS BIGINT) AS pages FROM subs WHERE sub_name ILIKE '%brand%'")
+register("name_search_page", lambda s, d: se.name_search_page(_subs(s, d), _companies(s, d), "BRAND#1_ l", 2), PANEL + "SELECT s.cik, company_name, sub_name, first_seen, last_seen, confidence FROM subs s JOIN companies c ON s.cik = c.cik WHERE sub_name ILIKE '%BRAND#1_ l%' ORDER BY sub_name, s.cik LIMIT 25 OFFSET 25")
+register("cross_links", lambda s, d: se.cross_links(_subs(s, d), _companies(s, d), "trust"), PANEL + "SELECT s.cik, company_name, sub_name, time_out FROM subs s JOIN companies c ON s.cik = c.cik WHERE sub_name ILIKE '%trust%' ORDER BY sub_name, s.cik LIMIT 50")
+register("facet_filter", lambda s, d: se.facets(_subs(s, d), "brand", "HIGH", "divested", True).select("cik", "sub_name", "time_out"), PANEL + "SELECT cik, sub_name, time_out FROM subs WHERE contains(lower(sub_name), 'brand') AND confidence = 'HIGH' AND NOT act AND enriched = 1")
+register("network_nodes", lambda s, d: se.network_nodes(_subs(s, d), _companies(s, d), "1"), PANEL + """SELECT 'company' AS id, company_name AS label, 'company' AS kind, NULL::BOOLEAN AS active, 30 AS size FROM companies WHERE cik = '1'
+UNION ALL (SELECT 'sub_' || sub_name, sub_name, 'subsidiary', act, CASE WHEN act THEN 12 ELSE 8 END FROM subs WHERE cik = '1' ORDER BY first_seen, sub_name LIMIT 50)""")
+register("network_edges", lambda s, d: se.network_edges(_subs(s, d), "1"), PANEL + "SELECT 'company' AS source, 'sub_' || sub_name AS target, act AS active FROM subs WHERE cik = '1' ORDER BY first_seen, sub_name LIMIT 50")
+register("confidence_order", lambda s, d: _subs(s, d).orderBy(*se.by_confidence(_subs(s, d))).limit(40).select("cik", "sub_name", "confidence"), PANEL + "SELECT cik, sub_name, confidence FROM subs ORDER BY CASE confidence WHEN 'HIGH' THEN 0 WHEN 'MEDIUM' THEN 1 WHEN 'LOW' THEN 2 ELSE 3 END, sub_name, cik LIMIT 40")
+
+# Classification and features.
+register("batch_size", lambda s, d: cl.batch_sizes(_subs(s, d)), PANEL + "SELECT cik, first_seen, count(*) AS batch_size FROM subs GROUP BY ALL")
+register("cross_parent_names", lambda s, d: cl.cross_parent_names(_subs(s, d)), PANEL + "SELECT DISTINCT lower(trim(sub_name)) AS sub_norm FROM (SELECT sub_name FROM subs GROUP BY 1 HAVING count(DISTINCT cik) > 1)")
+register("cross_parent_brands", lambda s, d: cl.cross_parent_brands(_subs(s, d)), PANEL + "SELECT lower(string_split(sub_name, ' ')[1]) AS brand FROM subs WHERE length(sub_name) > 3 GROUP BY 1 HAVING count(DISTINCT cik) > 1 AND length(brand) >= 4")
+register("cross_source_texts", lambda s, d: cl.cross_parent_names(_table(s, d, "documents").select(F.col("source").alias("cik"), F.col("text").alias("sub_name"))).select(F.md5("sub_norm").alias("k")), "SELECT DISTINCT md5(regexp_replace(lower(text), '^\\s+|\\s+$', '', 'g')) AS k FROM (SELECT text FROM documents WHERE text IS NOT NULL GROUP BY text HAVING count(DISTINCT source) > 1)")
+register("classify_type", lambda s, d: _typed(s, d).select("cik", "sub_name", "batch_size", "cross_parent", "type"), TYPED + "SELECT cik, sub_name, batch_size, cross_parent, type FROM typed")
+register("event_checks", lambda s, d: cl.to_check(_typed(s, d)).select("cik", "sub_name", "type"), TYPED + "SELECT cik, sub_name, type FROM typed WHERE type <> 'External Acquisition' ORDER BY first_seen, cik, sub_name LIMIT 50")
+_FNOISE = _strings(fn.NOISE_WORDS)
+FEATURED = (
+    PANEL
+    + f""", shared AS (SELECT DISTINCT lower(trim(sub_name)) AS k FROM (SELECT sub_name FROM subs GROUP BY sub_name HAVING count(DISTINCT cik) > 1)),
+f0 AS (SELECT s.*, company_name, first_filing, lower(sub_name) AS low, list_distinct({_WORDS.format("sub_name", _FNOISE)}) AS a, list_distinct({_WORDS.format("company_name", _FNOISE)}) AS b FROM subs s JOIN companies c ON s.cik = c.cik)
+"""
+)
+register("features", lambda s, d: ft.features(_subs(s, d), _companies(s, d)), FEATURED + f"""SELECT cik, sub_name, company_name,
+  CAST(CASE WHEN len(a) = 0 OR len(b) = 0 THEN 0.0 ELSE round(len(list_intersect(a, b))::DOUBLE / len(list_distinct(list_concat(a, b))), 6) END AS DOUBLE) AS jaccard,
+  CASE WHEN regexp_matches(rtrim(low, '.'), '(inc|corp|corporation)$') THEN 'inc_corp' WHEN contains(low, 'llc') OR contains(low, 'l.l.c') THEN 'llc' WHEN contains(low, 'lp') OR contains(low, 'l.p.') THEN 'lp'
+       WHEN contains(low, 'ltd') OR contains(low, 'limited') THEN 'ltd' WHEN contains(low, 'trust') THEN 'trust' ELSE 'other' END AS suffix_type,
+  0 AS batch_size, CAST(sub_norm IN (SELECT k FROM shared) AS INTEGER) AS is_cross_parent, CAST(date_diff('day', CAST(first_filing AS DATE), CAST(first_seen AS DATE)) AS INTEGER) AS lag_days,
+  CAST({_ANY('low', fn.FEATURE_FUNCTIONAL)} AS INTEGER) AS has_functional, CAST({_ANY('low', fn.FEATURE_GEOGRAPHIC)} AS INTEGER) AS has_geographic,
+  CAST(len(string_split_regex(trim(sub_name), '\\s+')) AS INTEGER) AS token_count, CAST(contains(time_out, 'Active') AS INTEGER) AS is_active FROM f0""")
+
+
+def _labels(s: SparkSession, d: str) -> DataFrame:
+    subs, companies = _subs(s, d), _companies(s, d)
+    return ft.labels_from_shared_names(subs).unionByName(ft.labels_from_parent_names(subs, companies))
+
+
+register("label_dedup", lambda s, d: ft.strongest(_labels(s, d)), FEATURED + """, l AS ((SELECT cik, sub_name, 'acquisition' AS label, 'cross_cik' AS origin FROM subs WHERE sub_norm IN (SELECT k FROM shared) ORDER BY cik, sub_name LIMIT 20000)
+UNION ALL (SELECT cik, sub_name, 'internal', 'name_match' FROM (SELECT f0.cik, sub_name, row_number() OVER (PARTITION BY f0.cik ORDER BY sub_name) AS r FROM f0 JOIN (SELECT cik FROM companies ORDER BY num_subsidiaries DESC, cik LIMIT 200) t ON f0.cik = t.cik
+  WHERE contains(low, list_filter(string_split(lower(company_name), ' '), lambda w: length(w) > 1)[1])) WHERE r <= 500))
+SELECT cik, sub_name, label, origin FROM (SELECT *, row_number() OVER (PARTITION BY cik, sub_name ORDER BY origin, label) AS r FROM l) WHERE r = 1""")
+register("train_gbt", lambda s, d: ft.evaluation(ft.train(ft.training_table(_subs(s, d), _companies(s, d), _labels(s, d)), rounds=10, depth=4)[1]))
+
+# Geography. The driver's names hold five legal forms and one country name.
+register("geo_countries", lambda s, d: ge.countries(_subs(s, d)), PANEL + """, g AS (SELECT CASE WHEN regexp_matches(sub_name, 'B\\.V\\.$') THEN 'NL' WHEN regexp_matches(sub_name, 'Pty Ltd$') THEN 'AU' WHEN regexp_matches(sub_name, '(Inc|LLC)$') THEN 'US' WHEN regexp_matches(sub_name, '\\bCanada$') THEN 'CA' END AS c FROM subs)
+SELECT c AS country_code, CASE c WHEN 'NL' THEN 'Netherlands' WHEN 'AU' THEN 'Australia' WHEN 'US' THEN 'United States' ELSE 'Canada' END AS country_name, CAST(count(*) AS BIGINT) AS children FROM g WHERE c IS NOT NULL GROUP BY 1, 2""")
+register("geo_by_company", lambda s, d: ge.by_company(_subs(s, d), "1").select("country_code", "children", F.array_join("names", "|").alias("names")), PANEL + """, g AS (SELECT sub_name, CASE WHEN regexp_matches(sub_name, 'B\\.V\\.$') THEN 'NL' WHEN regexp_matches(sub_name, 'Pty Ltd$') THEN 'AU' WHEN regexp_matches(sub_name, '(Inc|LLC)$') THEN 'US' WHEN regexp_matches(sub_name, '\\bCanada$') THEN 'CA' END AS c FROM subs WHERE cik = '1')
+SELECT c AS country_code, count(*) AS children, string_agg(sub_name, '|' ORDER BY sub_name) AS names FROM g WHERE c IS NOT NULL GROUP BY 1""")
+register("geo_sample", lambda s, d: ge.sampled(_subs(s, d), 1000))
+
+# Quality.
+_TAG, _GARB, _ENC = "'<[^>]+>'", "'[^\\x20-\\x7E\\x{{C0}}-\\x{{FF}}]{{3,}}'", "'&[a-zA-Z]+;|&#\\d+;|Ã.|â€.|Â'"
+_FLAGS = f"""SELECT {{key}}, regexp_matches(name, {_TAG}) AS html, regexp_matches(name, {_GARB}) AS garbage, length(trim(name)) <= 2 AS short, rtrim(name) LIKE '%...' AS truncated, regexp_matches(name, {_ENC}) AS encoding FROM {{rows}}"""
+_REPORT = """SELECT count(*) AS total_records, CAST(sum(bad) AS BIGINT) AS records_with_issues, CAST(count(*) - sum(bad) AS BIGINT) AS clean_records, CAST(round((1 - sum(bad) / count(*)) * 100, 2) AS DOUBLE) AS quality_score,
+  CAST(sum(html::INT) AS BIGINT) AS html, CAST(sum(garbage::INT) AS BIGINT) AS garbage, CAST(sum(short::INT) AS BIGINT) AS short, CAST(sum(truncated::INT) AS BIGINT) AS truncated, CAST(sum(encoding::INT) AS BIGINT) AS encoding
+  FROM (SELECT *, (html OR garbage OR short OR truncated OR encoding)::INT AS bad FROM f)"""
+register("quality_report_pages", lambda s, d: qu.issue_report(_page_names(s, d), F.col("name")), "WITH f AS (" + _FLAGS.format(key="page_id", rows="(SELECT page_id, html AS name FROM pages)") + ") " + _REPORT)
+register("quality_report_documents", lambda s, d: qu.issue_report(_table(s, d, "documents"), F.col("text")), "WITH f AS (" + _FLAGS.format(key="doc_id", rows="(SELECT doc_id, text AS name FROM documents WHERE text IS NOT NULL)") + ") " + _REPORT)
+register("quality_issues", lambda s, d: qu.issue_rows(_page_names(s, d), "name", "encoding").select("page_id", F.array_join("issues", ",").alias("issues")), "WITH f AS (" + _FLAGS.format(key="page_id", rows="(SELECT page_id, html AS name FROM pages)") + ") SELECT page_id, concat_ws(',', CASE WHEN html THEN 'html' END, CASE WHEN garbage THEN 'garbage' END, CASE WHEN short THEN 'short' END, CASE WHEN truncated THEN 'truncated' END, CASE WHEN encoding THEN 'encoding' END) AS issues FROM f WHERE encoding")
+register("clean_actions", lambda s, d: qu.clean_counts(qu.clean_plan(_page_names(s, d), "name")))
+register("clean_actions_children", lambda s, d: qu.clean_counts(qu.clean_plan(_subs(s, d), "sub_name")), PANEL + "SELECT 'skip' AS action, count(*) AS names FROM subs")
+register("strict_report", lambda s, d: qu.strict_report(_subs(s, d)), PANEL + "SELECT count(*) AS total_records, 0::BIGINT AS html_tags, 0::BIGINT AS garbage_names, 0::BIGINT AS short_names, 0::BIGINT AS truncated_names, 0::BIGINT AS encoding_issues, CAST(sum((confidence = 'HIGH')::INT) AS BIGINT) AS high, CAST(sum((confidence = 'MEDIUM')::INT) AS BIGINT) AS medium, 0::BIGINT AS low, 100 AS quality_score FROM subs")
+register("strict_actions", lambda s, d: qu.clean_counts(qu.strict_plan(_page_names(s, d), "name")))
+register("year_coverage", lambda s, d: qu.year_coverage(_subs(s, d)), PANEL + f"SELECT year, count(*) AS endpoints FROM (SELECT {_Y.format('first_seen')} AS year FROM subs UNION ALL SELECT {_Y.format('last_seen')} FROM subs) WHERE year BETWEEN 1900 AND 2100 GROUP BY 1")
+register("year_gaps", lambda s, d: qu.year_gaps(_table(s, d, "orders").where("o_custkey = 1").select(F.year("o_orderdate").cast("long").alias("year")).groupBy("year").count()), "WITH y AS (SELECT DISTINCT CAST(year(o_orderdate) AS BIGINT) AS year FROM orders WHERE o_custkey = 1) SELECT g.year FROM (SELECT unnest(range((SELECT min(year) FROM y), (SELECT max(year) FROM y) + 1)) AS year) g WHERE g.year NOT IN (SELECT year FROM y)")
+
+# Merging, integrity, exports.
+register("merge_incremental", lambda s, d: mg.recomputed(_obs(s, d).where("fdate < '1999-01-01'"), _obs(s, d).where("fdate >= '1999-01-01'"))[0], PANEL + "SELECT cik, sub_norm, sub_name, first_seen, last_seen, time_in, time_out, confidence FROM subs WHERE cik IN (SELECT cik FROM obs WHERE fdate >= DATE '1999-01-01')")
+
+
+def _legacy(s: SparkSession, d: str) -> DataFrame:
+    old, new = _obs(s, d).where("fdate < '1999-01-01'"), _obs(s, d).where("fdate >= '1999-01-01'")
+    return mg.legacy_merge(tl.bounds(tl.spans(old), tl.filing_dates(old), suffix_rule=False), tl.filing_dates(old), new)
+
+
+register("merge_legacy", _legacy, PANEL + """, d1 AS (SELECT DISTINCT cik, fdate FROM obs), d0 AS (SELECT * FROM d1 WHERE fdate < DATE '1999-01-01'),
+s AS (SELECT cik, sub_norm, min(sub_name) FILTER (fdate < DATE '1999-01-01') AS a, min(sub_name) FILTER (fdate >= DATE '1999-01-01') AS b, min(fdate) AS f, max(fdate) AS l, max(fdate) >= DATE '1999-01-01' AS new FROM obs GROUP BY ALL),
+n AS (SELECT *, CASE WHEN new THEN (SELECT max(fdate) FROM d1 WHERE d1.cik = s.cik AND fdate < f) ELSE (SELECT max(fdate) FROM d0 WHERE d0.cik = s.cik AND fdate < f) END AS p, CASE WHEN new THEN (SELECT min(fdate) FROM d1 WHERE d1.cik = s.cik AND fdate > l) ELSE (SELECT min(fdate) FROM d0 WHERE d0.cik = s.cik AND fdate > l) END AS x FROM s)
+SELECT cik, sub_norm, coalesce(a, b) AS sub_name, CAST(f AS VARCHAR) AS first_seen, CAST(l AS VARCHAR) AS last_seen, CASE WHEN p IS NULL THEN 'On or before ' || CAST(f AS VARCHAR) ELSE 'Between ' || CAST(p AS VARCHAR) || ' and ' || CAST(f AS VARCHAR) END AS time_in,
+  CASE WHEN x IS NULL THEN 'Active as of ' || CAST(l AS VARCHAR) ELSE 'Between ' || CAST(l AS VARCHAR) || ' and ' || CAST(x AS VARCHAR) END AS time_out, CASE WHEN p IS NOT NULL THEN 'HIGH' ELSE 'MEDIUM' END AS confidence FROM n""")
+register("enrichment_upsert", lambda s, d: mg.latest(_enrichments(s, d), ["sub_id"], [F.col("searched_at").desc(), F.col("event_id").desc()]).select("sub_id", "event_id", "source_type"), "SELECT sub_id, event_id, source_type FROM (SELECT user_id AS sub_id, event_id, event_type AS source_type, row_number() OVER (PARTITION BY user_id ORDER BY strftime(ts, '%Y-%m-%d %H:%M:%S') DESC, event_id DESC) AS r FROM events) WHERE r = 1")
+register("insert_or_ignore", lambda s, d: mg.insert_or_ignore(_table(s, d, "customer").where("c_custkey % 2 = 0").select("c_custkey", F.lit("old").alias("origin")), _table(s, d, "customer").select("c_custkey", F.lit("new").alias("origin")), ["c_custkey"]), "SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN 'old' ELSE 'new' END AS origin FROM customer")
+register("orphans", lambda s, d: mg.orphans(_table(s, d, "customer").select(F.col("c_custkey").alias("cik"), "c_name"), _table(s, d, "orders").select(F.col("o_custkey").alias("cik"))), "SELECT c_custkey AS cik, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+register("count_consistency", lambda s, d: mg.miscounted(_companies(s, d).withColumn("num_subsidiaries", F.col("num_subsidiaries") + F.when(F.col("cik").endswith("7"), 1).otherwise(0)), _subs(s, d)), PANEL + "SELECT cik, num_subsidiaries + 1 AS num_subsidiaries, num_subsidiaries AS counted FROM companies WHERE cik LIKE '%7'")
+register("integrity_checks", lambda s, d: mg.integrity(_companies(s, d), _dates(s, d), _subs(s, d)), "SELECT unnest(['orphan_children', 'orphan_dates', 'confidence_domain', 'null_names', 'child_counts', 'span_order', 'repeated_children']) AS \"check\", 0::BIGINT AS violations, true AS passed")
+register("distinct_values", lambda s, d: _subs(s, d).select("confidence").distinct(), PANEL + "SELECT DISTINCT confidence FROM subs")
+register("export_rows", lambda s, d: sinks.capped_rows(_typed(s, d).drop("company_name"), _companies(s, d)), TYPED + "SELECT company_name, cik, sub_name, first_seen, last_seen, time_in, time_out, confidence, type, enriched FROM typed")
+register("print_rows", lambda s, d: sinks.print_rows(_subs(s, d), "1"), PANEL + "SELECT CASE WHEN length(sub_name) > 40 THEN sub_name[1:40] || '...' ELSE sub_name END AS sub_name, CASE WHEN length(time_in) > 35 THEN time_in[1:35] || '...' ELSE time_in END AS time_in, CASE WHEN length(time_out) > 35 THEN time_out[1:35] || '...' ELSE time_out END AS time_out, confidence FROM subs WHERE cik = '1' ORDER BY subs.sub_name LIMIT 200")
+
+# Limits and usage.
+register("daily_quota", lambda s, d: limits.daily_quota(_table(s, d, "events"), quota=3), "SELECT user_id, strftime(ts, '%Y-%m-%d') AS day, count(*) AS requests, count(*) > 3 AS over FROM events GROUP BY 1, 2")
+register("rolling_60s_count", lambda s, d: limits.rolling_count(_table(s, d, "events")).select("event_id", "recent"), "SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 60 SECOND PRECEDING AND CURRENT ROW) AS recent FROM events")
+register("usage_counts", lambda s, d: limits.usage(_table(s, d, "events")), "SELECT user_id, count(*) AS total, CAST(sum((CAST(ts AS DATE) = (SELECT max(CAST(ts AS DATE)) FROM events))::INT) AS BIGINT) AS last_day FROM events GROUP BY 1")
+
+# Documents.
+register("page_entities", lambda s, d: dc.entities(_table(s, d, "pages"), "html", "page_id"))
