@@ -1,22 +1,25 @@
 """Substring dedup: bytes covered by a 400-byte string that also starts elsewhere.
 
-Every 400-byte window is handed to one sampled position: of the 201 blocks of 200
-bytes inside it the one with the smallest hash (the last of equal ones).  Equal
-windows hand themselves to the same block at the same offset, so windows are
-compared only under one block.  A sampled position owns a run of windows; where
-the whole run is equal (copies), one comparison of its name, a hash of the run's
-text, settles all of them.
+The suffixes of all texts are dealt out so that those with equal 400-byte prefixes
+meet, and each task orders its suffixes by the difference-cover algorithm:
+sampled triples are sorted and named, the names are sorted by recursion, the
+remaining suffixes are merged in, and the prefixes of neighbours are compared.
+
+Dealing: of the 201 blocks of 200 bytes inside a 400-byte prefix, the one with the
+smallest hash (the last of equal ones) is its key.  Equal prefixes have the same
+key at the same offset.  A sampled position (the start of such a block) owns a run
+of neighbouring suffixes, and what can be settled for a whole run never reaches
+the sort:
 
 1. Per document: sampled positions, each with its block's hash and its run's name.
-2. Blocks that occur once hold no repeated window.  The rest is a small part.
+2. Blocks that occur once hold no repeated prefix.  The rest is a small part.
 3. Runs with equal names are one class; a class of two or more is repeated whole.
-4. Blocks with several classes: the window hashes of one text of each class,
-   compared offset by offset.  Blocks with many classes are dealt into tiles.
-5. The flagged windows go back to their documents, where the covered bytes are cut.
+4. Blocks with several classes: one text of each class goes to the suffix sort.
+   Blocks with many classes are dealt into tiles.
+5. The flagged suffixes go back to their documents, where the covered bytes are cut.
 
-The sample here is content-defined, where a difference cover fixes residues of the
-position; names are hashes, as only equality of adjacent prefixes is asked for.
-The README says why the suffix order itself isn't built.
+The hashes deal out and settle copies (64 bits each, block and name together); the
+sort and the comparison work on bytes.
 
 Defined results: a null text is empty; documents shorter than 400 bytes lose
 nothing; null and repeated ids are documents like others, a repeated row is another
@@ -40,6 +43,8 @@ from strandline.llm.common import maybe_in, tiled, written
 LENGTH = 400
 #: Classes of one block compared in one task.
 TILE = 2048
+#: Bytes of text whose suffixes are sorted at once (a unit of two tiles may be more).
+SORT_BYTES = 1 << 20
 
 _rng = np.random.default_rng(7)
 _BYTES = _rng.integers(0, 1 << 63, size=256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -98,10 +103,6 @@ class Sampled:
         h = (h ^ (h >> np.uint64(32))) * _MIX
         return h ^ (h >> np.uint64(31))
 
-    def windows(self, k: int) -> np.ndarray:
-        """Hashes of the windows that sampled position ``k`` owns, by offset from the largest down."""
-        return self.hashes(np.arange(self.lo[k], self.hi[k] + 1), self.length)
-
     def covered(self, flagged: np.ndarray) -> np.ndarray:
         """Flags of the bytes under the flagged window starts."""
         edges = np.zeros(self.n + 1, dtype=np.int64)
@@ -146,9 +147,74 @@ def _sample(source: DataFrame, length: int) -> DataFrame:
     return written(source.mapInArrow(run, "doc long, n_bytes long, sha string, keys array<long>, names array<long>"))
 
 
+def suffix_order(values: np.ndarray) -> np.ndarray:
+    """Suffix array of positive integers by the difference cover of residues 1 and 2 modulo 3."""
+    n = len(values)
+    if n < 4:
+        return np.array(sorted(range(n), key=lambda k: values[k:].tolist()), dtype=np.int64)
+    if values.max() > max(n, 256):
+        values = np.unique(values, return_inverse=True)[1] + 1
+    s = np.concatenate([values.astype(np.int64), np.zeros(4, dtype=np.int64)])
+    # With n = 1 modulo 3 an empty suffix joins residue 1, so that every residue 0 has a successor in the sample.
+    one, two = np.arange(1, n + (n % 3 == 1), 3), np.arange(2, n, 3)
+    sample = np.concatenate([one, two])
+    top = int(s.max()) + 1
+    if top < 1 << 21:
+        key = (s[sample] * top + s[sample + 1]) * top + s[sample + 2]
+        order = np.argsort(key, kind="stable")
+        fresh = np.append(True, np.diff(key[order]) != 0)
+    else:
+        order = np.lexsort((s[sample + 2], s[sample + 1], s[sample]))
+        fresh = np.append(True, np.any([np.diff(s[sample[order] + k]) != 0 for k in range(3)], axis=0))
+    names = np.empty(len(sample), dtype=np.int64)
+    names[order] = np.cumsum(fresh)
+    if names[order[-1]] < len(sample):
+        order = suffix_order(names)
+    rank = np.zeros(n + 4, dtype=np.int64)  # of sampled suffixes, from 1; 0 past the end
+    rank[sample[order]] = np.arange(1, len(sample) + 1)
+    sampled = sample[order]
+    sampled = sampled[sampled < n]
+    rest = np.arange(0, n, 3)
+    wide = len(sample) + 2
+    by_one = lambda p: s[p] * wide + rank[p + 1]
+    rest = rest[np.argsort(by_one(rest), kind="stable")]
+    # Each remaining suffix goes behind the sampled ones that are smaller, by one symbol and a rank or two and a rank.
+    ones, twos = sampled[sampled % 3 == 1], sampled[sampled % 3 == 2]
+    pairs = np.unique(s[:n] * top + s[1 : n + 1])
+    by_two = lambda p: np.searchsorted(pairs, s[p] * top + s[p + 1]) * wide + rank[p + 2]
+    ahead = np.searchsorted(by_one(ones), by_one(rest)) + np.searchsorted(by_two(twos), by_two(rest))
+    out = np.empty(n, dtype=np.int64)
+    at = ahead + np.arange(len(rest))
+    out[at] = rest
+    free = np.ones(n, dtype=bool)
+    free[at] = False
+    out[free] = sampled
+    return out
+
+
+def repeated_starts(data: bytes, starts: np.ndarray, length: int) -> np.ndarray:
+    """Flags of the ``starts`` whose prefixes of ``length`` bytes equal that of another start."""
+    raw = np.frombuffer(data, dtype=np.uint8)
+    index = np.full(len(raw), -1, dtype=np.int64)
+    index[starts] = np.arange(len(starts))
+    order = suffix_order(raw.astype(np.int64) + 1)
+    order = order[index[order] >= 0]
+    padded = np.concatenate([raw, np.zeros(8, dtype=np.uint8)])
+    words = np.zeros(len(raw) + 1, dtype=np.uint64)  # eight bytes from each place on
+    for k in range(8):
+        words |= padded[k : k + len(words)].astype(np.uint64) << np.uint64(8 * k)
+    same = np.arange(len(order) - 1)  # neighbours that are still equal
+    for k in [*range(0, length - 7, 8), max(length - 8, 0)]:
+        same = same[words[order[same] + k] == words[order[same + 1] + k]]
+    flags = np.zeros(len(starts), dtype=bool)
+    flags[index[order[same]]] = True
+    flags[index[order[same + 1]]] = True
+    return flags
+
+
 def _texts_of(source: DataFrame, need: DataFrame, length: int) -> DataFrame:
-    """key, id (name), many, offset, hashes: the windows of one text of each class of ``need`` (doc, key, name, many)."""
-    lists = need.groupBy("doc").agg(F.collect_list(F.struct("key", "name", "many")).alias("want"))
+    """key, id (name), text: the bytes of one run of each class of ``need`` (doc, key, name)."""
+    lists = need.groupBy("doc").agg(F.collect_list(F.struct("key", "name")).alias("want"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -161,56 +227,43 @@ def _texts_of(source: DataFrame, need: DataFrame, length: int) -> DataFrame:
                     for w in want:
                         k = at.get((w["key"], w["name"]))
                         if k is not None:
-                            rows.append((w["key"], w["name"], w["many"], int(got.pos[k] - got.lo[k]), got.windows(k).tobytes()))
-                cols = list(zip(*rows, strict=True)) if rows else [()] * 5
-                types = (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["key", "id", "many", "offset", "hashes"])
-
-    return _joined(source, lists).select("doc", "data", "want").mapInArrow(run, "key long, id long, many boolean, offset long, hashes binary")
-
-
-def _compared(texts: DataFrame) -> DataFrame:
-    """key, name, mask: windows (a bit each, by position in the run) of a class that another class of the block has too."""
-    dealt = tiled(texts, TILE).select("key", "t", "u", "side", "id", "offset", "hashes")
-
-    def unit(rows: list[tuple[int, int, int, bytes]]) -> Iterator[tuple[int, bytes]]:
-        rows = list({r[1]: r for r in rows}.values())
-        if len(rows) < 2:
-            return
-        hashes = [np.frombuffer(r[3], dtype=np.uint64) for r in rows]
-        size = np.array([len(h) for h in hashes])
-        owner = np.repeat(np.arange(len(rows)), size)
-        offset = np.concatenate([r[2] - np.arange(len(h)) for r, h in zip(rows, hashes, strict=True)])
-        flat = np.concatenate(hashes)
-        order = np.lexsort((flat, offset))
-        same = (np.diff(flat[order]) == 0) & (np.diff(offset[order]) == 0)
-        hit = np.zeros(len(flat), dtype=bool)
-        hit[order[1:]] |= same
-        hit[order[:-1]] |= same
-        for k in np.unique(owner[hit]):
-            yield rows[k][1], np.packbits(hit[owner == k] if len(rows) < 3 else hit[size[:k].sum() : size[: k + 1].sum()]).tobytes()
+                            rows.append((w["key"], w["name"], data[got.lo[k] : got.hi[k] + length]))
+                cols = list(zip(*rows, strict=True)) if rows else [()] * 3
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["key", "id", "text"])
+
+    return _joined(source, lists).select("doc", "data", "want").mapInArrow(run, "key long, id long, text binary")
+
+
+def _compared(texts: DataFrame, length: int) -> DataFrame:
+    """key, name, mask: suffixes (a bit each, by position in the run) of a class whose prefix another class of the block has too."""
+    dealt = tiled(texts, TILE).select("key", "t", "u", "id", "text")
+
+    def sort(rows: dict[tuple[int, int], bytes]) -> pa.RecordBatch:
+        keys, names, masks = [], [], []
+        if len(rows) > 1:
+            sizes = np.array([len(t) for t in rows.values()])
+            ends = np.cumsum(sizes)
+            starts = np.concatenate([np.arange(e - n, e - length + 1) for e, n in zip(ends, sizes, strict=True)])
+            flags = repeated_starts(b"".join(rows.values()), starts, length)
+            for (key, name), mask in zip(rows, np.split(flags, np.cumsum(sizes - length + 1)[:-1]), strict=True):
+                if mask.any():
+                    keys.append(key)
+                    names.append(name)
+                    masks.append(np.packbits(mask).tobytes())
+        return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(names, pa.int64()), pa.array(masks, pa.binary())], names=["key", "name", "mask"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, rows = None, []
-        out: list[tuple[int, int, bytes]] = []
-
-        def made() -> pa.RecordBatch:
-            cols = list(zip(*out, strict=True)) if out else [()] * 3
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["key", "name", "mask"])
-
+        at, rows, held = None, {}, 0
         for batch in batches:
-            cols = [c.to_pylist() for c in batch.columns]
-            for key, t, u, *rest in zip(*cols, strict=True):
-                if at != (key, t, u):
-                    if at:
-                        out += [(at[0], *x) for x in unit(rows)]
-                    at, rows = (key, t, u), []
-                rows.append(tuple(rest))
-            yield made()
-            out = []
-        if at:
-            out += [(at[0], *x) for x in unit(rows)]
-        yield made()
+            for key, t, u, name, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if at != (key, t, u) and held >= SORT_BYTES:
+                    yield sort(rows)
+                    rows, held = {}, 0
+                at = (key, t, u)
+                if (key, name) not in rows:  # once, though tiles repeat it
+                    rows[key, name] = text
+                    held += len(text)
+        yield sort(rows)
 
     return dealt.mapInArrow(run, "key long, name long, mask binary")
 
@@ -224,8 +277,8 @@ def _decisions(docs: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
     runs = written(maybe_in(each, again, "key").join(again, "key", "left_semi"))
     classes = written(runs.groupBy("key", "name").agg(F.count("*").alias("n"), F.min("doc").alias("doc")))
     several = classes.groupBy("key").agg(F.count("*").alias("classes")).where("classes > 1").select("key")
-    need = classes.join(several, "key").select("doc", "key", "name", (F.col("n") > 1).alias("many"))
-    masks = _compared(_texts_of(source, written(need), length))
+    need = classes.join(several, "key").select("doc", "key", "name")
+    masks = _compared(_texts_of(source, written(need), length), length)
     whole = classes.where("n > 1").select("key", "name", F.lit(None).cast("binary").alias("mask"))
     found = written(whole.unionByName(masks.join(whole.select("key", "name"), ["key", "name"], "left_anti")))
     marks = runs.join(found, ["key", "name"]).groupBy("doc").agg(F.collect_set(F.struct("key", "name", "mask")).alias("marks"))
