@@ -98,6 +98,13 @@ def test_repeats_equal_brute_force(spark):
     assert repeats.report(docs_of(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("n", [0, 1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 40, 301, 302, 303])
+def test_difference_cover_orders_suffixes(n):
+    rng = np.random.default_rng(n)
+    for values in (rng.integers(1, 3, n), rng.integers(1, 300, n), np.ones(n, dtype=np.int64), np.tile([2, 1, 1], n)[:n], rng.integers(1, 1 << 40, n)):
+        assert repeats.suffix_order(values).tolist() == sorted(range(n), key=lambda k: values[k:].tolist())
+
+
 def test_repeats_in_hot_blocks_are_tiled(spark, monkeypatch):
     monkeypatch.setattr(repeats, "TILE", 4)
     core = words(1, 200)
