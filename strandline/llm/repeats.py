@@ -161,7 +161,7 @@ def suffix_order(values: np.ndarray) -> np.ndarray:
     top = int(s.max()) + 1
     if top < 1 << 21:
         key = (s[sample] * top + s[sample + 1]) * top + s[sample + 2]
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         fresh = np.append(True, np.diff(key[order]) != 0)
     else:
         order = np.lexsort((s[sample + 2], s[sample + 1], s[sample]))
@@ -177,11 +177,14 @@ def suffix_order(values: np.ndarray) -> np.ndarray:
     rest = np.arange(0, n, 3)
     wide = len(sample) + 2
     by_one = lambda p: s[p] * wide + rank[p + 1]
-    rest = rest[np.argsort(by_one(rest), kind="stable")]
+    rest = rest[np.argsort(by_one(rest))]
     # Each remaining suffix goes behind the sampled ones that are smaller, by one symbol and a rank or two and a rank.
     ones, twos = sampled[sampled % 3 == 1], sampled[sampled % 3 == 2]
-    pairs = np.unique(s[:n] * top + s[1 : n + 1])
-    by_two = lambda p: np.searchsorted(pairs, s[p] * top + s[p + 1]) * wide + rank[p + 2]
+    if top * top * wide < 1 << 63:
+        by_two = lambda p: (s[p] * top + s[p + 1]) * wide + rank[p + 2]
+    else:
+        pairs = np.unique(s[:n] * top + s[1 : n + 1])
+        by_two = lambda p: np.searchsorted(pairs, s[p] * top + s[p + 1]) * wide + rank[p + 2]
     ahead = np.searchsorted(by_one(ones), by_one(rest)) + np.searchsorted(by_two(twos), by_two(rest))
     out = np.empty(n, dtype=np.int64)
     at = ahead + np.arange(len(rest))
