@@ -90,17 +90,19 @@ def lower_ascii(col: Column) -> Column:
     return F.translate(col, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-def tiled(filed: DataFrame, tile: int) -> DataFrame:
+def tiled(filed: DataFrame, tile: int, counts: DataFrame | None = None) -> DataFrame:
     """Deal rows ``key, id, ...`` that share a key to tasks that compare them.
 
     Keys of one row are dropped.  Keys of up to ``tile`` rows are one unit; larger
     ones are cut into tiles by hashed id, and each pair of tiles is a unit, so no
     unit holds more than about two tiles.  Adds ``t, u`` (the unit within the key)
     and ``side`` (0: compare all, 1 and 2: compare with the other side only), and
-    partitions and sorts by key, t, u.
+    partitions and sorts by key, t, u.  ``counts`` has key, n (rows of a key) where
+    they are known, so that costly rows are made once.
     """
     rest = [c for c in filed.columns if c != "key"]
-    sizes = filed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key", F.ceil(F.col("n") / tile).cast("int").alias("tiles"))
+    counts = filed.groupBy("key").agg(F.count("*").alias("n")) if counts is None else counts
+    sizes = counts.where("n > 1").select("key", F.ceil(F.col("n") / tile).cast("int").alias("tiles"))
     filed = filed.join(sizes, "key")
     mine = F.pmod(F.xxhash64("id", "key"), F.col("tiles")).cast("int")
     zero = F.lit(0)

@@ -237,9 +237,9 @@ def _texts_of(source: DataFrame, need: DataFrame, length: int) -> DataFrame:
     return _joined(source, lists).select("doc", "data", "want").mapInArrow(run, "key long, id long, text binary")
 
 
-def _compared(texts: DataFrame, length: int) -> DataFrame:
+def _compared(texts: DataFrame, counts: DataFrame, length: int) -> DataFrame:
     """key, name, mask: suffixes (a bit each, by position in the run) of a class whose prefix another class of the block has too."""
-    dealt = tiled(texts, TILE).select("key", "t", "u", "id", "text")
+    dealt = tiled(texts, TILE, counts).select("key", "t", "u", "id", "text")
 
     def sort(rows: dict[tuple[int, int], bytes]) -> pa.RecordBatch:
         keys, names, masks = [], [], []
@@ -279,9 +279,9 @@ def _decisions(docs: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
     again = written(each.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"))
     runs = written(maybe_in(each, again, "key").join(again, "key", "left_semi"))
     classes = written(runs.groupBy("key", "name").agg(F.count("*").alias("n"), F.min("doc").alias("doc")))
-    several = classes.groupBy("key").agg(F.count("*").alias("classes")).where("classes > 1").select("key")
-    need = classes.join(several, "key").select("doc", "key", "name")
-    masks = _compared(_texts_of(source, written(need), length), length)
+    several = classes.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    need = classes.drop("n").join(several, "key").select("doc", "key", "name")
+    masks = _compared(_texts_of(source, written(need), length), several, length)
     whole = classes.where("n > 1").select("key", "name", F.lit(None).cast("binary").alias("mask"))
     found = written(whole.unionByName(masks.join(whole.select("key", "name"), ["key", "name"], "left_anti")))
     marks = runs.join(found, ["key", "name"]).groupBy("doc").agg(F.collect_set(F.struct("key", "name", "mask")).alias("marks"))
