@@ -128,8 +128,10 @@ def test_line_dedup_against_brute_force(spark):
 
 
 def test_line_dedup_keeps_one_line_a_group(spark):
-    one = "this is a line of text that will be repeated in several documents of the table"
+    one = "this is a line of text that will be repeated in several documents of the table and in some others that come after it"
     near = one.replace("repeated", "repeatad")
+    one_set, near_set = ({x[i : i + lines.SHINGLE] for i in range(len(x) - lines.SHINGLE + 1)} for x in (one, near))
+    assert len(one_set & near_set) >= lines.SIMILARITY * len(one_set | near_set)
     texts = [(3, f"{one}\nshort\n{words(1, 12)}"), (1, f"{words(2, 12)}\n  {one.upper()}\nshort"), (2, near), (4, None), (5, ""), (None, one), (6, one), (6, one), (7, "漢字" * 30)]
     got = lines.keep_first(docs_of(spark, texts))
     assert got.columns == docs_of(spark, []).columns
