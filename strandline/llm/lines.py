@@ -8,7 +8,10 @@ sample, so that signatures cost a fifth of what all shingles would.  Each band
 files the line; per file the smallest and the largest member are leaders, found by
 a combined aggregation, and every member is a candidate with each.  Candidates are
 verified by the exact Jaccard similarity of all their character shingles, and
-verified links go through distributed contraction to components.  Of each
+verified links go through distributed contraction to components.  Files whose
+members are not one component by then are compared in tiles of ``TILE`` members:
+each member with the first of each other component, which joins stars, then, where
+several components are left, all pairs but those in one component or with a leader.  Of each
 component the first occurrence (by document and position) stays.
 
 At the similarity asked for, a pair shares a file with probability
@@ -28,13 +31,14 @@ import random
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.common import components, maybe_in, with_maybe, written
+from strandline.llm.common import components, maybe_in, tiled, with_maybe, written
 
 MIN_CHARS = 16
 SHINGLE = 10
 SIMILARITY = 0.8
 ROWS = 3
 BANDS = 7
+TILE = 1024
 
 #: Letters of scripts that part words by blanks: all but Thai, Kana and Han.
 _LETTER = r"[\p{L}&&[^\u0e00-\u0e7f\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\x{20000}-\x{3ffff}]]"
@@ -78,13 +82,55 @@ def signed(rows: DataFrame) -> DataFrame:
     return hashed.select("doc_id", "pos", "id", F.array(*keys).alias("keys"))
 
 
-def candidates(signatures: DataFrame) -> DataFrame:
-    """a < b: each member of a file with its smallest and its largest member."""
-    filed = signatures.select(F.explode("keys").alias("key"), "id")
-    leaders = filed.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo <> hi")
+def filed(signatures: DataFrame) -> DataFrame:
+    """key, id, lo, hi (the smallest and the largest id of the file): each member of the files of several lines."""
+    each = signatures.select(F.explode("keys").alias("key"), "id")
+    leaders = each.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo <> hi")
     leaders = written(leaders)
-    members = maybe_in(filed, leaders, "key").join(leaders, "key").select("id", F.explode(F.array("lo", "hi")).alias("o")).where("id <> o")
-    return members.select(F.least("id", "o").alias("a"), F.greatest("id", "o").alias("b")).distinct()
+    return maybe_in(each, leaders, "key").join(leaders, "key").select("key", "id", "lo", "hi").distinct()
+
+
+def led(members: DataFrame) -> DataFrame:
+    """a < b: each member of a file with its smallest and its largest member."""
+    pairs = members.select("id", F.explode(F.array("lo", "hi")).alias("o")).where("id <> o")
+    return pairs.select(F.least("id", "o").alias("a"), F.greatest("id", "o").alias("b")).distinct()
+
+
+def candidates(signatures: DataFrame) -> DataFrame:
+    """The first candidates, a < b."""
+    return led(filed(signatures))
+
+
+def parted(members: DataFrame, linked: DataFrame) -> DataFrame:
+    """key, id, component, first (the smallest id of the component there): members of files that hold several components besides leaders."""
+    named = members.where("id <> lo AND id <> hi").join(linked, F.col("id") == F.col("node"), "left").select("key", "id", F.coalesce("component", "id").alias("component"))
+    still = named.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
+    named = written(named.join(still, "key", "left_semi"))
+    return written(named.join(named.groupBy("key", "component").agg(F.min("id").alias("first")), ["key", "component"]).select("key", "id", "component", "first"))
+
+
+def others(parts: DataFrame, whole: bool = True, tile: int = TILE) -> DataFrame:
+    """a < b: pairs of members of a file that are in two components, all of them or those with the first of a component."""
+    units = written(tiled(parts.withColumn("first", F.col("first") == F.col("id")), tile))
+    right = units.where("side <> 1").select("key", "t", "u", *(F.col(c).alias(f"{c}2") for c in ("side", "id", "component", "first")))
+    pairs = units.where("side < 2").join(right, ["key", "t", "u"]).where("component <> component2 AND (side = 1 AND side2 = 2 OR side = 0 AND side2 = 0 AND id < id2)")
+    if not whole:
+        pairs = pairs.where("first OR first2")
+    return pairs.select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")).distinct()
+
+
+def grouped(rows: DataFrame, signatures: DataFrame, similarity: float = SIMILARITY, tile: int = TILE) -> DataFrame:
+    """node, component of the lines that have links."""
+    members = written(filed(signatures))
+    linked = written(components(verified(rows, written(led(members)), similarity)))
+    for whole in (False, True):
+        parts = parted(members, linked)
+        if parts.isEmpty():
+            break
+        more = written(verified(rows, written(others(parts, whole, tile)), similarity))
+        if not more.isEmpty():
+            linked = written(components(linked.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more)))
+    return linked
 
 
 def verified(rows: DataFrame, pairs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -92,7 +138,10 @@ def verified(rows: DataFrame, pairs: DataFrame, similarity: float = SIMILARITY)
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     texts = maybe_in(rows.select("id", "line"), ids).join(ids, "id", "left_semi").dropDuplicates(["id"])
     texts = written(texts)
-    both = pairs.join(texts.select(F.col("id").alias("a"), F.col("line").alias("la")), "a").join(texts.select(F.col("id").alias("b"), F.col("line").alias("lb")), "b")
+    # A fixed number of tasks: pairs take long for their bytes, by which adaptive execution would put them in one task.
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    other = texts.select(F.col("id").alias("b"), F.col("line").alias("lb")).repartition(tasks, "b").hint("merge")
+    both = pairs.join(texts.select(F.col("id").alias("a"), F.col("line").alias("la")), "a").join(other, "b")
     both = both.select("a", "b", F.array_distinct(_hashed(F.col("la"), _ANYWHERE)).alias("sa"), F.array_distinct(_hashed(F.col("lb"), _ANYWHERE)).alias("sb"))
     small, large = F.least(F.size("sa"), F.size("sb")), F.greatest(F.size("sa"), F.size("sb"))
     common = F.size(F.array_intersect("sa", "sb"))
@@ -103,8 +152,7 @@ def _kept(docs: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
     """The signatures, and doc_id, kept (positions of lines that stay) of documents that have some."""
     rows = lines(docs)
     signatures = written(signed(rows))
-    pairs = written(candidates(signatures))
-    linked = components(verified(rows, pairs, similarity))
+    linked = grouped(rows, signatures, similarity)
     first = signatures.groupBy("id").agg(F.min(F.struct("doc_id", "pos")).alias("at"))
     named = first.join(linked, first["id"] == linked["node"], "left").select(F.coalesce("component", "id").alias("component"), "at")
     heads = named.groupBy("component").agg(F.min("at").alias("at"))

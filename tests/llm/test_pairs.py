@@ -144,6 +144,23 @@ def test_line_dedup_keeps_one_line_a_group(spark):
     assert "Python" not in plan and "Arrow" not in plan
 
 
+@pytest.mark.parametrize(("n", "tile"), [(150, 8), (300, lines.TILE)])
+def test_line_dedup_joins_a_star_of_variants(spark, n, tile):
+    centre = words(1, 30).split()
+    # Each variant has another word somewhere; variants with different words replaced are near the centre only.
+    texts = [" ".join(centre)] + [" ".join([*centre[: k % 30], words(10_000 + k, 1)[:6], *centre[k % 30 + 1 :]]) for k in range(n)]
+    rows = lines.lines(docs_of(spark, [(k, t) for k, t in enumerate(texts)]))
+    signatures = common.written(lines.signed(rows))
+    sets = {r.id: frozenset(r.line[i : i + lines.SHINGLE] for i in range(len(r.line) - lines.SHINGLE + 1)) for r in rows.collect()}
+    near = lambda a, b: len(sets[a] & sets[b]) >= lines.SIMILARITY * len(sets[a] | sets[b])
+    hub = rows.where("doc_id = 0").first().id
+    keys = {r.id: set(r["keys"]) for r in signatures.collect()}
+    meant = {x for x in sets if x != hub and near(x, hub) and keys[x] & keys[hub]}
+    assert len(meant) > 0.9 * n
+    got = {r.node: r.component for r in lines.grouped(rows, signatures, tile=tile).collect()}
+    assert {got.get(x) for x in meant} == {got[hub]}
+
+
 def test_paragraphs_against_brute_force(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     paras, sets = [], {}
