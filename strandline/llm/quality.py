@@ -4,7 +4,10 @@ Two generative models over hashed word unigrams and bigrams, one of the target
 text (labelled good) and one of the raw text (every document), give each n-gram
 the log of its target-to-raw ratio.  A document's log weight is the mean ratio of
 its n-grams times ``LENGTH``, plus what single n-grams that hardly ever occur in
-target text take away (``TAIL``).  Documents are drawn without replacement by
+target text take away (``TAIL``) in the worst stretch of ``STRETCH`` n-grams, so
+that no document is rejected for its length.  The ratios of the second part are
+shrunk (``TAIL_SMOOTHING``), as a bucket of which little is expected in target text
+tells nothing by being empty.  Documents are drawn without replacement by
 Gumbel top-k: the k largest of log weight plus Gumbel noise (from the id, so a
 rerun draws the same).
 
@@ -16,7 +19,7 @@ harmless n-gram suffers only if both its buckets are bad.
 
 Bounds: the target model is fitted on at most ``MAX_TARGET`` labelled documents
 (those with the smallest hashed ids); the raw model and the scores cover all
-documents.  The broadcast model is 2 x 2 ** ``BITS`` doubles.
+documents.  The broadcast model is 4 x 2 ** ``BITS`` doubles.
 
 Defined results: null texts and texts without words have weight 0 minus
 ``EMPTY`` and are never drawn; a null id hashes as such and can't be a target; of
@@ -44,9 +47,11 @@ MAX_TARGET = 20_000
 LENGTH = 50.0
 TAIL = -0.7
 TAIL_WEIGHT = 4.0
+STRETCH = 200
 ACCEPT = -5.0
 EMPTY = 1e6
 SMOOTHING = 1.0
+TAIL_SMOOTHING = 4.0
 SEED = 17
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -75,6 +80,11 @@ def targets(labels: DataFrame, most: int = MAX_TARGET) -> DataFrame:
 
 def fit(docs: DataFrame, labels: DataFrame, bits: int = BITS, most: int = MAX_TARGET) -> np.ndarray:
     """Log ratio of target to raw by hash function and bucket."""
+    return models(docs, labels, bits, most)[0]
+
+
+def models(docs: DataFrame, labels: DataFrame, bits: int = BITS, most: int = MAX_TARGET) -> np.ndarray:
+    """Log ratios of target to raw by smoothing (of the mean, of the tail), hash function and bucket."""
     size = 1 << bits
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     # The target ids are bounded by ``most``.
@@ -104,11 +114,20 @@ def fit(docs: DataFrame, labels: DataFrame, bits: int = BITS, most: int = MAX_TA
         flat[batch.column(0).to_numpy()] = batch.column(1).to_numpy()
     raw, target = flat.reshape(2, _ROWS, size)
     if not target.any():
-        return np.zeros((_ROWS, size))
+        return np.zeros((2, _ROWS, size))
     share = raw / max(raw[0].sum(), 1)
     # Smoothed towards the raw model, so that what target text can't tell counts nothing.
     scale = target[0].sum()
-    return np.log((target + SMOOTHING) / (share * scale + SMOOTHING))
+    return np.stack([np.log((target + s) / (share * scale + s)) for s in (SMOOTHING, TAIL_SMOOTHING)])
+
+
+def weight_of(got: np.ndarray, ratios: np.ndarray) -> float:
+    """Log weight of a document with these buckets."""
+    if not got.shape[1]:
+        return -EMPTY
+    ratio, shrunk = (np.maximum(table[0][got[0]], table[1][got[1]]) for table in ratios)
+    tails = np.add.reduceat(np.minimum(shrunk - TAIL, 0), np.arange(0, got.shape[1], STRETCH))
+    return float(LENGTH * ratio.mean() + TAIL_WEIGHT * tails.min())
 
 
 def scored(docs: DataFrame, ratios: np.ndarray, bits: int = BITS) -> DataFrame:
@@ -119,12 +138,7 @@ def scored(docs: DataFrame, ratios: np.ndarray, bits: int = BITS) -> DataFrame:
     at = docs.columns.index("text")
 
     def weight(text: str | None) -> float:
-        got = buckets(text, bits)
-        if not got.shape[1]:
-            return -EMPTY
-        table = shared.value
-        ratio = np.maximum(table[0][got[0]], table[1][got[1]])
-        return float(LENGTH * ratio.mean() + TAIL_WEIGHT * np.minimum(ratio - TAIL, 0).sum())
+        return weight_of(buckets(text, bits), shared.value)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -161,10 +175,10 @@ def drawn(scores: DataFrame, accept: float = ACCEPT) -> DataFrame:
 def report(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, log_weight, gumbel_key, selected: one row a document."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return drawn(written(scored(rows, fit(docs, labels))))
+    return drawn(written(scored(rows, models(docs, labels))))
 
 
 def keep(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The drawn rows of ``docs``, all columns kept."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
-    return drawn(written(scored(rows, fit(docs, labels)))).where("selected").select("row.*")
+    return drawn(written(scored(rows, models(docs, labels)))).where("selected").select("row.*")

@@ -161,3 +161,20 @@ def test_words_of_small_texts(text):
 
 def test_schema_of_helper_table(spark):
     assert docs_of(spark, []).columns == [c.split()[0] for c in DOCS.split(", ")]
+
+
+@pytest.mark.parametrize(("size", "step"), [("sf0.01", 1), ("sf0.1", 3)])
+def test_quality_accepts_withheld_good_documents_of_any_length(spark, size, step):
+    docs, labels = (spark.read.parquet(f"/root/testdata/{size}/{name}.parquet") for name in ("documents", "labels"))
+    docs = docs.where(F.col("doc_id") % step == 0)
+    good = {r["__target"] for r in quality.targets(labels).collect()}
+    held = {i for i in good if zlib.crc32(str(i).encode()) % 2 == 0}
+    ratios = quality.models(docs, labels.where(~F.col("doc_id").isin(sorted(held))))
+    classes = {}
+    for r in docs.where(F.col("doc_id").isin(sorted(held))).collect():
+        got = quality.buckets(r.text)
+        at = sum(got.shape[1] >= edge for edge in (500, 2000))
+        classes.setdefault(at, []).append(quality.weight_of(got, ratios) >= quality.ACCEPT)
+    assert len(classes) == 3
+    for at, accepted in classes.items():
+        assert np.mean(accepted) >= 0.9, (at, np.mean(accepted), len(accepted))
