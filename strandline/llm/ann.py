@@ -147,14 +147,17 @@ def _filed(reps: DataFrame, hashes: Hashes, probing: bool) -> DataFrame:
 def _nearest(index: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """query, id, score: for each query and bucket the ``k`` nearest representatives in it; sides are key, id, v."""
     sizes = index.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > BUCKET)
-    sizes = sizes.select("key", F.ceil(F.col("n") / BUCKET).cast("int").alias("parts"))
+    # Written, so that adaptive execution can split a hot bucket's rows in the joins.
+    sizes = written(sizes.select("key", F.ceil(F.col("n") / BUCKET).cast("int").alias("parts")))
     parts = F.coalesce("parts", F.lit(1))
     left = index.join(sizes, "key", "left").select("key", F.pmod(F.xxhash64("id"), parts).cast("int").alias("part"), F.lit(0).alias("side"), "id", "v")
     right = queries.join(sizes, "key", "left").select("key", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), F.lit(1).alias("side"), "id", "v")
     both = left.unionByName(right).repartition("key", "part").sortWithinPartitions("key", "part", "side")
 
     def top(q: np.ndarray, qid: np.ndarray, x: np.ndarray, xid: np.ndarray) -> tuple[list, list, list]:
-        rough = (q**2).sum(1)[:, None] + (x**2).sum(1)[None, :] - 2 * (q @ x.T)
+        # From a point of the bucket, so that a large common offset doesn't drown the distances.
+        a, b = q - x[0], x - x[0]
+        rough = (a**2).sum(1)[:, None] + (b**2).sum(1)[None, :] - 2 * (a @ b.T)
         short = min(2 * k + 16, len(x))  # more than is kept, so that rounding of the rough form doesn't matter
         pick = np.argpartition(rough, short - 1, axis=1)[:, :short]
         exact = np.sqrt(((x[pick] - q[:, None, :]) ** 2).sum(axis=2))

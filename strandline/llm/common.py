@@ -33,21 +33,31 @@ def written(df: DataFrame, codec: str = "zstd") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def forget(df: DataFrame) -> None:
+    """Delete the files of a :func:`written` table that nothing reads any more."""
+    path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.inputFiles()[0]).getParent() if df.inputFiles() else None
+    if path is not None:
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def shape(df: DataFrame) -> tuple[int, int]:
     """Row count and an order-free digest of two-long-column edges."""
     got = df.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64(*df.columns)).alias("x")).first()
     return got["n"], got["x"] or 0
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """Connected components by alternating large-star and small-star contraction.
 
     ``edges`` has two columns of one sortable type; rows are undirected links,
     self links and nulls are ignored.  Returns ``node, component`` for every
     node that has a link, ``component`` the smallest node reachable.  Each round
     is two grouped minima (combined before their shuffle) and two equi-joins on
-    small rows, and ends in a table written to the shared folder.  An empty
-    input gives an empty result.
+    small rows, and ends in a table written to the shared folder, after which the
+    round's own input is deleted.  The minima are written before they are joined,
+    so that adaptive execution knows their size and can split a hub's rows.  Rounds
+    end when the links no longer change, after about the logarithm of the longest
+    path.  An empty input gives an empty result.
     """
     a, b = edges.columns[:2]
     cur = (
@@ -57,28 +67,27 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     )
     cur = written(cur)
     seen = shape(cur)
-    for _ in range(max_rounds):
-        if seen[0] == 0:
-            break
+    while seen[0]:
         both = cur.unionByName(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        low = written(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
         large = (
             both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
         )
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        large = written(large)
+        least = written(large.groupBy("u").agg(F.min("v").alias("m")))
         small = (
-            large.join(low, "u")
+            large.join(least, "u")
             .select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
             .where("u != v")
             .distinct()
         )
-        cur = written(small)
+        before, cur = cur, written(small)
         now = shape(cur)
+        for done in (before, low, large, least):
+            forget(done)
         if now == seen:
             break
         seen = now
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     stars = cur.groupBy("u").agg(F.min("v").alias("v"))
     return stars.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
         stars.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
@@ -102,7 +111,8 @@ def tiled(filed: DataFrame, tile: int, counts: DataFrame | None = None) -> DataF
     """
     rest = [c for c in filed.columns if c != "key"]
     counts = filed.groupBy("key").agg(F.count("*").alias("n")) if counts is None else counts
-    sizes = counts.where("n > 1").select("key", F.ceil(F.col("n") / tile).cast("int").alias("tiles"))
+    # Written, so that adaptive execution can split a hot key's rows in the join.
+    sizes = written(counts.where("n > 1").select("key", F.ceil(F.col("n") / tile).cast("int").alias("tiles")))
     filed = filed.join(sizes, "key")
     mine = F.pmod(F.xxhash64("id", "key"), F.col("tiles")).cast("int")
     zero = F.lit(0)

@@ -5,9 +5,10 @@ the driver and broadcast.  Each training text streams through it: the state and
 the longest match ending at every word give the windows that occur.
 
 The automaton is bounded: items are dealt into shards of at most
-``MAX_AUTOMATON_WORDS`` words, one automaton and one pass over the texts each,
-and what the passes find is merged by document.  One shard is the usual case and
-needs no shuffle at all.
+``MAX_AUTOMATON_WORDS`` words.  Each shard's automaton is built, broadcast, run over
+all texts and released before the next is read, and each pass adds what it finds to
+the rows that the one before has written.  One shard is the usual case and needs
+neither a written table nor a shuffle.
 
 Defined results: null texts and texts without words have no words and are kept;
 null items and items without words match nothing; repeated items count by their
@@ -27,6 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strandline.llm.common import forget, written
+
 WINDOW = 10
 #: Words of the items in one broadcast automaton (a few hundred bytes each).
 MAX_AUTOMATON_WORDS = 500_000
@@ -159,23 +162,22 @@ class Automaton:
         return len(ws), hit, found
 
 
-def _shards(benchmark: DataFrame, limit: int) -> list[list[tuple[str, list[bytes]]]]:
-    """Items in shards of at most ``limit`` words (a longer item is a shard of its own).
+def _shards(benchmark: DataFrame, limit: int) -> Iterator[list[tuple[str, list[bytes]]]]:
+    """Items in shards of at most ``limit`` words (a longer item is a shard of its own), at least one.
 
-    Read item by item from the partitions, so the driver holds one shard's worth at a time beside the next item.
+    Read partition by partition, so the driver holds one shard beside the partition being read.
     """
-    shards: list[list] = [[]]
-    total = 0
+    items, total = [], 0
     rows = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), F.col("text").cast("string").alias("text"))
     for row in rows.where(F.col("text").isNotNull()).toLocalIterator():
         ws = words(row["text"])
+        if ws and total and total + len(ws) > limit:
+            yield items
+            items, total = [], 0
         if ws:
-            if total and total + len(ws) > limit:
-                shards.append([])
-                total = 0
-            shards[-1].append((row["item_id"], ws))
+            items.append((row["item_id"], ws))
             total += len(ws)
-    return shards
+    yield items
 
 
 def _word_spans(text: str, flags: np.ndarray) -> list[tuple[int, int]]:
@@ -196,10 +198,21 @@ def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, limit: int
     """The rows of ``docs`` with n_words, runs (edges of runs of hit words, in words) and items (ids, sorted)."""
     clash = {"n_words", "runs", "items", "__row"} & set(docs.columns)
     docs = docs.select(*(F.col(f"`{c}`").alias(f"{c}__in" if c in clash else c) for c in docs.columns))
-    shards = _shards(benchmark, limit)
     sc = docs.sparkSession.sparkContext
-    for k, items in enumerate(shards):
-        docs = _pass(docs, sc.broadcast(Automaton(items, window)), merge=k > 0)
+    shards = _shards(benchmark, limit)
+    items, merge = next(shards), False
+    while items is not None:
+        following = next(shards, None)
+        machine = sc.broadcast(Automaton(items, window))
+        done = _pass(docs, machine, merge)
+        if following is None:
+            return done
+        # Run and released before the next one is built: one automaton at a time.
+        before, docs = docs, written(done)
+        machine.unpersist()
+        if merge:
+            forget(before)
+        items, merge = following, True
     return docs
 
 

@@ -1,7 +1,7 @@
 """Packing by concatenate and cut.
 
 Pass one tokenises every document once and writes, per document, its ids (two
-bytes each) and its offset among the documents of its task.  The per-task token
+bytes each, four for a vocabulary of more than 65,536) and its offset among the documents of its task.  The per-task token
 totals are one small row a task; their prefix sum turns task offsets into global
 offsets.  Pass two cuts every document where its global interval crosses a
 multiple of the window; a document that crosses one becomes boundary records.
@@ -59,30 +59,35 @@ def words_of(text: str) -> list[str] | None:
     return _RUNS.findall(text.lower())
 
 
+def id_form(size: int) -> str:
+    """How ids of a vocabulary of so many are kept: two bytes, or four where two can't hold them."""
+    return "<u2" if size <= 1 << 16 else "<u4"
+
+
 def encoder(vocabulary: str):
-    """text -> little-endian unsigned 16-bit ids, with one cache a worker."""
+    """texts -> little-endian unsigned ids (:func:`id_form`), with one cache a worker."""
     if vocabulary not in _workers:
         from tokenizers import Tokenizer
 
         tok = Tokenizer.from_file(vocabulary)
         size = max(tok.get_vocab().values()) + 1
-        if size > 1 << 16:
-            raise ValueError("ids are kept in two bytes; use a vocabulary of at most 65,536 ids")
         ends = np.zeros(size, dtype=bool)
         for token, i in tok.get_vocab().items():
             ends[i] = token.endswith("</w>")
         _workers[vocabulary] = (tok, ends, {})
     tok, ends, cache = _workers[vocabulary]
+    form = id_form(len(ends))
+    width = np.dtype(form).itemsize
 
     def plain(text: str) -> bytes:
-        return np.array(tok.encode(text, add_special_tokens=False).ids, dtype="<u2").tobytes()
+        return np.array(tok.encode(text, add_special_tokens=False).ids, dtype=form).tobytes()
 
     def learn(missing: list[str]) -> None:
         letters = [w for w in missing if w.isalpha()]
         for at in range(0, len(letters), 1000):
             some = letters[at : at + 1000]
-            ids = np.array(tok.encode(" ".join(some), add_special_tokens=False).ids, dtype="<u2")
-            cuts = (2 * (np.flatnonzero(ends[ids]) + 1)).tolist()
+            ids = np.array(tok.encode(" ".join(some), add_special_tokens=False).ids, dtype=form)
+            cuts = (width * (np.flatnonzero(ends[ids]) + 1)).tolist()
             if len(cuts) == len(some):  # each letter run is one pre-token, which ends in one marked id
                 raw = ids.tobytes()
                 cache.update(zip(some, map(raw.__getitem__, map(slice, [0, *cuts], cuts)), strict=False))
@@ -97,22 +102,22 @@ def encoder(vocabulary: str):
         learn(list(missing))
         return [plain(t) if ws is None else b"".join(map(cache.__getitem__, ws)) for t, ws in zip(texts, parts, strict=True)]
 
-    return encode
+    return encode, form
 
 
 def tokenised(docs: DataFrame, vocabulary: str | None = None, end_id: int = END_ID) -> DataFrame:
-    """doc_id, ids (16-bit little-endian, with the end id), n, task, start_in_task: written to the shared folder."""
+    """doc_id, ids (little-endian, two or four bytes each, with the end id), n, task, start_in_task: written to the shared folder."""
     vocabulary = vocabulary or default_vocabulary()
-    tail = np.array([end_id], dtype="<u2").tobytes()
     schema = pa.schema([("doc_id", pa.int64()), ("task", pa.int64()), ("start_in_task", pa.int64()), ("n", pa.int64()), ("ids", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, task, at = encoder(vocabulary), TaskContext.get().partitionId(), 0
+        (encode, form), task, at = encoder(vocabulary), TaskContext.get().partitionId(), 0
+        tail = np.array([end_id], dtype=form).tobytes()
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
                 ids = [x + tail for x in encode([t or "" for t in part.column(1).to_pylist()])]
-                n = np.array([len(x) // 2 for x in ids], dtype=np.int64)
+                n = np.array([len(x) // len(tail) for x in ids], dtype=np.int64)
                 starts = at + np.cumsum(n) - n
                 at += int(n.sum())
                 yield pa.RecordBatch.from_arrays(
@@ -136,13 +141,14 @@ def cut(tokens: DataFrame, window: int = WINDOW) -> DataFrame:
         for batch in batches:
             cols: list[list] = [[] for _ in names]
             for doc, at, n, ids in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
-                wide = np.frombuffer(ids, dtype="<u2").astype("<u4").tobytes()
+                width = len(ids) // n
+                wide = np.frombuffer(ids, dtype=f"<u{width}").astype("<u4").tobytes()
                 start = 0
                 while start < n:
                     seq, offset = divmod(at + start, window)
                     length = min(window - offset, n - start)
                     piece = wide[4 * start : 4 * (start + length)]
-                    for col, v in zip(cols, (doc, start, length, n, seq, offset, zlib.crc32(piece), ids[2 * start : 2 * (start + length)]), strict=True):
+                    for col, v in zip(cols, (doc, start, length, n, seq, offset, zlib.crc32(piece), ids[width * start : width * (start + length)]), strict=True):
                         col.append(v)
                     start += length
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
@@ -159,7 +165,7 @@ def pack(docs: DataFrame, window: int = WINDOW, vocabulary: str | None = None, e
 
 
 def sequences(pieces: DataFrame) -> DataFrame:
-    """sequence_id, length, ids (16-bit little-endian): the packed sequences themselves, each at most a window."""
+    """sequence_id, length, ids (as in the pieces): the packed sequences themselves, each at most a window."""
     parts = F.sort_array(F.collect_list(F.struct("offset", "ids")))
     joined = F.aggregate(parts, F.lit(b"").cast("binary"), lambda acc, p: F.concat(acc, p["ids"]))
     return pieces.groupBy("sequence_id").agg(F.sum("length").alias("length"), joined.alias("ids"))

@@ -2,17 +2,20 @@
 
 Two generative models over hashed word unigrams and bigrams, one of the target
 text (labelled good) and one of the raw text (every document), give each n-gram
-the log of its target-to-raw ratio.  A document's log weight is the mean ratio of
-its n-grams times ``LENGTH``, plus what single n-grams that hardly ever occur in
-target text take away (``TAIL``) in the worst stretch of ``STRETCH`` n-grams, so
-that no document is rejected for its length.  The ratios of the second part are
-shrunk (``TAIL_SMOOTHING``), as a bucket of which little is expected in target text
-tells nothing by being empty.  Documents are drawn without replacement by
-Gumbel top-k: the k largest of log weight plus Gumbel noise (from the id, so a
-rerun draws the same).
-
-``k`` is the number of documents whose log weight is at least ``ACCEPT``: the
-draw is as large as the part of the corpus that looks like target text.
+the log of its target-to-raw ratio.  A document's log weight is the sum over its
+n-grams, the log of the ratio of the two models' likelihoods.  Documents are drawn
+without replacement by Gumbel top-k: the k largest of log weight plus Gumbel noise
+(from the id, so a rerun draws the same).
+
+``k`` is the number of eligible documents whose log weight is at least ``ACCEPT``:
+the draw is as large as the part of the corpus that looks like target text.
+
+One rule stands apart from the weight, as a few words can make a long document
+unfit: the worst stretch of ``STRETCH`` n-grams, the sum of what their ratios lie
+below ``TAIL``, must be at least ``WORST``.  A stretch has the same size in every
+document, so none is rejected for its length, and these ratios are shrunk
+(``TAIL_SMOOTHING``), as a bucket of which little is expected in target text tells
+nothing by being empty.  Documents that break the rule aren't eligible for the draw.
 
 Each n-gram is counted under two hash functions and takes the larger ratio, so a
 harmless n-gram suffers only if both its buckets are bad.
@@ -21,11 +24,10 @@ Bounds: the target model is fitted on at most ``MAX_TARGET`` labelled documents
 (those with the smallest hashed ids); the raw model and the scores cover all
 documents.  The broadcast model is 4 x 2 ** ``BITS`` doubles.
 
-Defined results: null texts and texts without words have weight 0 minus
-``EMPTY`` and are never drawn; a null id hashes as such and can't be a target; of
-several labels of a document one good label is enough unless another calls it bad;
-without target documents every ratio is 0 and all documents with words are drawn;
-equal keys are ordered by id and rows
+Defined results: null texts and texts without words have a null weight and are never
+drawn; a null id hashes as such and can't be a target; of several labels of a document
+one good label is enough unless another calls it bad; without target documents every
+ratio is 0 and all documents with words are drawn; equal keys are ordered by id and rows
 equal in both are drawn together; repeated rows count each; further columns are
 kept by :func:`keep`.
 """
@@ -44,14 +46,12 @@ from strandline.llm.common import written
 
 BITS = 16
 MAX_TARGET = 20_000
-LENGTH = 50.0
-TAIL = -0.7
-TAIL_WEIGHT = 4.0
+ACCEPT = -3.0
 STRETCH = 200
-ACCEPT = -5.0
-EMPTY = 1e6
+TAIL = -0.4
+WORST = -2.0
 SMOOTHING = 1.0
-TAIL_SMOOTHING = 4.0
+TAIL_SMOOTHING = 8.0
 SEED = 17
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -84,7 +84,7 @@ def fit(docs: DataFrame, labels: DataFrame, bits: int = BITS, most: int = MAX_TA
 
 
 def models(docs: DataFrame, labels: DataFrame, bits: int = BITS, most: int = MAX_TARGET) -> np.ndarray:
-    """Log ratios of target to raw by smoothing (of the mean, of the tail), hash function and bucket."""
+    """Log ratios of target to raw by smoothing (of the weight, of the worst stretch), hash function and bucket."""
     size = 1 << bits
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     # The target ids are bounded by ``most``.
@@ -121,43 +121,42 @@ def models(docs: DataFrame, labels: DataFrame, bits: int = BITS, most: int = MAX
     return np.stack([np.log((target + s) / (share * scale + s)) for s in (SMOOTHING, TAIL_SMOOTHING)])
 
 
-def weight_of(got: np.ndarray, ratios: np.ndarray) -> float:
-    """Log weight of a document with these buckets."""
+def weights_of(got: np.ndarray, ratios: np.ndarray) -> tuple[float | None, float]:
+    """Log weight and worst stretch of a document with these buckets."""
     if not got.shape[1]:
-        return -EMPTY
+        return None, 0.0
     ratio, shrunk = (np.maximum(table[0][got[0]], table[1][got[1]]) for table in ratios)
-    tails = np.add.reduceat(np.minimum(shrunk - TAIL, 0), np.arange(0, got.shape[1], STRETCH))
-    return float(LENGTH * ratio.mean() + TAIL_WEIGHT * tails.min())
+    stretches = np.add.reduceat(np.minimum(shrunk - TAIL, 0), np.arange(0, got.shape[1], STRETCH))
+    return float(ratio.sum()), float(stretches.min())
 
 
 def scored(docs: DataFrame, ratios: np.ndarray, bits: int = BITS) -> DataFrame:
-    """``doc_id, text`` and ``row`` (a struct of anything) with log_weight and gumbel_key instead of text."""
+    """``doc_id, text`` and ``row`` (a struct of anything) with log_weight, worst_stretch and gumbel_key instead of text."""
     shared = docs.sparkSession.sparkContext.broadcast(ratios)
     kept = [f for f in docs.schema if f.name != "text"]
-    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept) + ", log_weight double"
+    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept) + ", log_weight double, worst_stretch double"
     at = docs.columns.index("text")
 
-    def weight(text: str | None) -> float:
-        return weight_of(buckets(text, bits), shared.value)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            w = pa.array([weight(t) for t in batch.column(at).to_pylist()], pa.float64())
-            cols = [c for k, c in enumerate(batch.columns) if k != at]
-            yield pa.RecordBatch.from_arrays([*cols, w], names=[*(f.name for f in kept), "log_weight"])
+            got = [weights_of(buckets(t, bits), shared.value) for t in batch.column(at).to_pylist()]
+            cols = [pa.array([g[k] for g in got], pa.float64()) for k in (0, 1)]
+            rest = [c for k, c in enumerate(batch.columns) if k != at]
+            yield pa.RecordBatch.from_arrays([*rest, *cols], names=[*(f.name for f in kept), "log_weight", "worst_stretch"])
 
     uniform = (F.pmod(F.xxhash64("doc_id", F.lit(SEED)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
     return docs.mapInArrow(run, ddl).withColumn("gumbel_key", F.col("log_weight") - F.log(-F.log(uniform)))
 
 
-def drawn(scores: DataFrame, accept: float = ACCEPT) -> DataFrame:
-    """``scores`` (read three times, so written before) with selected: whether the row is among the k largest keys.
+def drawn(scores: DataFrame, accept: float = ACCEPT, worst: float = WORST) -> DataFrame:
+    """``scores`` (read three times, so written before) with selected: whether the row is among the k largest keys of eligible rows.
 
     The k-th key comes from a range partitioning by key and the row counts of its
     partitions; no task sees all rows, and the driver one row.
     """
     last = F.coalesce(F.col("doc_id"), F.lit((1 << 63) - 1))
-    keys = scores.where(F.col("log_weight") > -EMPTY).select("gumbel_key", last.alias("tie"), (F.col("log_weight") >= accept).cast("long").alias("like"))
+    eligible = F.col("log_weight").isNotNull() & (F.col("worst_stretch") >= worst)
+    keys = scores.where(eligible).select("gumbel_key", last.alias("tie"), (F.col("log_weight") >= accept).cast("long").alias("like"))
     k = keys.agg(F.sum("like")).first()[0]
     if not k:
         return scores.withColumn("selected", F.lit(False))
@@ -169,11 +168,11 @@ def drawn(scores: DataFrame, accept: float = ACCEPT) -> DataFrame:
     cut = placed.where(F.col("part") == part).select("*", F.row_number().over(Window.partitionBy("part").orderBy(*order)).alias("rank"))
     key, tie = cut.where(F.col("rank") == k - ahead).select("gumbel_key", "tie").first()
     ahead_of = (F.col("gumbel_key") > key) | ((F.col("gumbel_key") == key) & (last <= tie))
-    return scores.withColumn("selected", ahead_of & (F.col("log_weight") > -EMPTY))
+    return scores.withColumn("selected", F.coalesce(eligible & ahead_of, F.lit(False)))
 
 
 def report(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, log_weight, gumbel_key, selected: one row a document."""
+    """doc_id, log_weight, worst_stretch, gumbel_key, selected: one row a document."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return drawn(written(scored(rows, models(docs, labels))))
 

@@ -12,8 +12,8 @@ Tasks return links that span what they found, not all pairs; components follow.
 
 Defined results: a null text or one without words has fingerprint zero, linked
 like any other; rows with a null ``doc_id`` get their fingerprint and their
-group's smallest id (null if no row of the group has one); repeated rows and ids
-are kept, and rows that repeat an id are linked only by what their texts say;
+group's smallest id (null if no row of the group has one); reports have a row for
+every row, and rows that repeat an id are linked only by what their texts say;
 an empty table gives an empty result; further columns are ignored by
 :func:`fingerprints` and kept by :func:`keep_one`.
 """
@@ -63,16 +63,23 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     return int(np.packbits(2 * ones > count, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """doc_id, fp (the 64 bits as a signed long): one row a document."""
+def _fingerprinted(rows: DataFrame, name: str, shingle: int = SHINGLE) -> DataFrame:
+    """``rows`` with the fingerprint (64 bits as a signed long) under ``name`` in place of ``text``."""
+    at = rows.columns.index("text")
+    kept = [f for f in rows.schema if f.name != "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = np.array([fingerprint(t, shingle) for t in batch.column(1).to_pylist()], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(got)], names=["doc_id", "fp"])
+            got = np.array([fingerprint(t, shingle) for t in batch.column(at).to_pylist()], dtype=np.uint64).view(np.int64)
+            cols = [c for k, c in enumerate(batch.columns) if k != at]
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(got)], names=[*(f.name for f in kept), name])
+
+    return rows.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept) + f", `{name}` long")
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, fp long")
+
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+    """doc_id, fp (the 64 bits as a signed long): one row a document."""
+    return _fingerprinted(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), "fp", shingle)
 
 
 def within(fp: np.ndarray, left: np.ndarray, right: np.ndarray, radius: int) -> np.ndarray:
@@ -186,13 +193,15 @@ def near_links(distinct_fps: DataFrame, radius: int = RADIUS, tile: int = TILE)
 def grouped(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """doc_id, fp, component_id (the smallest doc_id reachable): one row a document."""
     fps = written(fingerprints(docs))
-    distinct = fps.groupBy("fp").agg(F.min("doc_id").alias("low"))
+    distinct = written(fps.groupBy("fp").agg(F.min("doc_id").alias("low")))
     linked = components(near_links(distinct.select("fp"), radius))
     named = distinct.join(linked, distinct["fp"] == linked["node"]).select("fp", "component", "low")
     lows = named.groupBy("component").agg(F.min("low").alias("component_id"))
     # Only fingerprints that have links need more than their own smallest id.
     names = named.join(lows, "component").select("fp", "component_id")
     names = distinct.join(names, "fp", "left").select("fp", F.coalesce("component_id", "low").alias("component_id"))
+    # Written, so that a fingerprint that very many documents share is split in the join.
+    names = written(names)
     return fps.join(names, "fp").select("doc_id", "fp", "component_id")
 
 
@@ -202,9 +211,20 @@ def report(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """The rows of ``docs`` that are the smallest id of their group, all columns kept.
+    """One row of each group of near copies, all columns kept: one with the group's smallest id.
 
-    Rows with a null id, which can't be told apart, all stay; so do rows that repeat an id that stays.
+    Rows that share an id are judged by their own texts, and of equal ones one stays.
+    Rows with a null id, which can't be told apart, all stay.
     """
-    gone = grouped(docs, radius).where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
+    groups = written(grouped(docs, radius).where("doc_id IS NOT NULL"))
+    by_id = groups.groupBy("doc_id").agg(F.count("*").alias("n"), F.max(F.col("doc_id") != F.col("component_id")).alias("copy"))
+    gone = by_id.where("copy OR n > 1").select(F.col("doc_id").alias("__gone"))
+    stays = docs.join(gone, docs["doc_id"].cast("long") == gone["__gone"], "left_anti")
+    # Ids of several rows: the head of a group is the smallest fingerprint of its smallest id.
+    several = written(by_id.where("n > 1").select(F.col("doc_id").alias("__id")))
+    if several.isEmpty():
+        return stays
+    heads = groups.where("doc_id = component_id").groupBy("component_id").agg(F.min("fp").alias("__fp")).select(F.col("component_id").alias("__id"), "__fp")
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("doc_id").cast("long").alias("__id"), F.col("text").cast("string").alias("text"))
+    rows = _fingerprinted(rows.join(several, "__id", "left_semi"), "__fp").dropDuplicates(["__id", "__fp"])
+    return stays.unionByName(rows.join(heads, ["__id", "__fp"], "left_semi").select("row.*"))

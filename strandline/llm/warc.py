@@ -1,25 +1,29 @@
 """WARC archives through a chunked record table.
 
-Payloads travel as rows of record id and chunk number, never whole: the writer's
-input holds each record's gzip member in chunks, the reader gives back one row a
-chunk with the digest so far, and a record's last chunk carries its full digest.
-
-Writing takes four steps: digest every payload (built-in functions); per digest
-find the smallest id; join that small result to the chunk rows by id; append the
-rows of each task to archive files in the shared folder, a new file every
-``FILE_BYTES``.  File names hold the task attempt, and only files of attempts that
-reached the written manifest are read, so retried tasks do no harm.
-
-Defined results: a null payload is an empty one; rows with a null id are left out
-(a record needs an id); of rows that repeat an id with the same payload one is
-kept, and an id with several payloads is refused with an error, as a record id
-names one record; an empty table gives no archive; further columns are ignored.
+Payloads travel as rows of record and chunk number: the writer's input holds each
+record's gzip member in chunks of at most ``CHUNK`` bytes of payload, each with the
+digest so far, and the reader gives back one row a chunk in the same way.  A record's
+last chunk carries its full digest, which must be the one in its headers.
+
+Writing takes three steps: digest every payload (built-in functions); find the
+smallest id of each payload that occurs more than once; chunk the rows, of revisits
+the headers alone, and append the chunks of each task to archive files in the shared
+folder, a new file every ``FILE_BYTES``.  Payloads that occur once don't move between
+tasks.  File names hold the task attempt, and only files of attempts that reached the
+written manifest are read, so retried tasks do no harm.
+
+Defined results: every row gives a record, repeated rows and rows that share an id
+with other payloads too; a null payload is an empty one; of equal payloads rows with
+the smallest id are responses and all others revisit it, a null id among them, which
+is a response where no row with an id has its payload; an empty table gives no
+archive; further columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import zlib
 from collections.abc import Iterator
 from urllib.parse import quote, unquote
@@ -27,10 +31,10 @@ from urllib.parse import quote, unquote
 import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.common import shared_dir, written
+from strandline.llm.common import shared_dir, with_maybe, written
 
 CHUNK = 1 << 20
 FILE_BYTES = 64 << 20
@@ -49,20 +53,41 @@ def base32_sha1(data: Column) -> Column:
     return F.concat(*(symbol(group(g), k) for g in range(8) for k in range(4)))
 
 
-def plan(pages: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
-    """page_id, refers_to of the pages that revisit another page's equal payload."""
-    data = F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary")
-    seen = pages.where("page_id IS NOT NULL").select(F.col("page_id").cast("long").alias("page_id"), F.sha1(data).alias("digest"), F.octet_length(data).alias("size"))
-    seen = written(seen.where(F.col("size") >= min_bytes).distinct())
-    first = seen.groupBy("digest", "size").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1").drop("n")
-    return seen.join(first, ["digest", "size"]).where("page_id <> refers_to").select("page_id", "refers_to")
+def _source(pages: DataFrame) -> DataFrame:
+    """page_id, url, data, digest (hex), size of every row."""
+    url = F.coalesce(F.col("url").cast("string"), F.lit("")) if "url" in pages.columns else F.lit("")
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), url.alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary").alias("data"))
+    return rows.select("page_id", "url", "data", F.sha1("data").alias("digest"), F.octet_length("data").cast("long").alias("size"))
+
+
+def firsts(pages: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
+    """digest, size, first: the smallest id of each payload of several rows."""
+    rows = _source(pages).select("page_id", "digest", "size").where(F.col("size") >= min_bytes)
+    rows = rows.groupBy("digest", "size").agg(F.min("page_id").alias("first"), F.count("*").alias("n"))
+    return rows.where("n > 1 AND first IS NOT NULL").drop("n")
+
+
+def planned(pages: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
+    """page_id, url, digest, size, refers_to, data (null for revisits) of every row."""
+    first = written(firsts(pages, min_bytes))
+    key = lambda c: F.xxhash64(c).alias("__key")
+    rows = with_maybe(_source(pages).withColumn("__key", key("digest")), first.select(key("digest")), "__key", "__maybe").drop("__key")
+    alone = rows.where("NOT __maybe").drop("__maybe").withColumn("first", F.lit(None).cast("long"))
+    rows = alone.unionByName(rows.where("__maybe").drop("__maybe").join(first, ["digest", "size"], "left").select(*alone.columns))
+    revisit = F.col("first").isNotNull() & (F.col("page_id").isNull() | (F.col("page_id") != F.col("first")))
+    refers = F.when(revisit, F.col("first"))
+    return rows.select("page_id", "url", "digest", "size", refers.alias("refers_to"), F.when(~revisit, F.col("data")).alias("data"))
+
+
+def _name(page: int | None, digest: str) -> str:
+    return f"<urn:page:{'none' if page is None else page}:{digest}>"
 
 
-def _headers(kind: str, page: int, url: str, digest: str, size: int, refers_to: int | None) -> bytes:
+def _headers(kind: str, page: int | None, url: str, digest: str, size: int, refers_to: int | None) -> bytes:
     lines = [
         "WARC/1.1",
         f"WARC-Type: {kind}",
-        f"WARC-Record-ID: <urn:page:{page}>",
+        f"WARC-Record-ID: {_name(page, digest)}",
         f"WARC-Date: {_DATE}",
         f"WARC-Target-URI: {quote(url, safe=':/?#[]@!$&()*+,;=%~')}",
         f"WARC-Payload-Digest: sha1:{digest}",
@@ -70,100 +95,92 @@ def _headers(kind: str, page: int, url: str, digest: str, size: int, refers_to:
         "Content-Type: text/html; charset=utf-8",
     ]
     if refers_to is not None:
-        lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <urn:page:{refers_to}>"]
+        lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {_name(refers_to, digest)}"]
     lines.append(f"Content-Length: {0 if refers_to is not None else size}")
     return ("\r\n".join(lines) + "\r\n\r\n").encode()
 
 
-def _member(*parts: bytes) -> Iterator[bytes]:
-    """A gzip member of the parts, in blocks."""
-    squeeze = zlib.compressobj(6, zlib.DEFLATED, 31)
-    for part in parts:
-        view = memoryview(part)
-        for at in range(0, len(view), CHUNK):
-            if out := squeeze.compress(view[at : at + CHUNK]):
-                yield out
-    yield squeeze.flush()
+def _chunks(page: int | None, url: str, digest: str, size: int, refers_to: int | None, data) -> Iterator[tuple[int, str, bytes]]:
+    """chunk, digest so far, bytes of the archive: a record's gzip member."""
+    squeeze, sha = zlib.compressobj(6, zlib.DEFLATED, 31), hashlib.sha1()
+    so_far = lambda: base64.b32encode(sha.digest()).decode()
+    out = squeeze.compress(_headers("response" if refers_to is None else "revisit", page, url, digest, size, refers_to))
+    view, chunk = memoryview(data if data is not None else b""), 0
+    for at in range(0, len(view), CHUNK):
+        part = view[at : at + CHUNK]
+        sha.update(part)
+        out += squeeze.compress(part)
+        if at + CHUNK < len(view):
+            yield chunk, so_far(), out
+            out, chunk = b"", chunk + 1
+    if refers_to is None and so_far() != digest:
+        raise ValueError(f"page {page}: the payload isn't that of its digest")
+    yield chunk, digest, out + squeeze.compress(b"\r\n\r\n") + squeeze.flush()
 
 
-def chunk_rows(pages: DataFrame) -> DataFrame:
-    """page_id, chunk, url, digest, size, data: every record's response member in chunks, as the compressor gives them."""
-    names = ["page_id", "chunk", "url", "digest", "size", "data"]
-    schema = pa.schema([("page_id", pa.int64()), ("chunk", pa.int64()), ("url", pa.string()), ("digest", pa.string()), ("size", pa.int64()), ("data", pa.binary())])
+_CHUNK_ROWS = pa.schema([("page_id", pa.int64()), ("chunk", pa.int64()), ("digest", pa.string()), ("data", pa.binary())])
+
+
+def chunk_rows(rows: DataFrame) -> DataFrame:
+    """page_id, chunk, digest (so far), data: every row of :func:`planned` as chunks of its archive record."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows: list[tuple] = []
+            made: list[tuple] = []
             held = 0
             for k in range(batch.num_rows):
-                page, url = batch.column(0)[k].as_py(), batch.column(1)[k].as_py() or ""
-                data = batch.column(2)[k].as_buffer()
-                digest = base64.b32encode(hashlib.sha1(data).digest()).decode()
-                blocks = _member(_headers("response", page, url, digest, len(data), None), data, b"\r\n\r\n")
-                for chunk, block in enumerate(blocks):
-                    rows.append((page, chunk, url, digest, len(data), block))
-                    held += len(block)
+                page, url, digest, size, refers_to = (batch.column(c)[k].as_py() for c in range(5))
+                digest = base64.b32encode(bytes.fromhex(digest)).decode()
+                for chunk, so_far, data in _chunks(page, url, digest, size, refers_to, batch.column(5)[k].as_buffer()):
+                    made.append((page, chunk, so_far, data))
+                    held += len(data)
                     if held > 8 * CHUNK:
-                        yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
-                        rows, held = [], 0
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+                        yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(zip(*made, strict=True), _CHUNK_ROWS, strict=True)], schema=_CHUNK_ROWS)
+                        made, held = [], 0
+            if made:
+                yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(zip(*made, strict=True), _CHUNK_ROWS, strict=True)], schema=_CHUNK_ROWS)
 
-    url = F.coalesce(F.col("url").cast("string"), F.lit("")) if "url" in pages.columns else F.lit("")
-    html = F.coalesce(F.col("html").cast("string"), F.lit(""))
-    rows = pages.where("page_id IS NOT NULL").select(F.col("page_id").cast("long").alias("page_id"), url.alias("url"), html.cast("binary").alias("html"))
-    return rows.mapInArrow(run, ", ".join(f"{n} {t}" for n, t in zip(names, ["long", "long", "string", "string", "long", "binary"], strict=True)))
+    return rows.mapInArrow(run, "page_id long, chunk long, digest string, data binary")
+
+
+def _store(path: str) -> tuple[pafs.FileSystem, str]:
+    """File system and path there; Hadoop's names of the object store are Arrow's ``s3``."""
+    path = re.sub(r"^s3[an]://", "s3://", path)
+    return pafs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (pafs.LocalFileSystem(), path)
 
 
 def write(pages: DataFrame, folder: str | None = None, min_bytes: int = MIN_BYTES, file_bytes: int = FILE_BYTES) -> DataFrame:
     """Write the archives and return their manifest: path, records, bytes."""
-    spark = pages.sparkSession
-    folder = folder or shared_dir(spark) + "/warc"
-    rows = chunk_rows(pages).join(plan(pages, min_bytes), "page_id", "left")
-    rows = rows.repartition("page_id").sortWithinPartitions("page_id", "chunk", "digest")
+    folder = (folder or shared_dir(pages.sparkSession) + "/warc").rstrip("/")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get()
-        store, root = pafs.FileSystem.from_uri(folder) if "://" in folder else (pafs.LocalFileSystem(), folder)
+        store, root = _store(folder)
         store.create_dir(root)
         made: list[tuple[str, int, int]] = []
-        out, path, records, size, last = None, "", 0, 0, None
+        out, name, records, size = None, "", 0, 0
 
         def close() -> None:
             nonlocal out
             if out is not None:
                 out.close()
-                made.append((path, records, size))
+                made.append((f"{folder}/{name}", records, size))
                 out = None
 
         for batch in batches:
-            names = batch.schema.names
-            for row in zip(*(batch.column(names.index(c)).to_pylist() for c in ("page_id", "chunk", "url", "digest", "size", "data", "refers_to")), strict=True):
-                page, chunk, url, digest, length, data, refers_to = row
-                if last is not None and page == last[0]:
-                    if digest != last[1]:
-                        raise ValueError(f"page_id {page} has several payloads")
-                    if chunk <= last[2]:
-                        continue  # a repeated row
-                last = (page, digest, chunk)
-                if refers_to is not None:
-                    if chunk:
-                        continue
-                    data = b"".join(_member(_headers("revisit", page, url, digest, length, refers_to), b"\r\n\r\n"))
+            for chunk, data in zip(batch.column(1).to_pylist(), batch.column(3), strict=True):
                 if out is None or (chunk == 0 and size >= file_bytes):
                     close()
-                    path = f"{root}/part-{task.partitionId():05d}-{task.taskAttemptId()}-{len(made):04d}.warc.gz"
-                    out, records, size = store.open_output_stream(path, compression=None), 0, 0
-                out.write(data)
-                size += len(data)
+                    name = f"part-{task.partitionId():05d}-{task.taskAttemptId()}-{len(made):04d}.warc.gz"
+                    out, records, size = store.open_output_stream(f"{root.rstrip('/')}/{name}", compression=None), 0, 0
+                out.write(data.as_buffer())
+                size += data.as_buffer().size
                 records += chunk == 0
         close()
-        path_, n, b = zip(*made, strict=True) if made else ((), (), ())
-        yield pa.RecordBatch.from_arrays([pa.array(path_, pa.string()), pa.array(n, pa.int64()), pa.array(b, pa.int64())], names=["path", "records", "bytes"])
+        path, n, b = zip(*made, strict=True) if made else ((), (), ())
+        yield pa.RecordBatch.from_arrays([pa.array(path, pa.string()), pa.array(n, pa.int64()), pa.array(b, pa.int64())], names=["path", "records", "bytes"])
 
-    manifest = rows.mapInArrow(run, "path string, records long, bytes long")
-    scheme = folder.split("://")[0] + "://" if "://" in folder else ""
-    return written(manifest.select(F.concat(F.lit(scheme), "path").alias("path"), "records", "bytes"))
+    return written(chunk_rows(planned(pages, min_bytes)).mapInArrow(run, "path string, records long, bytes long"))
 
 
 class _Records:
@@ -216,10 +233,10 @@ def read(manifest: DataFrame, payloads: bool = True, chunk: int = CHUNK) -> Data
         [("page_id", pa.int64()), ("chunk", pa.int64()), ("last", pa.bool_()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("url", pa.string())]
         + [("declared_digest", pa.string()), ("declared_bytes", pa.int64()), ("bytes", pa.int64()), ("digest", pa.string()), ("data", pa.binary())]
     )
-    page_of = lambda s: int(s.rpartition(":")[2].rstrip(">"))
+    page_of = lambda s: None if (page := s.split(":")[2]) == "none" else int(page)
 
     def of_file(path: str) -> Iterator[tuple]:
-        store, at = pafs.FileSystem.from_uri(path) if "://" in path else (pafs.LocalFileSystem(), path)
+        store, at = _store(path)
         with store.open_input_stream(at, compression=None) as stream:
             records = _Records(stream)
             while (h := records.headers()) is not None:

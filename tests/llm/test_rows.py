@@ -25,7 +25,9 @@ def _ids(text):
 @settings(max_examples=300, deadline=None)
 @given(st.text(alphabet="aBcdé 'sre1²_-.,!<|>endoftext\n\t\x1c ΣςİKе́漢", max_size=24))
 def test_word_cache_gives_the_tokenizers_ids(text):
-    (got,) = packing.encoder(packing.default_vocabulary())([text])
+    encode, form = packing.encoder(packing.default_vocabulary())
+    (got,) = encode([text])
+    assert form == "<u2" and packing.id_form(1 << 17) == "<u4"
     assert np.frombuffer(got, "<u2").tolist() == _ids(text)[:-1]
 
 
