@@ -122,7 +122,9 @@ def tiled(filed: DataFrame, tile: int, counts: DataFrame | None = None) -> DataF
         .select("key", mine.alias("m"), F.explode(F.sequence(zero, F.col("tiles") - 1)).alias("o"), *rest)
         .select("key", F.least("m", "o").alias("t"), F.greatest("m", "o").alias("u"), F.when(F.col("m") == F.col("o"), 0).when(F.col("m") < F.col("o"), 1).otherwise(2).alias("side"), *rest)
     )
-    return one.unionByName(many).repartition("key", "t", "u").sortWithinPartitions("key", "t", "u")
+    # A fixed number of tasks: units take long for their bytes, by which adaptive execution would put many in one task.
+    tasks = int(filed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return one.unionByName(many).repartition(tasks, "key", "t", "u").sortWithinPartitions("key", "t", "u")
 
 
 def with_maybe(rows: DataFrame, ids: DataFrame, on: str, flag: str) -> DataFrame:

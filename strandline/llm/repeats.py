@@ -1,12 +1,17 @@
 """Substring dedup: bytes covered by a 400-byte string that also starts elsewhere.
 
-The suffixes of all texts are dealt out so that those with equal 400-byte prefixes
-meet, and each task orders its suffixes by the difference-cover algorithm:
-sampled triples are sorted and named, the names are sorted by recursion, the
-remaining suffixes are merged in, and the prefixes of neighbours are compared.
-
-Dealing: of the 201 blocks of 200 bytes inside a 400-byte prefix, the one with the
-smallest hash (the last of equal ones) is its key.  Equal prefixes have the same
+The suffixes of all texts are dealt out so that those with equal prefixes meet, and
+each task orders its suffixes by the difference-cover algorithm: sampled triples are
+sorted and named, the names are sorted by recursion, the remaining suffixes are
+merged in, and the prefixes of neighbours are compared.
+
+Two lengths are compared in the same order: ``LENGTH`` bytes, anywhere else, decide
+what is removed; ``PASSAGE`` bytes, in another document, tell which documents share
+passages of over 50 words (51 of three letters and a blank are as many bytes), most of
+which are shorter than ``LENGTH``.
+
+Dealing: of the blocks of half a passage inside a passage-long prefix, the one with
+the smallest hash (the last of equal ones) is its key.  Equal prefixes have the same
 key at the same offset.  A sampled position (the start of such a block) owns a run
 of neighbouring suffixes, and what can be settled for a whole run never reaches
 the sort:
@@ -23,9 +28,10 @@ sort and the comparison work on bytes.
 
 Defined results: a null text is empty; documents shorter than 400 bytes lose
 nothing; null and repeated ids are documents like others, a repeated row is another
-place where its strings start; an empty table gives an empty result; further
-columns are kept by :func:`remove`, ignored by :func:`report`.  A task holds about
-a hundred bytes for each byte of the longest document.
+place where its strings start (but the same document, where passages are shared); an
+empty table gives an empty result; further columns are kept by :func:`remove`, ignored
+by :func:`report`.  Texts are worked on in pieces of ``PIECE`` suffixes, so a task holds
+the longest text and about a hundred bytes for each byte of a piece.
 """
 
 from __future__ import annotations
@@ -35,12 +41,15 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandline.llm.common import maybe_in, tiled, written
 
 LENGTH = 400
+PASSAGE = 204
+#: Suffixes of a text that are sampled at once.
+PIECE = 1 << 20
 #: Classes of one block compared in one task.
 TILE = 2048
 #: Bytes of text whose suffixes are sorted at once (a unit of two tiles may be more).
@@ -66,32 +75,38 @@ def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Sampled:
-    """The sampled positions of one text: pos, the first and last window start each owns, key (of the block) and name (of the run)."""
+    """The sampled positions of a piece of a text: pos, the first and last suffix each owns, key (of the block) and name (of the run).
+
+    ``data`` holds the piece's first ``limit`` suffixes and, after them, what belongs to their prefixes of ``long`` bytes.
+    """
 
-    def __init__(self, data: bytes, length: int = LENGTH):
-        self.n, self.length, half = len(data), length, length // 2
-        self.pos = self.lo = self.hi = np.zeros(0, dtype=np.int64)
+    def __init__(self, data: bytes, short: int, long: int, limit: int):
+        self.data, half = data, short // 2
+        self.pos = self.lo = self.hi = self.end = np.zeros(0, dtype=np.int64)
         self.key = self.name = np.zeros(0, dtype=np.int64)
-        if self.n < length:
+        n = len(data)
+        if n < short:
             return
-        up, self.down = _power(self.n + 1)
-        raw = _BYTES[np.frombuffer(data, dtype=np.uint8)] * up[: self.n]
+        up, self.down = _power(n + 1)
+        raw = _BYTES[np.frombuffer(data, dtype=np.uint8)] * up[:n]
         self.sums = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(raw, dtype=np.uint64)])
-        blocks = self.hashes(np.arange(self.n - half + 1), half)
+        blocks = self.hashes(np.arange(n - half + 1), half)
         where = np.arange(len(blocks), dtype=np.uint64)
         low = (blocks & ~_LOW) | (_LOW - (where & _LOW))  # smallest hash, then last position
-        span, width = 1, length - half + 1
+        span, width = 1, short - half + 1
         while span < width:  # minima over ``width`` blocks by doubling
             step = min(span, width - span)
             low = np.minimum(low[:-step], low[step:])
             span += step
+        low = low[:limit]
         start = np.arange(len(low))
         at = start + ((_LOW - (low & _LOW)).astype(np.int64) - start) % (1 << 24)
         first = np.flatnonzero(np.append(True, np.diff(at) != 0))
         self.pos, self.lo = at[first], first
         self.hi = np.append(first[1:], len(at)) - 1
+        self.end = np.minimum(self.hi + long, n)
         self.key = blocks[self.pos].view(np.int64)
-        name = self.spans(self.lo, self.hi + length) ^ ((self.pos - self.lo).astype(np.uint64) * _MIX)
+        name = self.spans(self.lo, self.end) ^ ((self.pos - self.lo).astype(np.uint64) * _MIX) ^ (self.hi - self.lo).astype(np.uint64)
         self.name = ((name ^ (name >> np.uint64(29))) * _MIX).view(np.int64)
 
     def spans(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -103,23 +118,25 @@ class Sampled:
         h = (h ^ (h >> np.uint64(32))) * _MIX
         return h ^ (h >> np.uint64(31))
 
-    def covered(self, flagged: np.ndarray) -> np.ndarray:
-        """Flags of the bytes under the flagged window starts."""
-        edges = np.zeros(self.n + 1, dtype=np.int64)
-        starts = np.flatnonzero(flagged)
-        np.add.at(edges, starts, 1)
-        np.add.at(edges, starts + self.length, -1)
-        return np.cumsum(edges[:-1]) > 0
 
+def pieces(data: bytes, short: int, long: int) -> Iterator[tuple[int, Sampled]]:
+    """Offset and sampled positions of the pieces of a text."""
+    for at in range(0, max(len(data) - short + 1, 1), PIECE):
+        yield at, Sampled(data[at : at + PIECE - 1 + long] if at or len(data) > PIECE else data, short, long, PIECE)
 
-def _source(docs: DataFrame) -> DataFrame:
-    """key of the document (its id, null as the smallest long) and the UTF-8 bytes."""
-    data = F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")
-    return docs.select(_doc().alias("doc"), data.alias("data"))
 
+def covered(flagged: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the maximal runs of bytes under flagged suffixes' prefixes."""
+    edges = np.diff(np.concatenate(([0], flagged.view(np.int8), [0])))
+    a, b = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1) - 1 + length
+    apart = a[1:] > b[:-1]
+    return (a[np.append(True, apart)], b[np.append(apart, True)]) if len(a) else (a, b)
 
-def _doc() -> Column:
-    return F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
+
+def _source(docs: DataFrame) -> DataFrame:
+    """A key of each different row (of id and text), its id, the UTF-8 bytes."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("data"))
+    return rows.select(F.xxhash64("doc_id", "data").alias("doc"), "doc_id", "data")
 
 
 def _joined(docs: DataFrame, lists: DataFrame) -> DataFrame:
@@ -127,24 +144,24 @@ def _joined(docs: DataFrame, lists: DataFrame) -> DataFrame:
     return maybe_in(docs, lists, "doc").join(lists, "doc")
 
 
-def _sample(source: DataFrame, length: int) -> DataFrame:
-    """doc, n_bytes, sha256 of the whole text, keys and names: a row a document, written."""
+def _sample(source: DataFrame, short: int, long: int) -> DataFrame:
+    """doc, doc_id, n_bytes, sha256 of the whole text, keys and names: a row a document, written."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
                 size, sha, keys, names = [], [], [], []
-                for data in part.column(1).to_pylist():
-                    got = Sampled(data, length)
+                for data in part.column(2).to_pylist():
+                    got = [(p.key, p.name) for _, p in pieces(data, short, long)]
                     size.append(len(data))
                     sha.append(hashlib.sha256(data).hexdigest())
-                    keys.append(got.key)
-                    names.append(got.name)
+                    keys.append(np.concatenate([k for k, _ in got]))
+                    names.append(np.concatenate([n for _, n in got]))
                 longs = pa.list_(pa.int64())
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(size, pa.int64()), pa.array(sha), pa.array(keys, longs), pa.array(names, longs)], names=["doc", "n_bytes", "sha", "keys", "names"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(size, pa.int64()), pa.array(sha), pa.array(keys, longs), pa.array(names, longs)], names=["doc", "doc_id", "n_bytes", "sha", "keys", "names"])
 
-    return written(source.mapInArrow(run, "doc long, n_bytes long, sha string, keys array<long>, names array<long>"))
+    return written(source.mapInArrow(run, "doc long, doc_id long, n_bytes long, sha string, keys array<long>, names array<long>"))
 
 
 def suffix_order(values: np.ndarray) -> np.ndarray:
@@ -195,111 +212,152 @@ def suffix_order(values: np.ndarray) -> np.ndarray:
     return out
 
 
-def repeated_starts(data: bytes, starts: np.ndarray, length: int) -> np.ndarray:
-    """Flags of the ``starts`` whose prefixes of ``length`` bytes equal that of another start."""
+def equal_prefixes(words: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
+    """Of suffixes in order: flags of those whose prefix of ``length`` bytes equals that of the one before.
+
+    ``words`` has the eight bytes from each place on.
+    """
+    same = np.arange(len(at) - 1)  # neighbours that are still equal
+    for k in [*range(0, length - 7, 8), max(length - 8, 0)]:
+        same = same[words[at[same] + k] == words[at[same + 1] + k]]
+    flags = np.zeros(len(at), dtype=bool)
+    flags[same + 1] = True
+    return flags
+
+
+def repeated_starts(data: bytes, starts: np.ndarray, whole: np.ndarray, first: np.ndarray, last: np.ndarray, short: int, long: int) -> tuple[np.ndarray, np.ndarray]:
+    """Flags of the ``starts`` that have a prefix of ``long`` bytes (``whole``) in common with another, and of those that share one of ``short`` bytes across documents.
+
+    ``first`` and ``last`` are the smallest and largest document in which a start's run occurs.
+    """
     raw = np.frombuffer(data, dtype=np.uint8)
     index = np.full(len(raw), -1, dtype=np.int64)
     index[starts] = np.arange(len(starts))
     order = suffix_order(raw.astype(np.int64) + 1)
     order = order[index[order] >= 0]
     padded = np.concatenate([raw, np.zeros(8, dtype=np.uint8)])
-    words = np.zeros(len(raw) + 1, dtype=np.uint64)  # eight bytes from each place on
+    words = np.zeros(len(raw) + 1, dtype=np.uint64)
     for k in range(8):
         words |= padded[k : k + len(words)].astype(np.uint64) << np.uint64(8 * k)
-    same = np.arange(len(order) - 1)  # neighbours that are still equal
-    for k in [*range(0, length - 7, 8), max(length - 8, 0)]:
-        same = same[words[order[same] + k] == words[order[same + 1] + k]]
-    flags = np.zeros(len(starts), dtype=bool)
-    flags[index[order[same]]] = True
-    flags[index[order[same + 1]]] = True
-    return flags
+    repeated, shared = np.zeros(len(starts), dtype=bool), np.zeros(len(starts), dtype=bool)
+    at = order[whole[index[order]]]
+    after = equal_prefixes(words, at, long)
+    repeated[index[at[after]]] = True
+    repeated[index[at[np.flatnonzero(after) - 1]]] = True
+    new = np.flatnonzero(~equal_prefixes(words, order, short))
+    who = index[order]
+    across = np.minimum.reduceat(first[who], new) != np.maximum.reduceat(last[who], new)
+    shared[who] = np.repeat(across, np.diff(np.append(new, len(order))))
+    return repeated, shared
+
 
+_TEXTS = pa.schema([("key", pa.int64()), ("id", pa.int64()), ("text", pa.binary()), ("starts", pa.int64()), ("first", pa.int64()), ("last", pa.int64())])
 
-def _texts_of(source: DataFrame, need: DataFrame, length: int) -> DataFrame:
-    """key, id (name), text: the bytes of one run of each class of ``need`` (doc, key, name)."""
-    lists = need.groupBy("doc").agg(F.collect_list(F.struct("key", "name")).alias("want"))
+
+def _texts_of(source: DataFrame, need: DataFrame, short: int, long: int) -> DataFrame:
+    """key, id (name), text, starts, first, last: the bytes of one run of each class of ``need`` (doc, key, name, first, last)."""
+    lists = written(need.groupBy("doc").agg(F.collect_list(F.struct("key", "name", "first", "last")).alias("want")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, 64):
                 part = batch.slice(lo, 64)
                 rows: list[tuple] = []
-                for data, want in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True):
-                    got = Sampled(data, length)
-                    at = {kn: k for k, kn in enumerate(zip(got.key.tolist(), got.name.tolist(), strict=True))}
-                    for w in want:
-                        k = at.get((w["key"], w["name"]))
-                        if k is not None:
-                            rows.append((w["key"], w["name"], data[got.lo[k] : got.hi[k] + length]))
-                cols = list(zip(*rows, strict=True)) if rows else [()] * 3
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["key", "id", "text"])
+                for data, want in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                    open_ = {(w["key"], w["name"]): w for w in want}
+                    for _, got in pieces(data, short, long):
+                        for k, kn in enumerate(zip(got.key.tolist(), got.name.tolist(), strict=True)):
+                            w = open_.pop(kn, None)
+                            if w is not None:
+                                rows.append((*kn, got.data[got.lo[k] : got.end[k]], int(got.hi[k] - got.lo[k] + 1), w["first"], w["last"]))
+                cols = list(zip(*rows, strict=True)) if rows else [()] * len(_TEXTS)
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, _TEXTS, strict=True)], schema=_TEXTS)
+
+    return _joined(source, lists).select("data", "want").mapInArrow(run, "key long, id long, text binary, starts long, first long, last long")
 
-    return _joined(source, lists).select("doc", "data", "want").mapInArrow(run, "key long, id long, text binary")
 
+_MASKS = pa.schema([("key", pa.int64()), ("name", pa.int64()), ("repeated", pa.binary()), ("shared", pa.binary())])
 
-def _compared(texts: DataFrame, counts: DataFrame, length: int) -> DataFrame:
-    """key, name, mask: suffixes (a bit each, by position in the run) of a class whose prefix another class of the block has too."""
-    dealt = tiled(texts, TILE, counts).select("key", "t", "u", "id", "text")
 
-    def sort(rows: dict[tuple[int, int], bytes]) -> pa.RecordBatch:
-        keys, names, masks = [], [], []
+def _compared(texts: DataFrame, counts: DataFrame, short: int, long: int) -> DataFrame:
+    """key, name, repeated, shared (a bit for each suffix of the run): classes that have something in common with others of the block."""
+    dealt = tiled(texts, TILE, counts).select("key", "t", "u", "id", "text", "starts", "first", "last")
+
+    def sort(rows: dict[tuple[int, int], tuple]) -> pa.RecordBatch:
+        made: list[tuple] = []
         if len(rows) > 1:
-            sizes = np.array([len(t) for t in rows.values()])
-            ends = np.cumsum(sizes)
-            starts = np.concatenate([np.arange(e - n, e - length + 1) for e, n in zip(ends, sizes, strict=True)])
-            flags = repeated_starts(b"".join(rows.values()), starts, length)
-            for (key, name), mask in zip(rows, np.split(flags, np.cumsum(sizes - length + 1)[:-1]), strict=True):
-                if mask.any():
-                    keys.append(key)
-                    names.append(name)
-                    masks.append(np.packbits(mask).tobytes())
-        return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(names, pa.int64()), pa.array(masks, pa.binary())], names=["key", "name", "mask"])
+            sizes, counts = (np.array([f(r) for r in rows.values()]) for f in (lambda r: len(r[0]), lambda r: r[1]))
+            ends, own = np.cumsum(sizes), np.repeat(np.arange(len(rows)), counts)
+            starts = (ends - sizes)[own] + np.arange(len(own)) - (np.cumsum(counts) - counts)[own]
+            first, last = (np.array([r[k] for r in rows.values()], dtype=np.int64)[own] for k in (2, 3))
+            flags = repeated_starts(b"".join(r[0] for r in rows.values()), starts, starts + long <= ends[own], first, last, short, long)
+            cuts = np.cumsum(counts)[:-1]
+            for (key, name), a, b in zip(rows, *(np.split(f, cuts) for f in flags), strict=True):
+                if a.any() or b.any():
+                    made.append((key, name, np.packbits(a).tobytes(), np.packbits(b).tobytes()))
+        cols = list(zip(*made, strict=True)) if made else [()] * len(_MASKS)
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, _MASKS, strict=True)], schema=_MASKS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, rows, held = None, {}, 0
         for batch in batches:
-            for key, t, u, name, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for key, t, u, name, *rest in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if at != (key, t, u) and held >= SORT_BYTES:
                     yield sort(rows)
                     rows, held = {}, 0
                 at = (key, t, u)
                 if (key, name) not in rows:  # once, though tiles repeat it
-                    rows[key, name] = text
-                    held += len(text)
+                    rows[key, name] = tuple(rest)
+                    held += len(rest[0])
         yield sort(rows)
 
-    return dealt.mapInArrow(run, "key long, name long, mask binary")
+    return dealt.mapInArrow(run, "key long, name long, repeated binary, shared binary")
 
 
-def _decisions(docs: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
-    """The sample, and doc, marks (key, name, mask; a null mask flags the whole run) of documents that lose bytes."""
+def _decisions(docs: DataFrame, short: int, long: int) -> tuple[DataFrame, DataFrame]:
+    """The sample, and doc, marks (key, name, whole, across, repeated, shared) of documents that have some."""
+    if not 1 < short <= long:
+        raise ValueError("a passage has at least two bytes and at most the length that is removed")
     source = _source(docs)
-    sample = _sample(source, length)
+    sample = _sample(source, short, long)
     each = sample.select("doc", F.explode(F.arrays_zip("keys", "names")).alias("s")).select("doc", F.col("s.keys").alias("key"), F.col("s.names").alias("name"))
     again = written(each.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"))
     runs = written(maybe_in(each, again, "key").join(again, "key", "left_semi"))
-    classes = written(runs.groupBy("key", "name").agg(F.count("*").alias("n"), F.min("doc").alias("doc")))
-    several = classes.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    need = classes.drop("n").join(several, "key").select("doc", "key", "name")
-    masks = _compared(_texts_of(source, written(need), length), several, length)
-    whole = classes.where("n > 1").select("key", "name", F.lit(None).cast("binary").alias("mask"))
-    found = written(whole.unionByName(masks.join(whole.select("key", "name"), ["key", "name"], "left_anti")))
-    marks = runs.join(found, ["key", "name"]).groupBy("doc").agg(F.collect_set(F.struct("key", "name", "mask")).alias("marks"))
+    classes = written(runs.groupBy("key", "name").agg(F.count("*").alias("n"), F.min("doc").alias("first"), F.max("doc").alias("last")))
+    several = written(classes.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
+    need = classes.join(several.select("key"), "key").select(F.col("first").alias("doc"), "key", "name", "first", "last")
+    masks = _compared(_texts_of(source, need, short, long), several, short, long)
+    found = classes.join(masks, ["key", "name"], "left").where("n > 1 OR repeated IS NOT NULL")
+    found = written(found.select("key", "name", (F.col("n") > 1).alias("whole"), (F.col("first") != F.col("last")).alias("across"), "repeated", "shared"))
+    marks = runs.join(found, ["key", "name"]).groupBy("doc").agg(F.collect_set(F.struct("key", "name", "whole", "across", "repeated", "shared")).alias("marks"))
     return sample, written(marks)
 
 
-def _flags(data: bytes, marks: list[dict], length: int) -> np.ndarray:
-    """Flags of the bytes of a text that go."""
-    got = Sampled(data, length)
-    by: dict[tuple[int, int], list[bytes | None]] = {}
+def _spans(data: bytes, marks: list[dict], short: int, long: int) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
+    """Starts and ends of the bytes of a text that go, and of those in shared passages."""
+    by: dict[tuple[int, int], list[dict]] = {}
     for m in marks:
-        by.setdefault((m["key"], m["name"]), []).append(m["mask"])
-    flagged = np.zeros(max(len(data) - length + 1, 0), dtype=bool)
-    for k, kn in enumerate(zip(got.key.tolist(), got.name.tolist(), strict=True)):
-        for mask in by.get(kn, ()):
-            lo, hi = got.lo[k], got.hi[k] + 1
-            flagged[lo:hi] |= True if mask is None else np.unpackbits(np.frombuffer(mask, dtype=np.uint8))[: hi - lo].view(bool)
-    return got.covered(flagged) if len(flagged) else np.zeros(len(data), dtype=bool)
+        by.setdefault((m["key"], m["name"]), []).append(m)
+    repeated, shared = np.zeros(max(len(data) - short + 1, 0), dtype=bool), np.zeros(max(len(data) - short + 1, 0), dtype=bool)
+    for at, got in pieces(data, short, long):
+        for k, kn in enumerate(zip(got.key.tolist(), got.name.tolist(), strict=True)):
+            for m in by.get(kn, ()):
+                lo, hi = at + got.lo[k], at + got.hi[k] + 1
+                for flags, whole, mask in ((repeated, m["whole"], m["repeated"]), (shared, m["across"], m["shared"])):
+                    if whole:
+                        flags[lo:hi] = True
+                    elif mask is not None:
+                        flags[lo:hi] |= np.unpackbits(np.frombuffer(mask, dtype=np.uint8))[: hi - lo].view(bool)
+    return covered(repeated[: max(len(data) - long + 1, 0)], long), covered(shared, short)
+
+
+def _kept(data: bytes, spans: tuple[np.ndarray, np.ndarray]) -> Iterator[memoryview]:
+    """What is left of a text without the spans."""
+    view, end = memoryview(data), 0
+    for a, b in zip(*(x.tolist() for x in spans), strict=True):
+        yield view[end:a]
+        end = b
+    yield view[end:]
 
 
 def _each(rows: DataFrame, ddl: str, at: tuple[int, int], make: Callable[[bytes, list[dict]], tuple], keep: int, types: list[pa.DataType], names: list[str]) -> DataFrame:
@@ -316,36 +374,42 @@ def _each(rows: DataFrame, ddl: str, at: tuple[int, int], make: Callable[[bytes,
     return rows.mapInArrow(run, ddl)
 
 
-def report(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256: a row a document."""
-    sample, marks = _decisions(docs, length)
+def report(docs: DataFrame, length: int = LENGTH, passage: int = PASSAGE) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_shared (bytes in passages that other documents hold too): a row a document.
+
+    A passage is at most as long as what is removed.
+    """
+    passage = min(passage, length)
+    sample, marks = _decisions(docs, passage, length)
 
-    def make(data: bytes, found: list[dict]) -> tuple[int, int, int, str]:
-        gone = _flags(data, found, length)
-        edges = np.diff(np.concatenate(([0], gone.view(np.int8))))
-        kept = np.frombuffer(data, dtype=np.uint8)[~gone].tobytes()
-        return len(data), int(gone.sum()), int((edges == 1).sum()), hashlib.sha256(kept).hexdigest()
+    def make(data: bytes, found: list[dict]) -> tuple[int, int, int, str, int]:
+        gone, shared = _spans(data, found, passage, length)
+        sha = hashlib.sha256()
+        for part in _kept(data, gone):
+            sha.update(part)
+        return len(data), int((gone[1] - gone[0]).sum()), len(gone[0]), sha.hexdigest(), int((shared[1] - shared[0]).sum())
 
-    types = [pa.int64(), pa.int64(), pa.int64(), pa.string()]
-    names = ["doc", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
-    cut = _each(_joined(_source(docs), marks).select("doc", "data", "marks"), "doc long, n_bytes long, n_removed long, n_spans long, kept_sha256 string", (1, 2), make, 1, types, names)
-    rest = sample.select("doc", "n_bytes", F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.col("sha").alias("kept_sha256"))
-    rest = rest.join(marks.select("doc"), "doc", "left_anti")
-    return cut.unionByName(rest).select(F.when(F.col("doc") != -(1 << 63), F.col("doc")).alias("doc_id"), *names[1:])
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64()]
+    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_shared"]
+    cut = _each(_joined(_source(docs), marks).select("doc_id", "data", "marks"), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_shared long", (1, 2), make, 1, types, names)
+    zero = F.lit(0).cast("long")
+    rest = sample.join(marks.select("doc"), "doc", "left_anti")
+    return cut.unionByName(rest.select("doc_id", "n_bytes", zero.alias("n_removed"), zero.alias("n_spans"), F.col("sha").alias("kept_sha256"), zero.alias("n_shared")))
 
 
 def remove(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """The rows of ``docs`` with the covered bytes cut from their texts (halves of characters replaced), all columns kept."""
-    _, marks = _decisions(docs, length)
-    rows = docs.select(_doc().alias("doc"), F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != "text")).alias("row"), F.col("text").cast("string").cast("binary").alias("data"))
+    _, marks = _decisions(docs, length, length)
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != "text")).alias("row")
+    data = F.col("text").cast("string").cast("binary")
+    rows = docs.select(F.xxhash64(F.col("doc_id").cast("long"), F.coalesce(data, F.lit("").cast("binary"))).alias("doc"), row, data.alias("data"))
     rows = rows.join(marks, "doc", "left").select("row", "data", "marks")
     ddl = f"row {rows.schema['row'].dataType.simpleString()}, text string"
 
     def make(data: bytes | None, found: list[dict] | None) -> tuple[str | None]:
-        if data is None:
-            return (None,)
-        gone = _flags(data, found, length) if found else np.zeros(len(data), dtype=bool)
-        return (np.frombuffer(data, dtype=np.uint8)[~gone].tobytes().decode("utf-8", "replace"),)
+        if data is None or not found:
+            return (None if data is None else data.decode("utf-8", "replace"),)
+        return (b"".join(_kept(data, _spans(data, found, length, length)[0])).decode("utf-8", "replace"),)
 
     cut = _each(rows, ddl, (1, 2), make, 1, [pa.string()], ["row", "text"])
-    return cut.select("row.*", "text").select(*docs.columns)
+    return cut.select("row.*", "text").select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -72,29 +72,58 @@ def test_simhash_report_on_edge_rows(spark):
     assert simhash.report(docs_of(spark, [])).count() == 0
 
 
-def test_repeats_equal_brute_force(spark):
+def _under(data, size, flagged):
+    """Flags of the bytes under the windows of ``size`` bytes for which ``flagged`` holds."""
+    edges = np.zeros(len(data) + 1, dtype=int)
+    for k in range(len(data) - size + 1):
+        if flagged(data[k : k + size]):
+            edges[k] += 1
+            edges[k + size] -= 1
+    return np.cumsum(edges[:-1]) > 0
+
+
+def _repeats(texts, length, passage):
+    """Brute force: a counter of report rows."""
+    data = [(i, (t or "").encode()) for i, t in texts]
+    seen = Counter(d[k : k + length] for _, d in data for k in range(len(d) - length + 1))
+    holders = {}
+    for row in set(data):
+        for k in range(len(row[1]) - passage + 1):
+            holders.setdefault(row[1][k : k + passage], set()).add(row)
+    want = Counter()
+    for i, d in data:
+        gone, shared = _under(d, length, lambda w: seen[w] > 1), _under(d, passage, lambda w: len(holders[w]) > 1)
+        kept = np.frombuffer(d, np.uint8)[~gone].tobytes()
+        spans = int((np.diff(np.concatenate(([0], gone.astype(int)))) == 1).sum())
+        want[i, len(d), int(gone.sum()), spans, hashlib.sha256(kept).hexdigest(), int(shared.sum())] += 1
+    return want
+
+
+@pytest.mark.parametrize(("length", "passage", "piece"), [(400, 204, 1 << 20), (60, 60, 1 << 20), (400, 204, 256), (90, 41, 64)])
+def test_repeats_equal_brute_force(spark, monkeypatch, length, passage, piece):
+    monkeypatch.setattr(repeats, "PIECE", piece)
     a, b, c = words(1, 300), words(2, 300), words(3, 40)
     texts = [(1, a), (2, a), (3, b[:700] + a[100:900] + "é"), (4, "x" * 1500), (5, c), (6, "ab" * 500 + b[300:1200]), (7, b[:399]), (8, b[:400]), (None, a[50:460]), (9, None), (10, "")]
-    for length in (400, 60):
-        data = [(i, (t or "").encode()) for i, t in texts]
-        seen = Counter(d[k : k + length] for _, d in data for k in range(len(d) - length + 1))
-        want = Counter()
-        for i, d in data:
-            gone = np.zeros(len(d) + 1, dtype=int)
-            for k in range(len(d) - length + 1):
-                if seen[d[k : k + length]] > 1:
-                    gone[k] += 1
-                    gone[k + length] -= 1
-            flags = np.cumsum(gone[:-1]) > 0
-            kept = np.frombuffer(d, np.uint8)[~flags].tobytes()
-            spans = int((np.diff(np.concatenate(([0], flags.astype(int)))) == 1).sum())
-            want[i, len(d), int(flags.sum()), spans, hashlib.sha256(kept).hexdigest()] += 1
-        got = Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in repeats.report(docs_of(spark, texts), length).collect())
-        assert got == want
-    cut = repeats.remove(docs_of(spark, texts))
+    passages = [words(40 + k, 51) for k in range(3)]  # of 51 words: fewer bytes than are removed
+    texts += [(20 + k, f"{words(60 + k, 40)} {passages[k % 3]} {words(70 + k, 30)}") for k in range(6)]
+    texts += [(30, words(80, 100)), (30, words(80, 100)), (31, f"{words(81, 60)} {words(81, 60)}"), (None, words(82, 90)), (None, words(82, 90)), (None, f"{words(83, 9)} {words(82, 90)}")]
+    got = Counter(tuple(r) for r in repeats.report(docs_of(spark, texts), length, passage).collect())
+    assert got == _repeats(texts, length, min(length, passage))
+    if length == 400:
+        assert all(r[5] >= 204 and r[2] == 0 for r in got if r[0] is not None and 20 <= r[0] < 26)
+
+
+def test_repeats_of_edge_rows_and_long_texts(spark, monkeypatch):
+    monkeypatch.setattr(repeats, "PIECE", 10_000)
+    texts = edge_texts()
+    got = Counter(tuple(r) for r in repeats.report(docs_of(spark, texts)).collect())
+    assert got == _repeats(texts, repeats.LENGTH, repeats.PASSAGE)
+    a, c = words(1, 300), words(3, 40)
+    rows = [(1, a), (2, a), (5, c), (9, None), (None, a), (6, "é" * 150)]
+    cut = repeats.remove(docs_of(spark, rows))
     assert cut.columns == docs_of(spark, []).columns
     by = {r.doc_id: r.text for r in cut.collect()}
-    assert by[1] == by[2] == "" and by[5] == c and by[9] is None
+    assert by[1] == by[2] == by[None] == "" and by[5] == c and by[9] is None and by[6] == "é" * 150
     assert repeats.report(docs_of(spark, [])).count() == 0
 
 
