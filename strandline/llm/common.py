@@ -100,9 +100,9 @@ def lower_ascii(col: Column) -> Column:
 
 
 def tiled(filed: DataFrame, tile: int, counts: DataFrame | None = None) -> DataFrame:
-    """Deal rows ``key, id, ...`` that share a key to tasks that compare them.
+    """Deal rows ``key, id, ...`` that share a key (a long) to tasks that compare them.
 
-    Keys of one row are dropped.  Keys of up to ``tile`` rows are one unit; larger
+    Keys of one row are dropped, most before the shuffle.  Keys of up to ``tile`` rows are one unit; larger
     ones are cut into tiles by hashed id, and each pair of tiles is a unit, so no
     unit holds more than about two tiles.  Adds ``t, u`` (the unit within the key)
     and ``side`` (0: compare all, 1 and 2: compare with the other side only), and
@@ -113,7 +113,7 @@ def tiled(filed: DataFrame, tile: int, counts: DataFrame | None = None) -> DataF
     counts = filed.groupBy("key").agg(F.count("*").alias("n")) if counts is None else counts
     # Written, so that adaptive execution can split a hot key's rows in the join.
     sizes = written(counts.where("n > 1").select("key", F.ceil(F.col("n") / tile).cast("int").alias("tiles")))
-    filed = filed.join(sizes, "key")
+    filed = maybe_in(filed, sizes, "key").join(sizes, "key")
     mine = F.pmod(F.xxhash64("id", "key"), F.col("tiles")).cast("int")
     zero = F.lit(0)
     one = filed.where("tiles = 1").select("key", zero.alias("t"), zero.alias("u"), zero.alias("side"), *rest)

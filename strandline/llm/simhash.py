@@ -191,18 +191,18 @@ def near_links(distinct_fps: DataFrame, radius: int = RADIUS, tile: int = TILE)
 
 
 def grouped(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """doc_id, fp, component_id (the smallest doc_id reachable): one row a document."""
+    """doc_id, fp, component (the smallest fp reachable), component_id (the smallest doc_id reachable): one row a document."""
     fps = written(fingerprints(docs))
     distinct = written(fps.groupBy("fp").agg(F.min("doc_id").alias("low")))
     linked = components(near_links(distinct.select("fp"), radius))
     named = distinct.join(linked, distinct["fp"] == linked["node"]).select("fp", "component", "low")
     lows = named.groupBy("component").agg(F.min("low").alias("component_id"))
     # Only fingerprints that have links need more than their own smallest id.
-    names = named.join(lows, "component").select("fp", "component_id")
-    names = distinct.join(names, "fp", "left").select("fp", F.coalesce("component_id", "low").alias("component_id"))
+    names = named.join(lows, "component").select("fp", "component", "component_id")
+    names = distinct.join(names, "fp", "left").select("fp", F.coalesce("component", "fp").alias("component"), F.coalesce("component_id", "low").alias("component_id"))
     # Written, so that a fingerprint that very many documents share is split in the join.
     names = written(names)
-    return fps.join(names, "fp").select("doc_id", "fp", "component_id")
+    return fps.join(names, "fp").select("doc_id", "fp", "component", "component_id")
 
 
 def report(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
@@ -224,7 +224,7 @@ def keep_one(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     several = written(by_id.where("n > 1").select(F.col("doc_id").alias("__id")))
     if several.isEmpty():
         return stays
-    heads = groups.where("doc_id = component_id").groupBy("component_id").agg(F.min("fp").alias("__fp")).select(F.col("component_id").alias("__id"), "__fp")
+    heads = groups.where("doc_id = component_id").groupBy("component", "component_id").agg(F.min("fp").alias("__fp")).select(F.col("component_id").alias("__id"), "__fp")
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("doc_id").cast("long").alias("__id"), F.col("text").cast("string").alias("text"))
     rows = _fingerprinted(rows.join(several, "__id", "left_semi"), "__fp").dropDuplicates(["__id", "__fp"])
     return stays.unionByName(rows.join(heads, ["__id", "__fp"], "left_semi").select("row.*"))

@@ -69,6 +69,9 @@ def test_simhash_report_on_edge_rows(spark):
     assert all(r.component_id is None for r in rows if r.doc_id is None and r.fingerprint != "0" * 16)
     kept = simhash.keep_one(docs_of(spark, texts))
     assert kept.where("doc_id = 6").count() == 0 and kept.where("doc_id IS NULL").count() == 3
+    assert kept.columns == docs_of(spark, []).columns
+    same = [(1, words(1, 80)), (1, words(1, 80)), (1, words(2, 80)), (2, words(2, 80)), (3, words(1, 80)), (4, words(3, 80)), (0, words(4, 80)), (4, words(4, 80))]
+    assert Counter((r.doc_id, r.text) for r in simhash.keep_one(docs_of(spark, same)).collect()) == Counter([same[0], same[2], same[5], same[6]])
     assert simhash.report(docs_of(spark, [])).count() == 0
 
 
@@ -211,7 +214,7 @@ def test_paragraphs_against_brute_force(spark):
 
 
 def test_paragraphs_of_edge_rows(spark):
-    text = words(5, 60)
+    text = words(25, 60)
     texts = [*edge_texts(), (20, text + "\n" + words(30, 40)), (21, "x\n" + text.replace(text.split()[3], "changed", 1))]
     got = paragraphs.remove(docs_of(spark, texts))
     assert got.columns == docs_of(spark, []).columns and got.count() == len(texts)
@@ -220,6 +223,54 @@ def test_paragraphs_of_edge_rows(spark):
     assert paragraphs.report(docs_of(spark, [])).count() == 0
 
 
+def test_shared_passages_hold_a_stretch_and_go(spark):
+    passage = words(90, 51)
+    rows = [(k, f"{words(100 + k, 120)} {passage} {words(200 + k, 60)}\n{words(300 + k, 30)}") for k in range(3)]
+    wrapped = words(400, 40).split() + passage.split() + words(401, 40).split()
+    rows.append((3, "\n".join(" ".join(wrapped[i : i + 12]) for i in range(0, len(wrapped), 12))))  # no line is a paragraph
+    rows += [(4, words(500, 300)), (None, passage), (5, words(501, 45) + " " + " ".join(passage.split()[:19]))]
+    docs = docs_of(spark, rows)
+    by = {r.doc_id: r for r in paragraphs.report(docs).collect()}
+    assert len(by) == len(rows)
+    assert all(by[k].n_shared > 0 and by[k].n_repeated == 0 for k in range(4)) and [by[k].n_shared for k in (4, 5, None)] == [0, 0, 0]
+    assert by[0].n_cut == 0 and all(by[k].n_cut == by[k].n_stretches and by[k].first_docs == [0] for k in (1, 2, 3))
+    left = {r.doc_id: r.text for r in paragraphs.remove(docs).collect()}
+    assert left[0] == rows[0][1] and left[4] == rows[4][1] and left[None] == passage
+    for k in (1, 2):
+        gone = set(rows[k][1].split()) - set(left[k].split())
+        assert gone and gone <= set(passage.split()) and left[k].count("\n") == 1
+    assert left[3].count("\n") == rows[-4][1].count("\n") and len(left[3].split()) <= len(wrapped) - paragraphs.MIN_WORDS
+
+
+@pytest.mark.parametrize("n", [19, 20, 21, 49, 50, 51, 52, 120])
+def test_every_shared_run_of_fifty_words_shares_a_stretch(n):
+    run = words(7, n)
+    texts = [f"{words(8, 33)} {run} {words(9, 3)}", f"{run} {words(10, 70)}", f"{words(11, 26)} {run}", run]
+    cols = paragraphs._signed(texts)
+    names = [set(zip(a.as_py(), b.as_py(), strict=True)) for a, b in zip(cols[4], cols[5], strict=True)]
+    if n >= 50:
+        assert all(x & y for x, y in combinations(names, 2))
+    if n < paragraphs.MIN_WORDS:
+        assert not any(x & y for x, y in combinations(names, 2))
+    ws = texts[0].lower().encode().split()
+    h = paragraphs._rolled(paragraphs._hashes(ws))
+    mixed = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    places = len(ws) - paragraphs.MIN_WORDS + 1
+    width = min(paragraphs.WINNOW, places)
+    assert cols[3][0].as_py() == sorted({min(range(p, p + width), key=lambda k: (int(mixed[k]) >> 24, k)) for p in range(places - width + 1)})
+
+
+def test_links_span_all_similar_pairs():
+    rng = np.random.default_rng(3)
+    base = [rng.choice(5000, 40, replace=False) for _ in range(4)]
+    sets = [np.unique(np.concatenate([rng.choice(b, 38, replace=False), rng.integers(5000, 9000, rng.integers(0, 6))])) for b in base for _ in range(12)]
+    for side in (np.zeros(48, dtype=int), rng.integers(1, 3, 48)):
+        meant = [(i, j) for i, j in combinations(range(48), 2) if (side[i] == 0 or side[i] != side[j]) and len(np.intersect1d(sets[i], sets[j])) >= 0.8 * len(np.union1d(sets[i], sets[j]))]
+        found = list(paragraphs.spanning(sets, side, 0.8))
+        assert {tuple(sorted(x)) for x in found} <= set(meant) and len(meant) > 50
+        assert _components(range(48), found) == _components(range(48), meant)
+
+
 def test_paragraphs_in_hot_files_are_tiled(spark, monkeypatch):
     monkeypatch.setattr(paragraphs, "TILE", 4)
     base = words(1, 200).split()
@@ -248,6 +299,18 @@ def test_nearest_neighbours_recall_and_rules(spark):
     assert right >= 0.9 * total
 
 
+@pytest.mark.parametrize("offset", [0.0, 1e8, 1e10])
+def test_nearest_neighbours_far_from_the_origin(spark, offset):
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal((3000, 8)) + offset
+    rows = [(k, v.tolist()) for k, v in enumerate(x)]
+    got = {}
+    for r in ann.report(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    right = sum(len(got[q] & {int(k) for k in np.argsort(((x - x[q]) ** 2).sum(1) + np.where(np.arange(3000) == q, np.inf, 0), kind="stable")[:10]}) for q in range(0, 3000, 100))
+    assert right >= 0.9 * 300
+
+
 def test_nearest_neighbours_of_odd_vectors(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, None), (4, []), (5, [0.0, 0.0]), (6, [nan, 1.0]), (7, [None, 1.0]), (8, [inf, 1.0]), (None, [1.0, 0.0]), (100, [1.0, 0.0]), (100, [1.0, 0.0]), (200, [1.0, 2.0, 3.0]), (300, None)]
@@ -274,7 +337,8 @@ def _pages(spark):
 
 def test_archives_are_an_exact_round_trip(spark):
     pages = _pages(spark)
-    want = {r.page_id: ((r.html or "").encode(), r.url or "") for r in pages.collect() if r.page_id is not None}
+    pages = pages.where("page_id IS NOT NULL").distinct()
+    want = {r.page_id: ((r.html or "").encode(), r.url or "") for r in pages.collect()}
     manifest = warc.write(pages, file_bytes=1 << 16)
     chunks = warc.read(manifest, chunk=1 << 18).collect()
     assert manifest.count() > 1 and max(len(c.data) for c in chunks) <= 1 << 18
@@ -298,11 +362,27 @@ def test_archives_are_an_exact_round_trip(spark):
 
 
 def test_archives_with_a_least_size_and_of_nothing(spark):
-    kinds = {r.page_id: r.record_type for r in warc.report(_pages(spark), min_bytes=100).collect()}
-    assert kinds == {0: "response", 1: "response", 2: "response", 3: "response", 4: "response", 5: "response", 6: "revisit"}
+    kinds = Counter((r.page_id, r.record_type, r.refers_to) for r in warc.report(_pages(spark), min_bytes=100).collect())
+    assert kinds == Counter({(k, "response", None): 1 for k in (0, 1, 2, 3, 4, None)} | {(5, "response", None): 2, (6, "revisit", 5): 1})
     assert warc.report(_pages(spark).limit(0)).count() == 0
-    with pytest.raises(Exception, match="several payloads"):
-        warc.report(spark.createDataFrame([(1, "u", "a"), (1, "u", "b")], "page_id long, url string, html string")).count()
+
+
+def test_every_row_is_a_record(spark):
+    rows = [(7, "u", "a"), (7, "u", "b"), (7, "u", "b"), (8, "u", "b"), (None, "u", "b"), (None, None, "c"), (None, None, "c"), (9, "u", None), (10, "u", "")]
+    pages = spark.createDataFrame([(*r, "x", 5, "y", True, 1) for r in rows], "page_id long, url string, html string, digest string, size int, data string, __maybe boolean, first int")
+    got = Counter((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in warc.report(pages).collect())
+    sha = lambda t: base64.b32encode(hashlib.sha1(t.encode()).digest()).decode()
+    want = Counter({(7, 1, sha("a"), "response", None): 1, (7, 1, sha("b"), "response", None): 2, (8, 1, sha("b"), "revisit", 7): 1, (None, 1, sha("b"), "revisit", 7): 1, (None, 1, sha("c"), "response", None): 2, (9, 0, sha(""), "response", None): 1, (10, 0, sha(""), "revisit", 9): 1})
+    assert got == want
+
+
+@pytest.mark.parametrize(("path", "kind"), [("/x/y", "local"), ("file:///x/y", "local"), ("s3a://b/c", "s3"), ("s3n://b/c", "s3")])
+def test_archive_folders_of_any_store(monkeypatch, path, kind):
+    monkeypatch.setenv("AWS_EC2_METADATA_DISABLED", "true")
+    asked = []
+    monkeypatch.setattr(warc.pafs, "FileSystem", type("Store", (), {"from_uri": staticmethod(lambda u: (asked.append(u), ("store", u))[1])}))
+    warc._store(path)
+    assert asked == ([path.replace("s3a:", "s3:").replace("s3n:", "s3:")] if "://" in path else [])
 
 
 def test_digest_by_built_in_functions(spark):

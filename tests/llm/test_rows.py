@@ -1,8 +1,10 @@
 """Packing, decontamination, language and quality: operators that work row by row."""
 
 import hashlib
+import math
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -87,6 +89,34 @@ def test_decontamination_equals_brute_force(spark):
             assert (r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) == (n, hit, len(found), sha, hit > 0), doc
 
 
+def test_decontamination_of_repeated_and_long_rows_and_clashing_columns(spark):
+    item = words(3, 15)
+    bench = spark.createDataFrame([(1, item), (1, item), (2, words(4, 4)), (None, words(6, 12))], "item_id long, text string")
+    long = f"{words(7, 20_000)} {item} {words(8, 20_000)}"
+    rows = [(1, long), (1, long), (2, words(4, 4)), (None, words(6, 12)), *edge_texts()]
+    docs = docs_of(spark, rows).withColumns({c: F.lit(c) for c in ("n_words", "runs", "items", "__row")})
+    for limit in (1_000_000, 13):
+        got = Counter((r.doc_id, r.n_words, r.n_hit, r.n_items) for r in decontaminate.report(docs, bench, limit=limit).collect())
+        items = [("1", item), ("2", words(4, 4)), ("", words(6, 12))]
+        assert got == Counter((i, n, hit, len(found)) for i, (n, hit, found) in ((i, _fast_hits(t, items)) for i, t in rows))
+        left = decontaminate.remove(docs, bench, limit=limit)
+        assert left.columns == docs.columns and left.where("doc_id = 2 AND n_words = 'n_words'").count() == 1
+        assert Counter(r.text for r in left.where("doc_id = 1 AND text IS NOT NULL").collect()) == {f"{words(7, 20_000)}  {words(8, 20_000)}": 2}
+
+
+def _fast_hits(text, items, window=10):
+    """Brute force over whole items at their places; fine where windows of an item occur together only."""
+    ws, hit, found = decontaminate.words(text), set(), []
+    for name, item in items:
+        iw = decontaminate.words(item)
+        k = min(window, len(iw))
+        grams = {tuple(iw[a : a + k]) for a in range(len(iw) - k + 1)}
+        at = [i for i in range(len(ws) - k + 1) if tuple(ws[i : i + k]) in grams]
+        hit |= {x for i in at for x in range(i, i + k)}
+        found += [name] * bool(at)
+    return len(ws), len(hit), found
+
+
 def test_decontamination_removes_spans_and_keeps_clean_rows(spark):
     item = words(3, 15)
     bench = spark.createDataFrame([(1, item.upper() + "!")], "item_id long, text string")
@@ -112,22 +142,47 @@ def test_language_of_edge_rows_and_held_out_accuracy(spark):
     assert {r.lang_pred for r in langid.report(unlabelled).collect()} == {"und"}
 
 
-def test_language_model_equals_plain_counting(spark):
-    rows = [("ab ab", "x"), ("ba", "y"), ("ab", "x"), ("12", "x"), (None, "y"), ("ab", None)]
-    names, matrix = langid.train(spark.createDataFrame(rows, "text string, lang string"))
-    counts = np.zeros((2, 1 << langid.BITS))
-    for t, lang in rows[:3]:
-        counts["xy".index(lang)] += np.bincount(langid.buckets(t), minlength=1 << langid.BITS)
-    want = np.log(counts + langid.SMOOTHING) - np.log(counts.sum(1, keepdims=True) + langid.SMOOTHING * (1 << langid.BITS))
-    assert names == ["x", "y"]
-    assert np.allclose(matrix[:-1], want.T) and np.allclose(matrix[-1], np.log([2 / 3, 1 / 3]))
+def _bayes(rows, texts):
+    """Brute force: every language's score of every text, by plain counting of hashed n-grams."""
+    size = 1 << langid.BITS
+    known = [(langid.buckets(t).tolist(), lang) for t, lang in rows if lang is not None and langid.has_letters(t)]
+    names = sorted({lang for _, lang in known})
+    counts = {lang: Counter(x for b, got in known if got == lang for x in b) for lang in names}
+    out = []
+    for t in texts:
+        logs = []
+        for lang in names:
+            total = sum(counts[lang].values()) + langid.SMOOTHING * size
+            prior = math.log(sum(got == lang for _, got in known) / len(known))
+            logs.append(prior + sum(math.log((counts[lang][x] + langid.SMOOTHING) / total) for x in langid.buckets(t)))
+        best = max(range(len(names)), key=lambda k: logs[k])
+        out.append((names[best], 1 / sum(math.exp(x - logs[best]) for x in logs)))
+    return out
+
+
+@pytest.mark.parametrize("most", [256, 2, 1])
+def test_language_predictions_equal_brute_force(spark, most):
+    rows = [(words(k, 20 + k) if k % 3 else f"{k} straße où niño " * k, "xyzwv"[k % 5]) for k in range(1, 40)] + [("12", "x"), (None, "y"), ("ab", None)]
+    texts = [words(100 + k, 1 + 3 * k) for k in range(12)] + ["straße", "a", "où " * 3000]
+    counts = langid.counted(spark.createDataFrame(rows, "text string, lang string"))
+    asked = spark.createDataFrame([(k, t, "x") for k, t in enumerate(texts)] + [(98, None, "x"), (99, "12 !", "x")], "k int, text string, lang string")
+    got = {r.k: (r.lang_pred, r.score) for r in langid.predict(asked, counts, most=most).collect()}
+    for k, (lang, score) in enumerate(_bayes(rows, texts)):
+        assert got[k][0] == lang and abs(got[k][1] - score) < 1e-9, k
+    assert got[98] == got[99] == ("und", 0.0)
+
+
+def test_languages_that_tie_go_to_the_first_name(spark):
+    counts = langid.counted(spark.createDataFrame([("abc abc", "b"), ("abc abc", "a"), ("abc abc", "c")], "text string, lang string"))
+    for most in (256, 1):
+        assert langid.predict(spark.createDataFrame([("abc",)], "text string"), counts, most=most).first().lang_pred == "a"
 
 
 def test_quality_draw_is_the_k_largest_keys(spark):
     docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
     got = quality.report(docs, labels).collect()
-    k = sum(r.log_weight >= quality.ACCEPT for r in got)
-    best = sorted(got, key=lambda r: (-r.gumbel_key, r.doc_id))[:k]
+    k = sum(r.log_weight is not None and r.log_weight >= quality.ACCEPT and r.worst_stretch >= quality.WORST for r in got)
+    best = sorted((r for r in got if r.worst_stretch >= quality.WORST), key=lambda r: (-r.gumbel_key, r.doc_id))[:k]
     assert {r.doc_id for r in got if r.selected} == {r.doc_id for r in best}
     held = {r.doc_id: r for r in labels.collect()}
     bad = [r.selected for r in got if r.doc_id in held and held[r.doc_id].quality == 0]
@@ -145,6 +200,26 @@ def test_quality_model_equals_plain_counting(spark):
     assert np.allclose(got, want)
 
 
+def test_quality_weight_is_the_log_ratio_of_the_models(spark):
+    texts = [(k, words(k % 7, 40 + k)) for k in range(30)] + [(30, words(3, 700)), (31, ""), (32, None)]
+    labels = spark.createDataFrame([(k, int(k % 2 == 0), 0) for k in range(0, 20)], "doc_id long, quality int, toxic int")
+    raw, target = Counter(), Counter()
+    for i, t in texts:
+        for k in (0, 1):
+            for x in quality.buckets(t)[k].tolist():
+                raw[k, x] += 1
+                target[k, x] += i < 20 and i % 2 == 0
+    total, scale = (sum(n for (k, _), n in c.items() if k == 0) for c in (raw, target))
+    ratio = lambda k, x, s: math.log((target[k, x] + s) / (raw[k, x] / total * scale + s))
+    got = {r.doc_id: r for r in quality.report(docs_of(spark, texts), labels).collect()}
+    for i, t in texts:
+        grams = list(zip(*quality.buckets(t).tolist(), strict=True))
+        one, eight = ([max(ratio(0, a, s), ratio(1, b, s)) for a, b in grams] for s in (quality.SMOOTHING, quality.TAIL_SMOOTHING))
+        worst = min((sum(min(x - quality.TAIL, 0) for x in eight[at : at + quality.STRETCH]) for at in range(0, len(grams), quality.STRETCH)), default=0)
+        assert got[i].log_weight is None if not grams else abs(got[i].log_weight - sum(one)) < 1e-6
+        assert abs(got[i].worst_stretch - worst) < 1e-6
+
+
 def test_quality_of_edge_rows(spark):
     labels = spark.read.parquet(f"{SF}/labels.parquet")
     docs = docs_of(spark, edge_texts())
@@ -176,7 +251,8 @@ def test_quality_accepts_withheld_good_documents_of_any_length(spark, size, step
     for r in docs.where(F.col("doc_id").isin(sorted(held))).collect():
         got = quality.buckets(r.text)
         at = sum(got.shape[1] >= edge for edge in (500, 2000))
-        classes.setdefault(at, []).append(quality.weight_of(got, ratios) >= quality.ACCEPT)
+        weight, worst = quality.weights_of(got, ratios)
+        classes.setdefault(at, []).append(weight is not None and weight >= quality.ACCEPT and worst >= quality.WORST)
     assert len(classes) == 3
     for at, accepted in classes.items():
         assert np.mean(accepted) >= 0.9, (at, np.mean(accepted), len(accepted))
