@@ -1,24 +1,26 @@
 """Fuzzy line dedup by MinHash, with built-in functions only.
 
-Lines of at least ``MIN_CHARS`` characters, trimmed and lower-cased, take part.
-Equal lines are one from the start (by a 64-bit hash).  A line's signature are the
-first of ``BANDS * ROWS`` hash orders over its ``SHINGLE``-character shingles that
-begin at a word (in scripts without blanks, at any letter), a content-defined
-sample, so that signatures cost a fifth of what all shingles would.  Each band
-files the line; per file the smallest and the largest member are leaders, found by
-a combined aggregation, and every member is a candidate with each.  Candidates are
-verified by the exact Jaccard similarity of all their character shingles, and
-verified links go through distributed contraction to components.  Files whose
-members are not one component by then are compared in tiles of ``TILE`` members:
+All lines that aren't blank, trimmed and lower-cased, take part.  Equal lines are one
+from the start (by a 64-bit hash), whatever their length.  A line's signature are the
+first of ``BANDS * ROWS`` hash orders over all its ``SHINGLE``-character shingles: the
+shingles are rows and their smallest and largest hashes are combined per line before
+they are shuffled.  Each band files the line; per file the smallest and the largest
+member are leaders, found by a combined aggregation, and every member is a candidate
+with each.  Candidates are verified by the exact Jaccard similarity of their character
+shingles, and verified links go through distributed contraction to components.  Files
+whose members are not one component by then are compared in tiles of ``TILE`` members:
 each member with the first of each other component, which joins stars, then, where
-several components are left, all pairs but those in one component or with a leader.  Of each
-component the first occurrence (by document and position) stays.
+several components are left, all pairs but those in one component or with a leader.  Of
+each component the first occurrence (by document and position) stays.
 
 At the similarity asked for, a pair shares a file with probability
-``1 - (1 - 0.8 ** ROWS) ** BANDS`` (0.993); tests hold the links against brute force.
+``1 - (1 - 0.8 ** ROWS) ** BANDS`` (0.995); tests hold the links against brute force.
+One changed character costs ``SHINGLE`` shingles on either side, so lines of fewer than
+69 characters are near each other only by what is added at an end; lines shorter than a
+shingle are equal or different.
 
 Defined results: a null text has no lines; documents with a null id take no part
-and are kept as they are; shorter lines are never touched; rows that repeat an id
+and are kept as they are; blank lines are never touched; rows that repeat an id
 keep what is at a kept position; a document that loses all its lines stays, with
 an empty text; ties go to the smaller document id, then position; an empty table
 gives an empty result; further columns are kept by :func:`keep_first`.
@@ -33,18 +35,13 @@ from pyspark.sql import functions as F
 
 from strandline.llm.common import components, maybe_in, tiled, with_maybe, written
 
-MIN_CHARS = 16
-SHINGLE = 10
+SHINGLE = 7
 SIMILARITY = 0.8
-ROWS = 3
-BANDS = 7
+ROWS = 4
+BANDS = 10
 TILE = 1024
 
-#: Letters of scripts that part words by blanks: all but Thai, Kana and Han.
-_LETTER = r"[\p{L}&&[^\u0e00-\u0e7f\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\x{20000}-\x{3ffff}]]"
-# A match takes the rest of its word and one character, or one character alone, so the next begins where a word may.
-_AT_WORD = r"(?s)(?=(.{%d}))(?:%s++.?|.)" % (SHINGLE, _LETTER)
-_ANYWHERE = r"(?s)(?=(.{%d}))" % SHINGLE
+_SHINGLES = r"(?s)(?=(.{%d}))" % SHINGLE
 _random = random.Random(3)
 _MASKS = [_random.getrandbits(64) - (1 << 63) for _ in range((ROWS * BANDS + 1) // 2)]
 
@@ -53,33 +50,28 @@ def normal(line: Column) -> Column:
     return F.lower(F.trim(line))
 
 
-def _hashed(line: Column, pattern: str) -> Column:
-    return F.transform(F.regexp_extract_all(line, F.lit(pattern), 1), lambda s: F.xxhash64(s))
-
-
-def _masked(hashed: Column, mask: int) -> Column:
-    return F.transform(hashed, lambda x: x.bitwiseXOR(F.lit(mask)))
-
-
-def _ends(hashed: Column) -> list[Column]:
-    """Smallest and largest hash in the order of each mask: two orders, one the reverse of the other, for one transform."""
-    masked = [_masked(hashed, mask) for mask in _MASKS]
-    return [*map(F.array_min, masked), *map(F.array_max, masked)][: ROWS * BANDS]
+def shingles(line: Column) -> Column:
+    return F.regexp_extract_all(line, F.lit(_SHINGLES), 1)
 
 
 def lines(docs: DataFrame) -> DataFrame:
     """doc_id, pos, line (normalised), id of every line that takes part."""
     rows = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.posexplode(F.split("text", "\n")).alias("pos", "raw"))
-    rows = rows.select("doc_id", "pos", normal(F.col("raw")).alias("line")).where(F.length("line") >= MIN_CHARS)
+    rows = rows.select("doc_id", "pos", normal(F.col("raw")).alias("line")).where(F.length("line") > 0)
     return rows.select("doc_id", "pos", "line", F.xxhash64("line").alias("id"))
 
 
 def signed(rows: DataFrame) -> DataFrame:
-    """doc_id, pos, id, keys: the band keys of every line."""
-    hashed = rows.select("doc_id", "pos", "id", _hashed(F.col("line"), _AT_WORD).alias("h"))
-    low = _ends(F.col("h"))
-    keys = [F.xxhash64(F.lit(b), *low[b * ROWS : (b + 1) * ROWS]) for b in range(BANDS)]
-    return hashed.select("doc_id", "pos", "id", F.array(*keys).alias("keys"))
+    """id, keys: the band keys of every different line that has a shingle.
+
+    A mask gives two orders, one the reverse of the other: the smallest and the largest masked hash.
+    """
+    hashed = rows.select("id", F.explode(shingles(F.col("line"))).alias("s")).select("id", F.xxhash64("s").alias("h"))
+    masked = [F.col("h").bitwiseXOR(F.lit(mask)) for mask in _MASKS]
+    orders = [*map(F.min, masked), *map(F.max, masked)][: ROWS * BANDS]
+    low = hashed.groupBy("id").agg(*(o.alias(f"o{k}") for k, o in enumerate(orders)))
+    keys = [F.xxhash64(F.lit(b), *(F.col(f"o{b * ROWS + k}") for k in range(ROWS))) for b in range(BANDS)]
+    return low.select("id", F.array(*keys).alias("keys"))
 
 
 def filed(signatures: DataFrame) -> DataFrame:
@@ -135,49 +127,49 @@ def grouped(rows: DataFrame, signatures: DataFrame, similarity: float = SIMILARI
 
 def verified(rows: DataFrame, pairs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """The pairs whose lines have the exact similarity over all character shingles."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    texts = maybe_in(rows.select("id", "line"), ids).join(ids, "id", "left_semi").dropDuplicates(["id"])
-    texts = written(texts)
+    ids = written(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
+    # One row a line before the join, so that a very common line is no hot key there.
+    texts = written(maybe_in(rows.select("id", "line"), ids).dropDuplicates(["id"]).join(ids, "id", "left_semi"))
     # A fixed number of tasks: pairs take long for their bytes, by which adaptive execution would put them in one task.
     tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     other = texts.select(F.col("id").alias("b"), F.col("line").alias("lb")).repartition(tasks, "b").hint("merge")
     both = pairs.join(texts.select(F.col("id").alias("a"), F.col("line").alias("la")), "a").join(other, "b")
-    both = both.select("a", "b", F.array_distinct(_hashed(F.col("la"), _ANYWHERE)).alias("sa"), F.array_distinct(_hashed(F.col("lb"), _ANYWHERE)).alias("sb"))
+    both = both.select("a", "b", F.array_distinct(shingles(F.col("la"))).alias("sa"), F.array_distinct(shingles(F.col("lb"))).alias("sb"))
     small, large = F.least(F.size("sa"), F.size("sb")), F.greatest(F.size("sa"), F.size("sb"))
     common = F.size(F.array_intersect("sa", "sb"))
     return both.where((small >= similarity * large) & (common >= similarity * (small + large - common))).select("a", "b")
 
 
 def _kept(docs: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
-    """The signatures, and doc_id, kept (positions of lines that stay) of documents that have some."""
+    """doc_id, pos, id of every line, and doc_id, kept (positions of lines that stay) of documents that have some."""
     rows = lines(docs)
-    signatures = written(signed(rows))
-    linked = grouped(rows, signatures, similarity)
-    first = signatures.groupBy("id").agg(F.min(F.struct("doc_id", "pos")).alias("at"))
+    places = written(rows.select("doc_id", "pos", "id"))
+    linked = grouped(rows, written(signed(rows)), similarity)
+    first = places.groupBy("id").agg(F.min(F.struct("doc_id", "pos")).alias("at"))
     named = first.join(linked, first["id"] == linked["node"], "left").select(F.coalesce("component", "id").alias("component"), "at")
     heads = named.groupBy("component").agg(F.min("at").alias("at"))
-    return signatures, heads.groupBy("at.doc_id").agg(F.sort_array(F.collect_list("at.pos")).alias("kept"))
+    return places, heads.groupBy("at.doc_id").agg(F.sort_array(F.collect_list("at.pos")).alias("kept"))
 
 
 def report(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """doc_id, n_lines (that take part), n_removed: a row a document."""
-    signatures, kept = _kept(docs, similarity)
-    have = signatures.groupBy("doc_id").agg(F.countDistinct("pos").alias("n_lines"))
-    counts = have.join(kept, "doc_id", "left").select("doc_id", "n_lines", (F.col("n_lines") - F.coalesce(F.size("kept"), F.lit(0))).alias("n_removed"))
+    places, kept = _kept(docs, similarity)
+    have = places.groupBy("doc_id").agg(F.countDistinct("pos").alias("n_lines"))
+    counts = written(have.join(kept, "doc_id", "left").select("doc_id", "n_lines", (F.col("n_lines") - F.coalesce(F.size("kept"), F.lit(0))).alias("n_removed")))
     return docs.select(F.col("doc_id").cast("long").alias("doc_id")).join(counts, "doc_id", "left").select("doc_id", F.coalesce("n_lines", F.lit(0)).alias("n_lines"), F.coalesce("n_removed", F.lit(0)).alias("n_removed"))
 
 
 def keep_first(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """The rows of ``docs`` without repeated lines, all columns kept."""
-    signatures, kept = _kept(docs, similarity)
+    places, kept = _kept(docs, similarity)
     kept = written(kept)
-    have = signatures.groupBy("doc_id").agg(F.countDistinct("pos").alias("n"))
+    have = places.groupBy("doc_id").agg(F.countDistinct("pos").alias("n"))
     changed = written(have.join(kept, "doc_id", "left").where(F.col("n") > F.coalesce(F.size("kept"), F.lit(0))).select("doc_id", "kept"))
     # Documents that surely lose nothing pass by; the others meet their kept positions.
     keyed = with_maybe(docs.withColumn("__id", F.col("doc_id").cast("long")), changed.select(F.col("doc_id").alias("__id")), "__id", "__changed")
     same = keyed.where("NOT __changed").select(*(F.col(f"`{c}`") for c in docs.columns))
     lists = changed.select(F.col("doc_id").alias("__doc"), F.coalesce("kept", F.array().cast("array<int>")).alias("__kept"))
     joined = keyed.where("__changed").join(lists, F.col("__id") == F.col("__doc"), "left")
-    stays = lambda line, i: (F.length(normal(line)) < MIN_CHARS) | F.array_contains(F.col("__kept"), i)
+    stays = lambda line, i: (F.length(normal(line)) == 0) | F.array_contains(F.col("__kept"), i)
     text = F.when(F.col("__kept").isNull(), F.col("text")).otherwise(F.array_join(F.filter(F.split("text", "\n"), stays), "\n"))
     return same.unionByName(joined.select(*(text.alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns)))

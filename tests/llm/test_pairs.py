@@ -150,7 +150,7 @@ def test_line_dedup_against_brute_force(spark):
     rows = lines.lines(docs)
     links = lines.verified(rows, lines.candidates(lines.signed(rows))).collect()
     found = {frozenset((r.a, r.b)) for r in links}
-    sets = {r.id: frozenset(r.line[i : i + lines.SHINGLE] for i in range(len(r.line) - lines.SHINGLE + 1)) for r in rows.collect()}
+    sets = {r.id: frozenset(r.line[i : i + lines.SHINGLE] for i in range(len(r.line) - lines.SHINGLE + 1)) for r in rows.collect() if len(r.line) >= lines.SHINGLE}
     true = {frozenset((a, b)) for a, b in combinations(sets, 2) if min(len(sets[a]), len(sets[b])) >= 0.8 * max(len(sets[a]), len(sets[b])) and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
     assert found <= true
     joined = _components(sets, [tuple(x) for x in found])
@@ -160,7 +160,7 @@ def test_line_dedup_against_brute_force(spark):
 
 
 def test_line_dedup_keeps_one_line_a_group(spark):
-    one = "this is a line of text that will be repeated in several documents of the table and in some others that come after it"
+    one = "this is a line of text that will be repeated in several documents of the table"
     near = one.replace("repeated", "repeatad")
     one_set, near_set = ({x[i : i + lines.SHINGLE] for i in range(len(x) - lines.SHINGLE + 1)} for x in (one, near))
     assert len(one_set & near_set) >= lines.SIMILARITY * len(one_set | near_set)
@@ -168,7 +168,7 @@ def test_line_dedup_keeps_one_line_a_group(spark):
     got = lines.keep_first(docs_of(spark, texts))
     assert got.columns == docs_of(spark, []).columns
     by = {r.doc_id: r.text for r in got.collect()}
-    assert by[1] == f"{words(2, 12)}\n  {one.upper()}\nshort" and by[3] == f"short\n{words(1, 12)}"
+    assert by[1] == f"{words(2, 12)}\n  {one.upper()}\nshort" and by[3] == words(1, 12)  # the short line is document 1's
     assert by[2] == by[6] == by[5] == "" and by[4] is None and by[None] == one and by[7] == "漢字" * 30
     assert got.count() == len(texts)
     assert lines.keep_first(docs_of(spark, [])).count() == 0 and lines.report(docs_of(spark, [])).count() == 0
