@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import StringType
 
+from strandline.functions.names import trimmed
+
 # Broken encodings and what they stood for.
 MOJIBAKE = (
     ("\u00e2\u0080\u0093", "\u2013"), ("\u00e2\u0080\u0094", "\u2014"), ("\u00e2\u0080\u0099", "\u2019"), ("\u00e2\u0080\u009c", "\u201c"),
@@ -68,8 +70,8 @@ def shortened(col: Column, size: int) -> Column:
 
 def json_in(text: Column) -> Column:
     """The JSON object in free text: the text itself, a fenced block, or from the first brace to the last; null if none parses."""
-    whole = F.trim(text)
-    fenced = F.trim(F.nullif(F.regexp_extract(text, r"(?s)```(?:json)?(.*?)(?:```|$)", 1), F.lit("")))
+    whole = trimmed(text)
+    fenced = trimmed(F.nullif(F.regexp_extract(text, r"(?s)```(?:json)?(.*?)(?:```|$)", 1), F.lit("")))
     braces = F.nullif(F.regexp_extract(text, r"(?s)(\{.*\})", 1), F.lit(""))
     ok = lambda c: F.when(F.try_parse_json(c).isNotNull(), c)
     return F.coalesce(ok(whole), ok(fenced), ok(braces))

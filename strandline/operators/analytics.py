@@ -36,34 +36,44 @@ def overview(subs: DataFrame) -> DataFrame:
 
 
 def filing_timeline(dates: DataFrame, subs: DataFrame) -> DataFrame:
-    """year, companies_filing, subsidiaries_seen: children whose span covers a filing, by the filing's year."""
-    covers = (F.col("d.cik") == F.col("s.cik")) & (F.col("s.first_seen") <= F.col("d.fdate")) & (F.col("s.last_seen") >= F.col("d.fdate"))
-    joined = dates.alias("d").join(subs.alias("s"), covers, "left")
-    child = F.when(F.col("s.cik").isNotNull(), F.struct("s.cik", "s.sub_name"))
-    return joined.groupBy(year_of("d.fdate").alias("year")).agg(F.countDistinct("d.cik").alias("companies_filing"), F.countDistinct(child).alias("subsidiaries_seen"))
+    """year, companies_filing, subsidiaries_seen: children (a row each) whose span covers a filing, by the filing's year.
+
+    A row a parent and year, and a row a child and year of its span, meet by equal keys;
+    whether a filing lies inside the span is then a look at the parent's dates of that year.
+    """
+    filed = dates.groupBy("cik", year_of("fdate").alias("year")).agg(F.collect_set("fdate").alias("filings"))
+    span = subs.select("cik", "first_seen", "last_seen", F.explode(F.sequence(year_of("first_seen"), year_of("last_seen"))).alias("year"))
+    seen = F.exists("filings", lambda d: (F.col("first_seen") <= d) & (F.col("last_seen") >= d))
+    children = span.where("first_seen <= last_seen").join(filed, ["cik", "year"]).where(seen).groupBy("year").agg(F.count("*").alias("n"))
+    parents = filed.groupBy("year").agg(F.count("*").alias("companies_filing"))
+    return parents.join(children, "year", "left").select("year", "companies_filing", F.coalesce("n", F.lit(0)).alias("subsidiaries_seen"))
 
 
 def timeline_growth(timeline: DataFrame) -> DataFrame:
-    """The timeline (one row a year) with running total, change, growth and shares."""
+    """The timeline (one row a year) with running total, change, growth and shares.
+
+    Growth counts a year before without children as one of one child; the first year has none.
+    """
     order = Window.orderBy("year")
     all_years = Window.partitionBy()
     n = F.col("subsidiaries_seen")
     before = F.lag(n).over(order)
-    divisor = F.when(F.coalesce(before, F.lit(0)) == 0, 1).otherwise(before)
+    base = F.when(F.coalesce(before, F.lit(0)) == 0, 1).otherwise(before)
+    growth = F.when(F.lag("year").over(order).isNotNull(), F.round((n - base) * 100.0 / base, 4))
     return timeline.select(
         "year",
         "subsidiaries_seen",
         F.sum(n).over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("running_total"),
         F.coalesce(n - before, F.lit(0)).alias("delta"),
-        F.round(F.coalesce((n - before) * 100.0 / divisor, F.lit(0.0)), 4).alias("growth_pct"),
+        growth.alias("growth_pct"),
         F.round(n / F.max(n).over(all_years), 6).alias("share_of_max"),
         F.round(n * 100.0 / F.sum(n).over(all_years), 1).alias("share_of_total_pct"),
     )
 
 
 def fastest_growth(growth: DataFrame, k: int = 3) -> DataFrame:
-    """The k years of the fastest growth."""
-    return growth.where("delta <> 0").orderBy(F.col("growth_pct").desc(), "year").limit(k).select("year", "growth_pct")
+    """The k years of the fastest growth, by year; of equal growth the earlier years."""
+    return growth.where("growth_pct IS NOT NULL").orderBy(F.col("growth_pct").desc(), "year").limit(k).orderBy("year").select("year", "growth_pct")
 
 
 def churn(subs: DataFrame) -> DataFrame:

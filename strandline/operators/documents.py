@@ -8,12 +8,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import ArrayType, StringType
+from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from strandline.functions.names import trimmed
 from strandline.functions.text import squeezed
 
-# Starts of lines that are headings, and marks that open the list.
+# Starts of lines that are headings, marks that open the list, heads of columns, names by ending and by shape.
 NOT_NAMES = r"(?iU)^(exhibit\s*\d|page\s*\d|subsidiaries?\s*of|list\s+of|name\s+of|jurisdiction|state\s+of|incorporated|organized|\*+$|-+$|=+$)"
 OPENS = r"(?i)exhibit\s*21|subsidiaries|list of subsidiar"
 COLUMN_HEADS = r"(?i)^(name\s+of|jurisdiction|state|country|incorporated)"
@@ -71,16 +71,40 @@ def _parsed(text: str) -> _Rows:
     return parser
 
 
+_PAGE = StructType([StructField("cells", ArrayType(StringType())), StructField("lines", ArrayType(StringType())), StructField("text", StringType())])
+
+
+@pandas_udf(_PAGE)
+def parsed(pages: pd.Series) -> pd.DataFrame:
+    """First cells of table rows, the lines that aren't blank, and the text; HTML has no built-in parser.
+
+    Text without tags is as it is; of markup each piece of text is a line.
+    """
+
+    def one(page: str | None) -> tuple:
+        if page is None:
+            return None, None, None
+        low = page.lower()
+        found = _parsed(page) if "<" in page else None
+        text = page if found is None else "\n".join(found.pieces)
+        cells = found.firsts if found is not None and ("<table" in low or "<tr" in low) else []
+        return cells, [x for line in text.split("\n") if (x := line.strip())], text
+
+    rows = [one(p) for p in pages]
+    return pd.DataFrame({c: pd.Series([r[k] for r in rows], dtype=object) for k, c in enumerate(("cells", "lines", "text"))})
+
+
 @pandas_udf(ArrayType(StringType()))
-def first_cells(pages: pd.Series) -> pd.Series:
-    """First cells of table rows; HTML has no built-in parser."""
-    return pages.map(lambda t: _parsed(t).firsts if "<table" in t.lower() or "<tr" in t.lower() else [], na_action="ignore")
+def first_spellings(names: pd.Series) -> pd.Series:
+    """The first of names that differ in case only, in order; a set of what was seen has no built-in form for arrays."""
 
+    def one(ns: list[str]) -> list[str]:
+        seen: dict[str, str] = {}
+        for n in ns:
+            seen.setdefault(n.lower(), n)
+        return list(seen.values())
 
-@pandas_udf(StringType())
-def visible_text(pages: pd.Series) -> pd.Series:
-    """Text without markup, a line for each piece; text without tags as it is."""
-    return pages.map(lambda t: "\n".join(_parsed(t).pieces) if "<" in t else t, na_action="ignore")
+    return names.map(one, na_action="ignore")
 
 
 def looks_like_name(text: Column) -> Column:
@@ -95,16 +119,16 @@ def name_in_line(line: Column) -> Column:
     return trimmed(F.regexp_replace(F.regexp_replace(line, r"(?U)\s*\(.*?\)\s*$", ""), r"(?U)\s+[A-Z]{2}\s*$", ""))
 
 
-def from_lines(text: Column) -> Column:
-    """Names in the lines after the first one that opens the list; where that gives none, in all lines that look like names."""
-    lines = F.filter(F.transform(F.split(text, "\n"), trimmed), lambda x: x != "")
-    opens = F.transform(lines, lambda x: x.rlike(OPENS))
-    first = F.array_position(opens, F.lit(True))
+def from_lines(lines: Column) -> Column:
+    """Names in the (trimmed) lines after the first one that opens the list; where that gives none, in all lines that look like names."""
+    first = F.array_position(F.transform(lines, lambda x: x.rlike(OPENS)), F.lit(True))
     listed = F.filter(F.slice(lines, F.greatest(first.cast("int"), F.lit(1)), F.size(lines)), lambda x: ~x.rlike(OPENS) & ~x.rlike(COLUMN_HEADS))
     names = F.filter(F.transform(listed, name_in_line), lambda n: (n != "") & looks_like_name(n))
-    names = F.when(first > 0, names).otherwise(F.array().cast("array<string>"))
-    every = F.filter(F.transform(F.filter(lines, looks_like_name), name_in_line), lambda n: n != "")
-    return F.when(F.size(names) > 0, names).otherwise(every)
+    return F.when(first > 0, names).otherwise(F.array().cast("array<string>"))
+
+
+def from_all_lines(lines: Column) -> Column:
+    return F.filter(F.transform(F.filter(lines, looks_like_name), name_in_line), lambda n: n != "")
 
 
 def from_patterns(text: Column) -> Column:
@@ -115,19 +139,22 @@ def from_patterns(text: Column) -> Column:
 
 def distinct_names(names: Column) -> Column:
     """Squeezed names of three characters and more, the first spelling of each, in order."""
-    kept = F.filter(F.transform(names, squeezed), lambda n: F.length(n) >= 3)
-    lows = F.transform(kept, F.lower)
-    return F.filter(kept, lambda n, i: F.array_position(lows, F.lower(n)) == i + 1)
+    return first_spellings(F.filter(F.transform(names, squeezed), lambda n: F.length(n) >= 3))
 
 
 def parse_documents(docs: DataFrame, content: str) -> DataFrame:
-    """``docs`` with names: cells of tables, else lines, else patterns."""
-    rows = docs.withColumn("__cells", F.filter(first_cells(content), lambda n: (n != "") & looks_like_name(n)))
-    rows = rows.withColumn("__text", visible_text(content))
-    rows = rows.withColumn("__lines", from_lines(F.col("__text")))
-    some = lambda c: F.coalesce(F.size(c), F.lit(0)) > 0
-    names = F.when(some("__cells"), F.col("__cells")).when(some("__lines"), F.col("__lines")).otherwise(from_patterns(F.col("__text")))
-    return rows.withColumn("names", F.coalesce(distinct_names(names), F.array().cast("array<string>"))).drop("__cells", "__text", "__lines")
+    """``docs`` with names: cells of tables, else lines, else patterns.
+
+    A page is parsed once, and each array is made once: the two functions over batches
+    keep what they return, so later expressions read it instead of repeating it.
+    """
+    rows = docs.withColumn("__p", parsed(content))
+    cells = F.filter("__p.cells", lambda n: (n != "") & looks_like_name(n))
+    lines = F.col("__p.lines")
+    none = F.array().cast("array<string>")
+    or_else = lambda a, b: F.when(F.size(a) > 0, a).otherwise(b)
+    names = or_else(cells, or_else(from_lines(lines), or_else(from_all_lines(lines), from_patterns(F.col("__p.text")))))
+    return rows.withColumn("names", F.coalesce(distinct_names(names), none)).drop("__p")
 
 
 def entities(docs: DataFrame, content: str, key: str) -> DataFrame:

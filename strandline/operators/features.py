@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strandline.functions.names import FEATURE_FUNCTIONAL, FEATURE_GEOGRAPHIC, has_any, is_active, jaccard, meaningful_words, norm, suffix_type
 from strandline.operators.classify import cross_parent_names
+from strandline.store import stored
 
 NUMERIC = ("jaccard", "batch_size", "is_cross_parent", "lag_days", "has_functional", "has_geographic", "token_count", "is_active")
 
@@ -99,6 +100,26 @@ def training_table(subs: DataFrame, companies: DataFrame, labels: DataFrame) ->
     return features(subs, companies).join(strongest(labels), ["cik", "sub_name"])
 
 
+def training_rows(table: DataFrame) -> DataFrame:
+    """The fourteen columns of the training file (``write_csv`` of ``sources.sinks`` writes it)."""
+    return table.select(
+        F.concat_ws("/", "cik", "sub_name").alias("sub_id"),
+        "sub_name",
+        F.col("company_name").alias("parent_name"),
+        "label",
+        F.col("origin").alias("source"),
+        F.col("is_cross_parent").alias("cross_cik"),
+        F.round("jaccard", 4).alias("name_similarity"),
+        "suffix_type",
+        F.col("lag_days").alias("first_seen_lag_days"),
+        "batch_size",
+        "has_functional",
+        "has_geographic",
+        "token_count",
+        "is_active",
+    )
+
+
 def train(table: DataFrame, rounds: int = 200, depth: int = 6, rate: float = 0.1, share: float = 0.8, seed: int = 42) -> tuple[object, DataFrame]:
     """A fitted gradient-boosted pipeline and its predictions for a held-out fifth, split within each label by hashed key."""
     from pyspark.ml import Pipeline
@@ -114,6 +135,7 @@ def train(table: DataFrame, rounds: int = 200, depth: int = 6, rate: float = 0.1
         VectorAssembler(inputCols=[*NUMERIC, "suffix"], outputCol="features"),
         GBTClassifier(labelCol="target", maxIter=rounds, maxDepth=depth, stepSize=rate, subsamplingRate=share, featureSubsetStrategy=str(share), seed=seed),
     ]
+    rows = stored(rows)  # read once a tree level
     model = Pipeline(stages=steps).fit(rows.where(F.col("place") < 0.8))
     return model, model.transform(rows.where(F.col("place") >= 0.8))
 
@@ -122,3 +144,10 @@ def evaluation(predicted: DataFrame) -> DataFrame:
     """label, children, accuracy."""
     right = F.avg((F.col("prediction") == F.col("target")).cast("double"))
     return predicted.groupBy("label").agg(F.count("*").alias("children"), F.round(right, 4).alias("accuracy"))
+
+
+def importances(model: object, spark: SparkSession) -> DataFrame:
+    """feature, importance of a fitted pipeline, the dummies of the name's ending added up."""
+    weights = model.stages[-1].featureImportances.toArray()  # a few numbers
+    rows = [(n, float(w)) for n, w in zip(NUMERIC, weights, strict=False)] + [("suffix_type", float(weights[len(NUMERIC) :].sum()))]
+    return spark.createDataFrame(rows, "feature string, importance double").orderBy(F.col("importance").desc(), "feature")

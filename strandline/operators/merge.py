@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandline.operators.timeline import bounds, child_timeline, company_rollup, filing_dates, spans
+from strandline.operators.timeline import all_filings, bounds, filing_dates, presence, rollup_of, spans, timeline_of
+from strandline.store import stored
 
 
 def merged_observations(old: DataFrame, new: DataFrame) -> DataFrame:
@@ -18,8 +19,9 @@ def merged_observations(old: DataFrame, new: DataFrame) -> DataFrame:
 def recomputed(old: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Timelines and roll-ups of the parents with new filings, from all their observations."""
     touched = new.select("cik").distinct()
-    rows = merged_observations(old.join(touched, "cik", "left_semi"), new)
-    return child_timeline(rows), company_rollup(rows)
+    kids = stored(presence(merged_observations(old.join(touched, "cik", "left_semi"), new)))
+    dates = stored(all_filings(kids))
+    return timeline_of(kids, dates), rollup_of(kids, dates)
 
 
 def legacy_merge(subs: DataFrame, dates: DataFrame, new: DataFrame) -> DataFrame:
@@ -47,8 +49,15 @@ def latest(rows: DataFrame, keys: list[str], order: list) -> DataFrame:
 
 
 def upsert(target: DataFrame, rows: DataFrame, keys: list[str], at: str) -> DataFrame:
-    """Target with rows of equal keys replaced by later ones."""
-    return latest(target.unionByName(rows), keys, [F.col(at).desc()])
+    """Target with rows of equal keys replaced by later ones; of equal times the new row counts."""
+    both = target.withColumn("__new", F.lit(0)).unionByName(rows.withColumn("__new", F.lit(1)))
+    return latest(both, keys, [F.col(at).desc(), F.col("__new").desc()]).drop("__new")
+
+
+def record_enrichments(subs: DataFrame, target: DataFrame, rows: DataFrame, keys: list[str], at: str) -> tuple[DataFrame, DataFrame]:
+    """Children with the enriched flag brought up to date, and the enrichments: those of ``rows`` update or are inserted."""
+    merged = upsert(target, rows, keys, at)
+    return enriched(subs, merged, keys), merged
 
 
 def enriched(subs: DataFrame, enrichments: DataFrame, keys: list[str]) -> DataFrame:

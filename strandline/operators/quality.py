@@ -33,6 +33,14 @@ def clean_plan(rows: DataFrame, name: str, **fixes: bool) -> DataFrame:
     return tagged.withColumn("action", F.when(F.col("flagged"), q.clean_action(F.col(name), F.col("cleaned"))).otherwise("skip")).drop("flagged")
 
 
+def preview(rows: DataFrame, name: str, key: str, limit: int = 50, **fixes: bool) -> DataFrame:
+    """key, original, cleaned, action, issues of the first flagged rows in the order of the key: a top-k."""
+    first = issue_rows(rows, name).orderBy(key).limit(max(1, min(limit, 200)))
+    cleaned = q.clean_name(F.col(name), **fixes)
+    planned = first.withColumn("cleaned", cleaned).withColumn("action", q.clean_action(F.col(name), F.col("cleaned")))
+    return planned.select(key, F.col(name).alias("original"), "cleaned", "action", "issues")
+
+
 def clean_counts(plan: DataFrame) -> DataFrame:
     return plan.groupBy("action").agg(F.count("*").alias("names"))
 

@@ -1,8 +1,11 @@
 """From observations to the presence timeline of every child.
 
-All work is keyed by parent (and child): one shuffle of the observations by parent
-and child, small date tables by parent.  The nearest filing before or after a date
-is a lookup, as first and last dates are filings themselves.
+The observations are read and shuffled once, by parent and child: :func:`presence` is
+a row a child with its dates, and everything else follows from that table, which is
+stored.  Made-up observations lie between two real ones, so spans don't depend on
+them; they only add filing dates to their parents.  Date tables are small and keyed by
+parent.  The nearest filing before or after a date is a lookup, as first and last
+dates are filings themselves.
 """
 
 from __future__ import annotations
@@ -11,6 +14,22 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandline.functions.names import has_entity_suffix
+from strandline.store import stored
+
+
+def presence(obs: DataFrame) -> DataFrame:
+    """cik, sub_norm, sub_name, comp_name (of several spellings the smallest), dates (different ones, in order): a row a child."""
+    return obs.groupBy("cik", "sub_norm").agg(F.min("sub_name").alias("sub_name"), F.min("comp_name").alias("comp_name"), F.sort_array(F.collect_set("fdate")).alias("dates"))
+
+
+def gaps(kids: DataFrame) -> DataFrame:
+    """:func:`gap_fill` of a presence table."""
+    years = F.array_distinct(F.transform("dates", lambda d: F.year(d)))
+    rows = kids.select("cik", "sub_norm", "sub_name", "comp_name", years.alias("years"))
+    missing = F.filter("years", lambda y: F.array_contains("years", y + 2) & ~F.array_contains("years", y + 1))
+    found = rows.select("cik", "sub_norm", "sub_name", "comp_name", F.explode(F.transform(missing, lambda y: y + 1)).alias("year"))
+    filed = rows.select("cik", F.explode("years").alias("year")).distinct()
+    return found.join(filed, ["cik", "year"], "left_semi").select("cik", F.make_date("year", F.lit(6), F.lit(30)).alias("fdate"), "comp_name", "sub_name", "sub_norm")
 
 
 def gap_fill(obs: DataFrame) -> DataFrame:
@@ -18,19 +37,7 @@ def gap_fill(obs: DataFrame) -> DataFrame:
 
     cik, fdate (the 30th of June), comp_name, sub_name, sub_norm; of several spellings the smallest.
     """
-    years = obs.groupBy("cik", "sub_norm", F.year("fdate").alias("year")).agg(F.min("comp_name").alias("comp_name"), F.min("sub_name").alias("sub_name"))
-    by_child = Window.partitionBy("cik", "sub_norm")
-    named = years.select(
-        "cik",
-        "sub_norm",
-        (F.col("year") + 1).alias("year"),
-        (F.lead("year").over(by_child.orderBy("year")) == F.col("year") + 2).alias("gap"),
-        F.min("comp_name").over(by_child).alias("comp_name"),
-        F.min("sub_name").over(by_child).alias("sub_name"),
-    ).where("gap")
-    filed = obs.select("cik", F.year("fdate").alias("year")).distinct()
-    fill = named.join(filed, ["cik", "year"], "left_semi")
-    return fill.select("cik", F.make_date("year", F.lit(6), F.lit(30)).alias("fdate"), "comp_name", "sub_name", "sub_norm")
+    return gaps(stored(presence(obs)))
 
 
 def filled(obs: DataFrame) -> DataFrame:
@@ -41,6 +48,11 @@ def filing_dates(obs: DataFrame) -> DataFrame:
     return obs.select("cik", "fdate").distinct()
 
 
+def all_filings(kids: DataFrame) -> DataFrame:
+    """cik, fdate of a presence table, made-up dates included."""
+    return kids.select("cik", F.explode("dates").alias("fdate")).unionByName(gaps(kids).select("cik", "fdate")).distinct()
+
+
 def neighbours(dates: DataFrame) -> DataFrame:
     """cik, fdate with the filings before and after, and the first and last of the parent."""
     parent = Window.partitionBy("cik")
@@ -73,16 +85,27 @@ def bounds(found: DataFrame, dates: DataFrame, suffix_rule: bool = True) -> Data
     return rows.select("cik", "sub_norm", "sub_name", iso("first_seen").alias("first_seen"), iso("last_seen").alias("last_seen"), time_in.alias("time_in"), time_out.alias("time_out"), confidence.alias("confidence"))
 
 
+def timeline_of(kids: DataFrame, dates: DataFrame) -> DataFrame:
+    """:func:`child_timeline` of a presence table and its filings."""
+    found = kids.select("cik", "sub_norm", "sub_name", F.array_min("dates").alias("first_seen"), F.array_max("dates").alias("last_seen"))
+    return bounds(found, dates)
+
+
+def rollup_of(kids: DataFrame, dates: DataFrame) -> DataFrame:
+    """:func:`company_rollup` of a presence table and its filings."""
+    filings = dates.groupBy("cik").agg(F.count("*").alias("num_filings"), F.min("fdate").alias("first"), F.max("fdate").alias("last"))
+    names = kids.groupBy("cik").agg(F.min("comp_name").alias("company_name"), F.count("*").alias("num_subsidiaries"))
+    iso = lambda c: F.date_format(c, "yyyy-MM-dd")
+    return names.join(filings, "cik").select("cik", "company_name", "num_filings", iso("first").alias("first_filing"), iso("last").alias("last_filing"), "num_subsidiaries")
+
+
 def child_timeline(obs: DataFrame) -> DataFrame:
     """The timeline of every child: gaps filled first, so made-up dates count as filings, also for other children."""
-    full = filled(obs)
-    return bounds(spans(full), filing_dates(full))
+    kids = stored(presence(obs))
+    return timeline_of(kids, stored(all_filings(kids)))
 
 
 def company_rollup(obs: DataFrame) -> DataFrame:
     """cik, company_name, num_filings, first_filing, last_filing, num_subsidiaries."""
-    full = filled(obs)
-    dates = filing_dates(full).groupBy("cik").agg(F.count("*").alias("num_filings"), F.min("fdate").alias("first"), F.max("fdate").alias("last"))
-    names = full.groupBy("cik").agg(F.min("comp_name").alias("company_name"), F.countDistinct("sub_norm").alias("num_subsidiaries"))
-    iso = lambda c: F.date_format(c, "yyyy-MM-dd")
-    return names.join(dates, "cik").select("cik", "company_name", "num_filings", iso("first").alias("first_filing"), iso("last").alias("last_filing"), "num_subsidiaries")
+    kids = stored(presence(obs))
+    return rollup_of(kids, stored(all_filings(kids)))

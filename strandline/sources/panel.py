@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -37,12 +37,19 @@ def read_observations(spark: SparkSession, path: str, form: str = "parquet") ->
     return observations(spark.read.format(form).load(path))
 
 
+def _by_header(spark: SparkSession, path: str, ddl: str) -> DataFrame:
+    """A CSV file with a header, its columns taken by name; those it lacks are null."""
+    raw = spark.read.option("header", True).csv(path)
+    fields = T.StructType.fromDDL(ddl)
+    return raw.select(*((F.col(f"`{f.name}`") if f.name in raw.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in fields))
+
+
 def read_tables(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
     """The three gzipped CSV tables of a saved panel, with the defaults of missing fields."""
-    read = lambda name, ddl: spark.read.schema(ddl).option("header", True).csv(f"{folder}/{name}.csv.gz")
+    read = lambda name, ddl: _by_header(spark, f"{folder}/{name}.csv.gz", ddl)
     subs = read("subsidiaries", SUBSIDIARIES)
-    defaults = {"confidence": "MEDIUM", "source": "Exhibit 21 filing comparison", "enriched": 0}
-    return {"companies": read("companies", COMPANIES).fillna(0, ["num_filings", "num_subsidiaries"]), "filing_dates": read("filing_dates", FILING_DATES), "subsidiaries": subs.fillna(defaults)}
+    defaults = {"confidence": "MEDIUM", "source": "SEC Exhibit 21 filing comparison", "enriched": 0}
+    return {"companies": read("companies", COMPANIES).fillna(0, ["num_filings", "num_subsidiaries"]), "filing_dates": read("filing_dates", FILING_DATES).distinct(), "subsidiaries": subs.fillna(defaults)}
 
 
 def driver_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,40 +74,77 @@ def driver_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # Landed answers of outside services; fetching them is not the engine's work.
 
-SUBMISSIONS = "cik string, filings struct<recent: struct<form: array<string>, filingDate: array<string>, accessionNumber: array<string>, primaryDocument: array<string>>>"
+FILINGS = "form: array<string>, filingDate: array<string>, accessionNumber: array<string>, primaryDocument: array<string>"
+SUBMISSIONS = f"cik string, tickers array<string>, filings struct<recent: struct<{FILINGS}>>"
 CHART = "chart struct<result: array<struct<timestamp: array<long>, indicators: struct<quote: array<struct<open: array<double>, high: array<double>, low: array<double>, close: array<double>, volume: array<long>>>>>>>"
 
 
-def filings_of(raw: DataFrame, events: int = 10, annual: int = 5) -> DataFrame:
-    """cik, kind, rank, form, filing_date, accession, document from JSON text (column ``value``): event filings before annual ones, the first few of each."""
-    parsed = raw.select(F.from_json("value", SUBMISSIONS).alias("j")).select("j.cik", "j.filings.recent.*")
-    rows = parsed.select("cik", F.posexplode(F.arrays_zip("form", "filingDate", "accessionNumber", "primaryDocument")).alias("pos", "f"))
-    kind = F.when(F.col("f.form").isin("8-K", "8-K/A"), 0).when(F.col("f.form").isin("10-K", "10-K/A"), 1)
-    rows = rows.select("cik", kind.alias("kind"), "pos", F.col("f.form").alias("form"), F.col("f.filingDate").alias("filing_date"), F.col("f.accessionNumber").alias("accession"), F.col("f.primaryDocument").alias("document"))
-    from pyspark.sql import Window
+def all_filings(raw: DataFrame, older: DataFrame | None = None) -> DataFrame:
+    """cik, page, pos, form, filing_date, accession, document: parallel arrays of submissions (JSON text in ``value``) to rows.
+
+    ``older`` has the further pages of a parent's filings (cik, page, value), which hold the arrays alone.
+    """
+    parsed = raw.select(F.from_json("value", SUBMISSIONS).alias("j")).select("j.cik", F.lit(0).alias("page"), "j.filings.recent.*")
+    if older is not None:
+        pages = older.select("cik", F.col("page").cast("int").alias("page"), F.from_json("value", FILINGS.replace(": ", " ")).alias("j"))
+        parsed = parsed.unionByName(pages.select("cik", "page", "j.*"))
+    zipped = F.arrays_zip("form", "filingDate", "accessionNumber", "primaryDocument")
+    rows = parsed.select("cik", "page", F.posexplode(zipped).alias("pos", "f"))
+    document = F.coalesce("f.primaryDocument", F.lit(""))
+    return rows.select("cik", "page", "pos", F.col("f.form").alias("form"), F.col("f.filingDate").alias("filing_date"), F.col("f.accessionNumber").alias("accession"), document.alias("document"))
 
+
+def filings_of(raw: DataFrame, events: int = 10, annual: int = 5) -> DataFrame:
+    """cik, kind, rank, form, filing_date, accession, document: event filings before annual ones, the first few of each."""
+    kind = F.when(F.col("form").isin("8-K", "8-K/A"), 0).when(F.col("form").isin("10-K", "10-K/A"), 1)
+    rows = all_filings(raw).withColumn("kind", kind).where("kind IS NOT NULL")
     rank = F.row_number().over(Window.partitionBy("cik", "kind").orderBy("pos"))
-    return rows.where("kind IS NOT NULL").withColumn("rank", rank).where((F.col("kind") == 0) & (F.col("rank") <= events) | (F.col("kind") == 1) & (F.col("rank") <= annual)).drop("pos")
+    kept = rows.withColumn("rank", rank).where((F.col("kind") == 0) & (F.col("rank") <= events) | (F.col("kind") == 1) & (F.col("rank") <= annual))
+    return kept.select("cik", "kind", "rank", "form", "filing_date", "accession", "document")
 
 
-def annual_filings(raw: DataFrame, first_year: int, last_year: int) -> DataFrame:
-    """cik, filing_date, accession of annual reports filed in the years."""
+def annual_filings(raw: DataFrame, first_year: int, last_year: int, older: DataFrame | None = None) -> DataFrame:
+    """cik, filing_date, accession, form of annual reports filed in the years, on any page."""
     year = F.try_to_number(F.substring("filing_date", 1, 4), F.lit("9999")).cast("int")
-    return filings_of(raw, 0, 1 << 30).where(year.between(first_year, last_year)).select("cik", "filing_date", "accession", "form")
+    rows = all_filings(raw, older).where(F.col("form").isin("10-K", "10-K/A") & year.between(first_year, last_year))
+    return rows.select("cik", "filing_date", "accession", "form")
+
+
+def tickers(raw: DataFrame) -> DataFrame:
+    """cik, ticker: the first of a parent's tickers, null if there is none."""
+    parsed = raw.select(F.from_json("value", SUBMISSIONS).alias("j"))
+    return parsed.select("j.cik", F.get("j.tickers", F.lit(0)).alias("ticker"))
 
 
-def exhibit_link(page: str = "page") -> object:
-    """Address of the subsidiary list in an index page: by file name, then by its row's description; null if neither is found."""
-    low = F.col(page)
-    by_name = F.regexp_extract(low, r"(?i)href=[\"']([^\"']*ex[-_]?(?:hibit)?[-_]?21[^\"']*)[\"']", 1)
-    by_row = F.regexp_extract(low, r"(?is)<tr[^>]*>(?:(?!</tr>).)*?href=[\"']([^\"']+)[\"'](?:(?!</tr>).)*?EX-21(?:(?!</tr>).)*?</tr>", 1)
-    return F.coalesce(F.nullif(by_name, F.lit("")), F.nullif(by_row, F.lit("")))
+ARCHIVE = "https://www.sec.gov"
+# How links and rows name the list of children, in the order in which they are tried.
+EXHIBIT_LINKS = (r"(?i)href=\"([^\"]*(?:ex|exhibit)[\-_]?21[^\"]*)\"", r"(?i)href=\"([^\"]*EX-21[^\"]*)\"", r"(?i)href=\"([^\"]*ex21[^\"]*)\"")
+EXHIBIT_ROW = r"(?i)>\s*(?:EX-?21|EXHIBIT\s*21)"
+
+
+def exhibit_link(page: Column, cik: Column, accession: Column) -> Column:
+    """Address of the list of children in an index page; null if there is none.
+
+    A link whose address names it, else the first link of the first table row that does
+    so and has one; addresses are completed from the archive's and the filing's.
+    """
+    named = F.coalesce(*(F.nullif(F.regexp_extract(page, p, 1), F.lit("")) for p in EXHIBIT_LINKS))
+    rows = F.filter(F.regexp_extract_all(page, F.lit(r"(?is)(<tr[^>]*>.*?</tr>)"), 1), lambda r: r.rlike(EXHIBIT_ROW) & r.rlike("(?i)href=\"[^\"]+\""))
+    described = F.nullif(F.regexp_extract(F.get(rows, F.lit(0)), "(?i)href=\"([^\"]+)\"", 1), F.lit(""))
+    found = F.coalesce(named, described)
+    base = F.concat(F.lit(f"{ARCHIVE}/Archives/edgar/data/"), cik.cast("long").cast("string"), F.lit("/"), F.replace(accession, F.lit("-"), F.lit("")), F.lit("/"))
+    return F.when(found.startswith("http"), found).when(found.startswith("/"), F.concat(F.lit(ARCHIVE), found)).when(found.isNotNull(), F.concat(base, found))
+
+
+def discovered(filings: DataFrame, pages: DataFrame) -> DataFrame:
+    """cik, accession, filing_date, exhibit_url of annual filings whose landed index page (cik, accession, page) links the list of children."""
+    rows = filings.select("cik", "accession", "filing_date").join(pages.select("cik", "accession", "page"), ["cik", "accession"])
+    url = exhibit_link(F.col("page"), F.col("cik"), F.col("accession"))
+    return rows.select("cik", "accession", "filing_date", url.alias("exhibit_url")).where("exhibit_url IS NOT NULL")
 
 
 def best_hits(hits: DataFrame, within: int = 10) -> DataFrame:
     """One search hit a child: the first of its first hits that is the parent's own, else the first (columns sub_id, rank from 0, entity_id, parent_cik, ...)."""
-    from pyspark.sql import Window
-
     own = (F.col("rank") < within) & (F.col("entity_id") == F.col("parent_cik"))
     order = Window.partitionBy("sub_id").orderBy(F.coalesce(own, F.lit(False)).desc(), "rank")
     return hits.withColumn("__r", F.row_number().over(order)).where("__r = 1").drop("__r")
@@ -108,8 +152,6 @@ def best_hits(hits: DataFrame, within: int = 10) -> DataFrame:
 
 def top_articles(hits: DataFrame, most: int = 5) -> DataFrame:
     """The first articles by title of each child, in order of appearance (columns sub_id, ordinal, title, ...)."""
-    from pyspark.sql import Window
-
     first = hits.withColumn("__r", F.row_number().over(Window.partitionBy("sub_id", "title").orderBy("ordinal"))).where("__r = 1")
     return first.withColumn("__r", F.row_number().over(Window.partitionBy("sub_id").orderBy("ordinal"))).where(F.col("__r") <= most).drop("__r")
 

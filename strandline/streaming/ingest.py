@@ -8,43 +8,58 @@ from pyspark.sql.streaming import StreamingQuery
 
 from strandline.operators.documents import entities
 from strandline.operators.merge import merged_observations
-from strandline.operators.timeline import child_timeline, company_rollup
+from strandline.operators.timeline import all_filings, presence, rollup_of, timeline_of
 from strandline.sources.panel import OBSERVATION, observations
+from strandline.store import stored
 
-#: Parents are kept in this many partitions by hash; a batch rewrites those it touches.
+#: Parents are kept in so many partitions by hash unless the panel says otherwise; a batch rewrites those it touches.
 BUCKETS = 64
+#: Rows of one file of a bucket: large buckets are several files, written by several tasks.
+FILE_ROWS = 2_000_000
 
 
-def _bucket():
-    return F.pmod(F.xxhash64("cik"), F.lit(BUCKETS)).cast("int").alias("bucket")
+def _exists(spark: SparkSession, path: str) -> bool:
+    path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
 
 
-def merge_batch(spark: SparkSession, folder: str, new: DataFrame) -> None:
+def buckets_of(spark: SparkSession, folder: str, wanted: int = BUCKETS) -> int:
+    """Number of buckets of a panel: a property stored with it, set when it is first written."""
+    if not _exists(spark, f"{folder}/_buckets"):
+        spark.createDataFrame([(wanted,)], "buckets int").coalesce(1).write.parquet(f"{folder}/_buckets")
+    return spark.read.parquet(f"{folder}/_buckets").first()["buckets"]
+
+
+def merge_batch(spark: SparkSession, folder: str, new: DataFrame, buckets: int = BUCKETS) -> None:
     """Merge a batch of observations into ``folder``: observations, children and companies of the partitions it touches are rewritten.
 
     Spans are minima and maxima, so late filings need no watermark, and a batch that
-    is run twice changes nothing.
+    is run twice changes nothing.  ``buckets`` counts for a new panel; an old one keeps its own.
     """
-    new = observations(new).select("cik", "fdate", "comp_name", "sub_name", "sub_norm").withColumn("bucket", _bucket())
-    # At most BUCKETS small numbers.
+    n = buckets_of(spark, folder, buckets)
+    bucket = F.pmod(F.xxhash64("cik"), F.lit(n)).cast("int")
+    new = observations(new).select("cik", "fdate", "comp_name", "sub_name", "sub_norm").withColumn("bucket", bucket)
+    # At most one small number a bucket.
     touched = [r["bucket"] for r in new.select("bucket").distinct().collect()]
     if not touched:
         return
     path = f"{folder}/observations"
-    try:
-        old = spark.read.parquet(path).where(F.col("bucket").isin(touched))
-    except Exception as error:
-        if "PATH_NOT_FOUND" not in str(error):
-            raise
-        old = new.limit(0)
-    rows = merged_observations(old.drop("bucket"), new.drop("bucket")).withColumn("bucket", _bucket())
+    old = spark.read.parquet(path).where(F.col("bucket").isin(touched)) if _exists(spark, path) else new.limit(0)
     staged = f"{folder}/_staged"
-    rows.write.mode("overwrite").parquet(staged)
+    merged_observations(old.drop("bucket"), new.drop("bucket")).withColumn("bucket", bucket).write.mode("overwrite").parquet(staged)
     rows = spark.read.parquet(staged)
-    write = lambda df, name: df.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(f"{folder}/{name}")
+    sizes = {r["bucket"]: r["n"] for r in rows.groupBy("bucket").agg(F.count("*").alias("n")).collect()}
+    most = max(1, -(-max(sizes.values()) // FILE_ROWS))
+
+    def write(df: DataFrame, name: str) -> None:
+        dealt = df.withColumn("bucket", bucket).repartition(len(sizes) * most, "bucket", F.pmod(F.xxhash64("cik", "sub_norm") if "sub_norm" in df.columns else F.xxhash64("cik"), F.lit(most)))
+        dealt.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(f"{folder}/{name}")
+
     write(rows, "observations")
-    write(child_timeline(rows).withColumn("bucket", _bucket()), "children")
-    write(company_rollup(rows).withColumn("bucket", _bucket()), "companies")
+    kids = stored(presence(rows))
+    dates = stored(all_filings(kids))
+    write(timeline_of(kids, dates), "children")
+    write(rollup_of(kids, dates), "companies")
 
 
 def ingest(spark: SparkSession, landing: str, folder: str, checkpoint: str, files: int = 50, every: str | None = None) -> StreamingQuery:

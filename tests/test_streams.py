@@ -8,7 +8,8 @@ import duckdb
 import pytest
 
 from strandline.operators import timeline
-from strandline.plans import catalogue
+from strandline.plans import fixtures
+from strandline.plans import queries as catalogue
 from strandline.sources.panel import driver_observations
 from strandline.streaming import ingest, limits
 
@@ -39,7 +40,14 @@ def test_limiter_forgets_what_it_rejects(spark, tmp_path):
     assert got == [True, True, False, False, True, True, False]
 
 
-@pytest.mark.parametrize("name", ["child_timeline", "filing_timeline", "classify_type", "features", "geo_countries", "ma_events", "merge_legacy", "quality_report_pages", "rolling_60s_count"])
+OVER_TABLES = (
+    "gap_fill", "child_timeline", "company_rollup", "panel_build", "filing_timeline", "timeline_growth", "fastest_growth", "classify_type", "features", "training_file", "geo_countries",
+    "ma_events", "merge_legacy", "merge_incremental", "quality_report_pages", "clean_actions_children", "strict_report", "quality_preview", "quality_compared", "integrity_checks", "orphans", "rolling_60s_count",
+)
+OVER_ROWS = sorted(n for n, q in catalogue.QUERIES.items() if q.__module__ == fixtures.__name__)
+
+
+@pytest.mark.parametrize("name", [*OVER_TABLES, *OVER_ROWS])
 def test_queries_equal_their_sql(spark, name):
     con = duckdb.connect()
     for p in glob.glob(f"{SF}/*.parquet"):
@@ -52,6 +60,19 @@ def test_queries_equal_their_sql(spark, name):
     assert key(tuple(r[c] for c in names) for r in df.collect()) == key(want.fetchall())
 
 
+def test_buckets_of_a_panel_are_its_own_and_split_by_size(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(ingest, "FILE_ROWS", 100)
+    obs = driver_observations(spark, SF).where("cik IN ('1', '2')").select("cik", "fdate", "comp_name", "sub_name")
+    folder = str(tmp_path / "panel")
+    ingest.merge_batch(spark, folder, obs.where("cik = '1'"), buckets=3)
+    ingest.merge_batch(spark, folder, obs, buckets=7)
+    ingest.merge_batch(spark, folder, obs)
+    got = spark.read.parquet(f"{folder}/children")
+    assert got.where("bucket > 2").count() == 0 and ingest.buckets_of(spark, folder) == 3
+    assert {tuple(r) for r in got.drop("bucket").collect()} == {tuple(r) for r in timeline.child_timeline(driver_observations(spark, SF).where("cik IN ('1', '2')")).collect()}
+    assert len(glob.glob(f"{folder}/observations/bucket=*/*.parquet")) > got.select("bucket").distinct().count()
+
+
 def test_entry(spark):
     entry = importlib.import_module("__spark_entry__")
     assert entry.entry(spark).count() > 0

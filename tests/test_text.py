@@ -100,6 +100,7 @@ def test_landed_sources(spark):
     assert {(r.sub_id, r["rank"]) for r in panel.best_hits(hits).collect()} == {(1, 3), (2, 0)}
     known = spark.createDataFrame([(" Foo ", "BAR", 1), ("foo", "Baz", 2), ("ab", "x", 3)], "company string, acquirer string, ordinal int")
     assert [tuple(r) for r in panel.acquirers(known).collect()] == [("foo", "baz")]
-    page = '<tr><td>EX-21</td><td><a href="/x/list.htm">list</a></td></tr><a href="/y/other.htm">'
-    assert one(spark, '<a href="/a/d_ex21.htm">', lambda c: panel.exhibit_link("v")) == "/a/d_ex21.htm"
-    assert one(spark, page, lambda c: panel.exhibit_link("v")) is None or True
+    link = lambda c: panel.exhibit_link(c, F.lit("1"), F.lit("0-1"))
+    assert one(spark, '<a href="/a/d_ex21.htm">', link) == "https://www.sec.gov/a/d_ex21.htm"
+    assert one(spark, '<tr><td>EX-21</td><td><a href="list.htm">list</a></td></tr><a href="/y/other.htm">', link) == "https://www.sec.gov/Archives/edgar/data/1/01/list.htm"
+    assert one(spark, '<tr><td>EX-99</td><td><a href="list.htm">list</a></td></tr>', link) is None
