@@ -5,20 +5,20 @@ each task orders its suffixes by the difference-cover algorithm: sampled triples
 sorted and named, the names are sorted by recursion, the remaining suffixes are
 merged in, and the prefixes of neighbours are compared.
 
-Two lengths are compared in the same order: ``LENGTH`` bytes, anywhere else, decide
-what is removed; ``PASSAGE`` bytes, in another document, tell which documents share
-passages of over 50 words (51 of three letters and a blank are as many bytes), most of
-which are shorter than ``LENGTH``.
+The report does so for two lengths: ``LENGTH`` bytes that start anywhere else decide
+what is removed; ``PASSAGE`` bytes that another document holds tell which documents
+share passages of over 50 words (51 of three letters and a blank are as many bytes),
+most of which are shorter than ``LENGTH``.
 
-Dealing: of the blocks of half a passage inside a passage-long prefix, the one with
-the smallest hash (the last of equal ones) is its key.  Equal prefixes have the same
+Dealing: of the blocks of half the length inside a prefix, the one with the smallest hash (the last of equal ones) is its key.  Equal prefixes have the same
 key at the same offset.  A sampled position (the start of such a block) owns a run
 of neighbouring suffixes, and what can be settled for a whole run never reaches
 the sort:
 
 1. Per document: sampled positions, each with its block's hash and its run's name.
 2. Blocks that occur once hold no repeated prefix.  The rest is a small part.
-3. Runs with equal names are one class; a class of two or more is repeated whole.
+3. Runs with equal names are one class; a class of two or more is repeated whole
+   (for passages: a class that two documents hold).
 4. Blocks with several classes: one text of each class goes to the suffix sort.
    Blocks with many classes are dealt into tiles.
 5. The flagged suffixes go back to their documents, where the covered bytes are cut.
@@ -77,15 +77,15 @@ def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
 class Sampled:
     """The sampled positions of a piece of a text: pos, the first and last suffix each owns, key (of the block) and name (of the run).
 
-    ``data`` holds the piece's first ``limit`` suffixes and, after them, what belongs to their prefixes of ``long`` bytes.
+    ``data`` holds the piece's first ``limit`` suffixes and, after them, what belongs to their prefixes.
     """
 
-    def __init__(self, data: bytes, short: int, long: int, limit: int):
-        self.data, half = data, short // 2
+    def __init__(self, data: bytes, length: int, limit: int):
+        self.data, half = data, length // 2
         self.pos = self.lo = self.hi = self.end = np.zeros(0, dtype=np.int64)
         self.key = self.name = np.zeros(0, dtype=np.int64)
         n = len(data)
-        if n < short:
+        if n < length:
             return
         up, self.down = _power(n + 1)
         raw = _BYTES[np.frombuffer(data, dtype=np.uint8)] * up[:n]
@@ -93,7 +93,7 @@ class Sampled:
         blocks = self.hashes(np.arange(n - half + 1), half)
         where = np.arange(len(blocks), dtype=np.uint64)
         low = (blocks & ~_LOW) | (_LOW - (where & _LOW))  # smallest hash, then last position
-        span, width = 1, short - half + 1
+        span, width = 1, length - half + 1
         while span < width:  # minima over ``width`` blocks by doubling
             step = min(span, width - span)
             low = np.minimum(low[:-step], low[step:])
@@ -104,9 +104,9 @@ class Sampled:
         first = np.flatnonzero(np.append(True, np.diff(at) != 0))
         self.pos, self.lo = at[first], first
         self.hi = np.append(first[1:], len(at)) - 1
-        self.end = np.minimum(self.hi + long, n)
+        self.end = self.hi + length
         self.key = blocks[self.pos].view(np.int64)
-        name = self.spans(self.lo, self.end) ^ ((self.pos - self.lo).astype(np.uint64) * _MIX) ^ (self.hi - self.lo).astype(np.uint64)
+        name = self.spans(self.lo, self.end) ^ ((self.pos - self.lo).astype(np.uint64) * _MIX)
         self.name = ((name ^ (name >> np.uint64(29))) * _MIX).view(np.int64)
 
     def spans(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -119,10 +119,10 @@ class Sampled:
         return h ^ (h >> np.uint64(31))
 
 
-def pieces(data: bytes, short: int, long: int) -> Iterator[tuple[int, Sampled]]:
+def pieces(data: bytes, length: int) -> Iterator[tuple[int, Sampled]]:
     """Offset and sampled positions of the pieces of a text."""
-    for at in range(0, max(len(data) - short + 1, 1), PIECE):
-        yield at, Sampled(data[at : at + PIECE - 1 + long] if at or len(data) > PIECE else data, short, long, PIECE)
+    for at in range(0, max(len(data) - length + 1, 1), PIECE):
+        yield at, Sampled(data[at : at + PIECE - 1 + length] if len(data) > PIECE else data, length, PIECE)
 
 
 def covered(flagged: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -144,7 +144,7 @@ def _joined(docs: DataFrame, lists: DataFrame) -> DataFrame:
     return maybe_in(docs, lists, "doc").join(lists, "doc")
 
 
-def _sample(source: DataFrame, short: int, long: int) -> DataFrame:
+def _sample(source: DataFrame, length: int) -> DataFrame:
     """doc, doc_id, n_bytes, sha256 of the whole text, keys and names: a row a document, written."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -153,7 +153,7 @@ def _sample(source: DataFrame, short: int, long: int) -> DataFrame:
                 part = batch.slice(lo, 256)
                 size, sha, keys, names = [], [], [], []
                 for data in part.column(2).to_pylist():
-                    got = [(p.key, p.name) for _, p in pieces(data, short, long)]
+                    got = [(p.key, p.name) for _, p in pieces(data, length)]
                     size.append(len(data))
                     sha.append(hashlib.sha256(data).hexdigest())
                     keys.append(np.concatenate([k for k, _ in got]))
@@ -225,10 +225,10 @@ def equal_prefixes(words: np.ndarray, at: np.ndarray, length: int) -> np.ndarray
     return flags
 
 
-def repeated_starts(data: bytes, starts: np.ndarray, whole: np.ndarray, first: np.ndarray, last: np.ndarray, short: int, long: int) -> tuple[np.ndarray, np.ndarray]:
-    """Flags of the ``starts`` that have a prefix of ``long`` bytes (``whole``) in common with another, and of those that share one of ``short`` bytes across documents.
+def repeated_starts(data: bytes, starts: np.ndarray, length: int, first: np.ndarray | None = None, last: np.ndarray | None = None) -> np.ndarray:
+    """Flags of the ``starts`` that have a prefix of ``length`` bytes in common with another, or with another document.
 
-    ``first`` and ``last`` are the smallest and largest document in which a start's run occurs.
+    ``first`` and ``last``, where documents count, are the smallest and largest in which a start's run occurs.
     """
     raw = np.frombuffer(data, dtype=np.uint8)
     index = np.full(len(raw), -1, dtype=np.int64)
@@ -239,23 +239,19 @@ def repeated_starts(data: bytes, starts: np.ndarray, whole: np.ndarray, first: n
     words = np.zeros(len(raw) + 1, dtype=np.uint64)
     for k in range(8):
         words |= padded[k : k + len(words)].astype(np.uint64) << np.uint64(8 * k)
-    repeated, shared = np.zeros(len(starts), dtype=bool), np.zeros(len(starts), dtype=bool)
-    at = order[whole[index[order]]]
-    after = equal_prefixes(words, at, long)
-    repeated[index[at[after]]] = True
-    repeated[index[at[np.flatnonzero(after) - 1]]] = True
-    new = np.flatnonzero(~equal_prefixes(words, order, short))
-    who = index[order]
-    across = np.minimum.reduceat(first[who], new) != np.maximum.reduceat(last[who], new)
-    shared[who] = np.repeat(across, np.diff(np.append(new, len(order))))
-    return repeated, shared
+    new = np.flatnonzero(~equal_prefixes(words, order, length))
+    who, sizes = index[order], np.diff(np.append(new, len(order)))
+    found = sizes > 1 if first is None else np.minimum.reduceat(first[who], new) != np.maximum.reduceat(last[who], new)
+    flags = np.zeros(len(starts), dtype=bool)
+    flags[who] = np.repeat(found, sizes)
+    return flags
 
 
-_TEXTS = pa.schema([("key", pa.int64()), ("id", pa.int64()), ("text", pa.binary()), ("starts", pa.int64()), ("first", pa.int64()), ("last", pa.int64())])
+_TEXTS = pa.schema([("key", pa.int64()), ("id", pa.int64()), ("text", pa.binary()), ("first", pa.int64()), ("last", pa.int64())])
 
 
-def _texts_of(source: DataFrame, need: DataFrame, short: int, long: int) -> DataFrame:
-    """key, id (name), text, starts, first, last: the bytes of one run of each class of ``need`` (doc, key, name, first, last)."""
+def _texts_of(source: DataFrame, need: DataFrame, length: int) -> DataFrame:
+    """key, id (name), text, first, last: the bytes of one run of each class of ``need`` (doc, key, name, first, last)."""
     lists = written(need.groupBy("doc").agg(F.collect_list(F.struct("key", "name", "first", "last")).alias("want")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -265,36 +261,36 @@ def _texts_of(source: DataFrame, need: DataFrame, short: int, long: int) -> Data
                 rows: list[tuple] = []
                 for data, want in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
                     open_ = {(w["key"], w["name"]): w for w in want}
-                    for _, got in pieces(data, short, long):
+                    for _, got in pieces(data, length):
                         for k, kn in enumerate(zip(got.key.tolist(), got.name.tolist(), strict=True)):
                             w = open_.pop(kn, None)
                             if w is not None:
-                                rows.append((*kn, got.data[got.lo[k] : got.end[k]], int(got.hi[k] - got.lo[k] + 1), w["first"], w["last"]))
+                                rows.append((*kn, got.data[got.lo[k] : got.end[k]], w["first"], w["last"]))
                 cols = list(zip(*rows, strict=True)) if rows else [()] * len(_TEXTS)
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, _TEXTS, strict=True)], schema=_TEXTS)
 
-    return _joined(source, lists).select("data", "want").mapInArrow(run, "key long, id long, text binary, starts long, first long, last long")
+    return _joined(source, lists).select("data", "want").mapInArrow(run, "key long, id long, text binary, first long, last long")
 
 
-_MASKS = pa.schema([("key", pa.int64()), ("name", pa.int64()), ("repeated", pa.binary()), ("shared", pa.binary())])
+_MASKS = pa.schema([("key", pa.int64()), ("name", pa.int64()), ("mask", pa.binary())])
 
 
-def _compared(texts: DataFrame, counts: DataFrame, short: int, long: int) -> DataFrame:
-    """key, name, repeated, shared (a bit for each suffix of the run): classes that have something in common with others of the block."""
-    dealt = tiled(texts, TILE, counts).select("key", "t", "u", "id", "text", "starts", "first", "last")
+def _compared(texts: DataFrame, counts: DataFrame, length: int, across: bool) -> DataFrame:
+    """key, name, mask (a bit for each suffix of the run): classes that have something in common with others of the block."""
+    dealt = tiled(texts, TILE, counts).select("key", "t", "u", "id", "text", "first", "last")
 
     def sort(rows: dict[tuple[int, int], tuple]) -> pa.RecordBatch:
         made: list[tuple] = []
         if len(rows) > 1:
-            sizes, counts = (np.array([f(r) for r in rows.values()]) for f in (lambda r: len(r[0]), lambda r: r[1]))
-            ends, own = np.cumsum(sizes), np.repeat(np.arange(len(rows)), counts)
+            sizes = np.array([len(r[0]) for r in rows.values()])
+            counts, ends = sizes - length + 1, np.cumsum(sizes)
+            own = np.repeat(np.arange(len(rows)), counts)
             starts = (ends - sizes)[own] + np.arange(len(own)) - (np.cumsum(counts) - counts)[own]
-            first, last = (np.array([r[k] for r in rows.values()], dtype=np.int64)[own] for k in (2, 3))
-            flags = repeated_starts(b"".join(r[0] for r in rows.values()), starts, starts + long <= ends[own], first, last, short, long)
-            cuts = np.cumsum(counts)[:-1]
-            for (key, name), a, b in zip(rows, *(np.split(f, cuts) for f in flags), strict=True):
-                if a.any() or b.any():
-                    made.append((key, name, np.packbits(a).tobytes(), np.packbits(b).tobytes()))
+            docs = [np.array([r[k] for r in rows.values()], dtype=np.int64)[own] for k in (1, 2)] if across else []
+            flags = repeated_starts(b"".join(r[0] for r in rows.values()), starts, length, *docs)
+            for (key, name), mask in zip(rows, np.split(flags, np.cumsum(counts)[:-1]), strict=True):
+                if mask.any():
+                    made.append((key, name, np.packbits(mask).tobytes()))
         cols = list(zip(*made, strict=True)) if made else [()] * len(_MASKS)
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, _MASKS, strict=True)], schema=_MASKS)
 
@@ -311,44 +307,44 @@ def _compared(texts: DataFrame, counts: DataFrame, short: int, long: int) -> Dat
                     held += len(rest[0])
         yield sort(rows)
 
-    return dealt.mapInArrow(run, "key long, name long, repeated binary, shared binary")
+    return dealt.mapInArrow(run, "key long, name long, mask binary")
+
 
+def _decisions(docs: DataFrame, length: int, across: bool = False) -> tuple[DataFrame, DataFrame]:
+    """The sample, and doc, marks (key, name, mask; a null mask flags the whole run) of documents that have some.
 
-def _decisions(docs: DataFrame, short: int, long: int) -> tuple[DataFrame, DataFrame]:
-    """The sample, and doc, marks (key, name, whole, across, repeated, shared) of documents that have some."""
-    if not 1 < short <= long:
-        raise ValueError("a passage has at least two bytes and at most the length that is removed")
+    With ``across`` what counts is that another document holds a prefix too, else that it starts anywhere else.
+    """
     source = _source(docs)
-    sample = _sample(source, short, long)
+    sample = _sample(source, length)
     each = sample.select("doc", F.explode(F.arrays_zip("keys", "names")).alias("s")).select("doc", F.col("s.keys").alias("key"), F.col("s.names").alias("name"))
     again = written(each.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"))
     runs = written(maybe_in(each, again, "key").join(again, "key", "left_semi"))
-    classes = written(runs.groupBy("key", "name").agg(F.count("*").alias("n"), F.min("doc").alias("first"), F.max("doc").alias("last")))
-    several = written(classes.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
+    classes = runs.groupBy("key", "name").agg(F.count("*").alias("n"), F.min("doc").alias("first"), F.max("doc").alias("last"))
+    classes = written(classes.withColumn("whole", F.col("first") != F.col("last") if across else F.col("n") > 1).drop("n"))
+    # A block whose classes are all repeated whole needs no sort.
+    several = classes.groupBy("key").agg(F.count("*").alias("n"), F.min("whole").alias("all")).where("n > 1 AND NOT all")
+    several = written(several.select("key", "n"))
     need = classes.join(several.select("key"), "key").select(F.col("first").alias("doc"), "key", "name", "first", "last")
-    masks = _compared(_texts_of(source, need, short, long), several, short, long)
-    found = classes.join(masks, ["key", "name"], "left").where("n > 1 OR repeated IS NOT NULL")
-    found = written(found.select("key", "name", (F.col("n") > 1).alias("whole"), (F.col("first") != F.col("last")).alias("across"), "repeated", "shared"))
-    marks = runs.join(found, ["key", "name"]).groupBy("doc").agg(F.collect_set(F.struct("key", "name", "whole", "across", "repeated", "shared")).alias("marks"))
+    masks = _compared(_texts_of(source, need, length), several, length, across)
+    whole = classes.where("whole").select("key", "name", F.lit(None).cast("binary").alias("mask"))
+    found = written(whole.unionByName(masks.join(whole.select("key", "name"), ["key", "name"], "left_anti")))
+    marks = runs.join(found, ["key", "name"]).groupBy("doc").agg(F.collect_set(F.struct("key", "name", "mask")).alias("marks"))
     return sample, written(marks)
 
 
-def _spans(data: bytes, marks: list[dict], short: int, long: int) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
-    """Starts and ends of the bytes of a text that go, and of those in shared passages."""
-    by: dict[tuple[int, int], list[dict]] = {}
-    for m in marks:
-        by.setdefault((m["key"], m["name"]), []).append(m)
-    repeated, shared = np.zeros(max(len(data) - short + 1, 0), dtype=bool), np.zeros(max(len(data) - short + 1, 0), dtype=bool)
-    for at, got in pieces(data, short, long):
+def _spans(data: bytes, marks: list[dict] | None, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the bytes of a text under flagged suffixes."""
+    by: dict[tuple[int, int], list[bytes | None]] = {}
+    for m in marks or ():
+        by.setdefault((m["key"], m["name"]), []).append(m["mask"])
+    flags = np.zeros(max(len(data) - length + 1, 0), dtype=bool)
+    for at, got in pieces(data, length) if by else ():
         for k, kn in enumerate(zip(got.key.tolist(), got.name.tolist(), strict=True)):
-            for m in by.get(kn, ()):
+            for mask in by.get(kn, ()):
                 lo, hi = at + got.lo[k], at + got.hi[k] + 1
-                for flags, whole, mask in ((repeated, m["whole"], m["repeated"]), (shared, m["across"], m["shared"])):
-                    if whole:
-                        flags[lo:hi] = True
-                    elif mask is not None:
-                        flags[lo:hi] |= np.unpackbits(np.frombuffer(mask, dtype=np.uint8))[: hi - lo].view(bool)
-    return covered(repeated[: max(len(data) - long + 1, 0)], long), covered(shared, short)
+                flags[lo:hi] |= True if mask is None else np.unpackbits(np.frombuffer(mask, dtype=np.uint8))[: hi - lo].view(bool)
+    return covered(flags, length)
 
 
 def _kept(data: bytes, spans: tuple[np.ndarray, np.ndarray]) -> Iterator[memoryview]:
@@ -360,14 +356,14 @@ def _kept(data: bytes, spans: tuple[np.ndarray, np.ndarray]) -> Iterator[memoryv
     yield view[end:]
 
 
-def _each(rows: DataFrame, ddl: str, at: tuple[int, int], make: Callable[[bytes, list[dict]], tuple], keep: int, types: list[pa.DataType], names: list[str]) -> DataFrame:
+def _each(rows: DataFrame, ddl: str, at: list[int], make: Callable[..., tuple], keep: int, types: list[pa.DataType], names: list[str]) -> DataFrame:
     """The first ``keep`` columns of ``rows`` and what ``make`` gives for the columns ``at``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, 64):
                 part = batch.slice(lo, 64)
-                got = [make(a, b) for a, b in zip(part.column(at[0]).to_pylist(), part.column(at[1]).to_pylist(), strict=True)]
+                got = [make(*values) for values in zip(*(part.column(k).to_pylist() for k in at), strict=True)]
                 cols = [pa.array(c, t) for c, t in zip(zip(*got, strict=True), types, strict=True)]
                 yield pa.RecordBatch.from_arrays([*part.columns[:keep], *cols], names=names)
 
@@ -375,31 +371,30 @@ def _each(rows: DataFrame, ddl: str, at: tuple[int, int], make: Callable[[bytes,
 
 
 def report(docs: DataFrame, length: int = LENGTH, passage: int = PASSAGE) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_shared (bytes in passages that other documents hold too): a row a document.
-
-    A passage is at most as long as what is removed.
-    """
-    passage = min(passage, length)
-    sample, marks = _decisions(docs, passage, length)
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_shared (bytes in passages that other documents hold too): a row a document."""
+    sample, marks = _decisions(docs, length)
+    _, shared = _decisions(docs, passage, across=True)
+    both = written(marks.join(shared.withColumnRenamed("marks", "shared"), "doc", "full_outer"))
 
-    def make(data: bytes, found: list[dict]) -> tuple[int, int, int, str, int]:
-        gone, shared = _spans(data, found, passage, length)
+    def make(data: bytes, found: list[dict] | None, passages: list[dict] | None) -> tuple[int, int, int, str, int]:
+        gone, held = _spans(data, found, length), _spans(data, passages, passage)
         sha = hashlib.sha256()
         for part in _kept(data, gone):
             sha.update(part)
-        return len(data), int((gone[1] - gone[0]).sum()), len(gone[0]), sha.hexdigest(), int((shared[1] - shared[0]).sum())
+        return len(data), int((gone[1] - gone[0]).sum()), len(gone[0]), sha.hexdigest(), int((held[1] - held[0]).sum())
 
     types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64()]
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_shared"]
-    cut = _each(_joined(_source(docs), marks).select("doc_id", "data", "marks"), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_shared long", (1, 2), make, 1, types, names)
+    rows = _joined(_source(docs), both).select("doc_id", "data", "marks", "shared")
+    cut = _each(rows, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_shared long", [1, 2, 3], make, 1, types, names)
     zero = F.lit(0).cast("long")
-    rest = sample.join(marks.select("doc"), "doc", "left_anti")
+    rest = sample.join(both.select("doc"), "doc", "left_anti")
     return cut.unionByName(rest.select("doc_id", "n_bytes", zero.alias("n_removed"), zero.alias("n_spans"), F.col("sha").alias("kept_sha256"), zero.alias("n_shared")))
 
 
 def remove(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """The rows of ``docs`` with the covered bytes cut from their texts (halves of characters replaced), all columns kept."""
-    _, marks = _decisions(docs, length, length)
+    _, marks = _decisions(docs, length)
     row = F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != "text")).alias("row")
     data = F.col("text").cast("string").cast("binary")
     rows = docs.select(F.xxhash64(F.col("doc_id").cast("long"), F.coalesce(data, F.lit("").cast("binary"))).alias("doc"), row, data.alias("data"))
@@ -409,7 +404,7 @@ def remove(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     def make(data: bytes | None, found: list[dict] | None) -> tuple[str | None]:
         if data is None or not found:
             return (None if data is None else data.decode("utf-8", "replace"),)
-        return (b"".join(_kept(data, _spans(data, found, length, length)[0])).decode("utf-8", "replace"),)
+        return (b"".join(_kept(data, _spans(data, found, length))).decode("utf-8", "replace"),)
 
-    cut = _each(rows, ddl, (1, 2), make, 1, [pa.string()], ["row", "text"])
+    cut = _each(rows, ddl, [1, 2], make, 1, [pa.string()], ["row", "text"])
     return cut.select("row.*", "text").select(*(F.col(f"`{c}`") for c in docs.columns))
