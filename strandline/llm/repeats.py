@@ -10,7 +10,7 @@ what is removed; ``PASSAGE`` bytes that another document holds tell which docume
 share passages of over 50 words (51 of three letters and a blank are as many bytes),
 most of which are shorter than ``LENGTH``.
 
-Dealing: of the blocks of half the length inside a prefix, the one with the smallest hash (the last of equal ones) is its key.  Equal prefixes have the same
+Dealing: of the blocks of three eighths of the length inside a prefix, the one with the smallest hash (the last of equal ones) is its key.  Equal prefixes have the same
 key at the same offset.  A sampled position (the start of such a block) owns a run
 of neighbouring suffixes, and what can be settled for a whole run never reaches
 the sort:
@@ -74,22 +74,28 @@ def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0], _powers[1]
 
 
+def prefix_sums(data: bytes) -> np.ndarray:
+    """Hashes of the prefixes of a text, from which those of all its strings follow."""
+    up = _power(len(data) + 1)[0]
+    raw = _BYTES[np.frombuffer(data, dtype=np.uint8)] * up[: len(data)]
+    return np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(raw, dtype=np.uint64)])
+
+
 class Sampled:
     """The sampled positions of a piece of a text: pos, the first and last suffix each owns, key (of the block) and name (of the run).
 
     ``data`` holds the piece's first ``limit`` suffixes and, after them, what belongs to their prefixes.
     """
 
-    def __init__(self, data: bytes, length: int, limit: int):
-        self.data, half = data, length // 2
+    def __init__(self, data: bytes, length: int, limit: int, sums: np.ndarray | None = None):
+        self.data, half = data, max(3 * length // 8, 1)
         self.pos = self.lo = self.hi = self.end = np.zeros(0, dtype=np.int64)
         self.key = self.name = np.zeros(0, dtype=np.int64)
         n = len(data)
         if n < length:
             return
-        up, self.down = _power(n + 1)
-        raw = _BYTES[np.frombuffer(data, dtype=np.uint8)] * up[:n]
-        self.sums = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(raw, dtype=np.uint64)])
+        self.down = _power(n + 1)[1]
+        self.sums = prefix_sums(data) if sums is None else sums
         blocks = self.hashes(np.arange(n - half + 1), half)
         where = np.arange(len(blocks), dtype=np.uint64)
         low = (blocks & ~_LOW) | (_LOW - (where & _LOW))  # smallest hash, then last position
@@ -119,10 +125,10 @@ class Sampled:
         return h ^ (h >> np.uint64(31))
 
 
-def pieces(data: bytes, length: int) -> Iterator[tuple[int, Sampled]]:
-    """Offset and sampled positions of the pieces of a text."""
+def pieces(data: bytes, length: int, sums: np.ndarray | None = None) -> Iterator[tuple[int, Sampled]]:
+    """Offset and sampled positions of the pieces of a text; ``sums`` are its prefix sums if it is one piece and they are known."""
     for at in range(0, max(len(data) - length + 1, 1), PIECE):
-        yield at, Sampled(data[at : at + PIECE - 1 + length] if len(data) > PIECE else data, length, PIECE)
+        yield at, Sampled(data[at : at + PIECE - 1 + length], length, PIECE) if len(data) > PIECE else Sampled(data, length, PIECE, sums)
 
 
 def covered(flagged: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -144,24 +150,27 @@ def _joined(docs: DataFrame, lists: DataFrame) -> DataFrame:
     return maybe_in(docs, lists, "doc").join(lists, "doc")
 
 
-def _sample(source: DataFrame, length: int) -> DataFrame:
-    """doc, doc_id, n_bytes, sha256 of the whole text, keys and names: a row a document, written."""
+def _sample(source: DataFrame, lengths: list[int]) -> DataFrame:
+    """doc, doc_id, n_bytes, sha256 of the whole text, and for each length keysN and namesN: a row a document, written."""
+    longs = pa.list_(pa.int64())
+    names = [f"{c}{k}" for k in range(len(lengths)) for c in ("keys", "names")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
-                size, sha, keys, names = [], [], [], []
+                size, sha, lists = [], [], [[] for _ in names]
                 for data in part.column(2).to_pylist():
-                    got = [(p.key, p.name) for _, p in pieces(data, length)]
                     size.append(len(data))
                     sha.append(hashlib.sha256(data).hexdigest())
-                    keys.append(np.concatenate([k for k, _ in got]))
-                    names.append(np.concatenate([n for _, n in got]))
-                longs = pa.list_(pa.int64())
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(size, pa.int64()), pa.array(sha), pa.array(keys, longs), pa.array(names, longs)], names=["doc", "doc_id", "n_bytes", "sha", "keys", "names"])
+                    sums = prefix_sums(data) if min(lengths) <= len(data) <= PIECE else None
+                    for k, length in enumerate(lengths):
+                        got = [p for _, p in pieces(data, length, sums)]
+                        lists[2 * k].append(np.concatenate([p.key for p in got]))
+                        lists[2 * k + 1].append(np.concatenate([p.name for p in got]))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(size, pa.int64()), pa.array(sha), *(pa.array(x, longs) for x in lists)], names=["doc", "doc_id", "n_bytes", "sha", *names])
 
-    return written(source.mapInArrow(run, "doc long, doc_id long, n_bytes long, sha string, keys array<long>, names array<long>"))
+    return written(source.mapInArrow(run, "doc long, doc_id long, n_bytes long, sha string, " + ", ".join(f"{n} array<long>" for n in names)))
 
 
 def suffix_order(values: np.ndarray) -> np.ndarray:
@@ -310,14 +319,12 @@ def _compared(texts: DataFrame, counts: DataFrame, length: int, across: bool) ->
     return dealt.mapInArrow(run, "key long, name long, mask binary")
 
 
-def _decisions(docs: DataFrame, length: int, across: bool = False) -> tuple[DataFrame, DataFrame]:
-    """The sample, and doc, marks (key, name, mask; a null mask flags the whole run) of documents that have some.
+def _decisions(source: DataFrame, sample: DataFrame, k: int, length: int, across: bool = False) -> DataFrame:
+    """doc, marks (key, name, mask; a null mask flags the whole run) of documents that have some, by the k-th length of the sample.
 
     With ``across`` what counts is that another document holds a prefix too, else that it starts anywhere else.
     """
-    source = _source(docs)
-    sample = _sample(source, length)
-    each = sample.select("doc", F.explode(F.arrays_zip("keys", "names")).alias("s")).select("doc", F.col("s.keys").alias("key"), F.col("s.names").alias("name"))
+    each = sample.select("doc", F.explode(F.arrays_zip(f"keys{k}", f"names{k}")).alias("s")).select("doc", F.col(f"s.keys{k}").alias("key"), F.col(f"s.names{k}").alias("name"))
     again = written(each.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"))
     runs = written(maybe_in(each, again, "key").join(again, "key", "left_semi"))
     classes = runs.groupBy("key", "name").agg(F.count("*").alias("n"), F.min("doc").alias("first"), F.max("doc").alias("last"))
@@ -330,16 +337,16 @@ def _decisions(docs: DataFrame, length: int, across: bool = False) -> tuple[Data
     whole = classes.where("whole").select("key", "name", F.lit(None).cast("binary").alias("mask"))
     found = written(whole.unionByName(masks.join(whole.select("key", "name"), ["key", "name"], "left_anti")))
     marks = runs.join(found, ["key", "name"]).groupBy("doc").agg(F.collect_set(F.struct("key", "name", "mask")).alias("marks"))
-    return sample, written(marks)
+    return written(marks)
 
 
-def _spans(data: bytes, marks: list[dict] | None, length: int) -> tuple[np.ndarray, np.ndarray]:
+def _spans(data: bytes, marks: list[dict] | None, length: int, sums: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of the bytes of a text under flagged suffixes."""
     by: dict[tuple[int, int], list[bytes | None]] = {}
     for m in marks or ():
         by.setdefault((m["key"], m["name"]), []).append(m["mask"])
     flags = np.zeros(max(len(data) - length + 1, 0), dtype=bool)
-    for at, got in pieces(data, length) if by else ():
+    for at, got in pieces(data, length, sums) if by else ():
         for k, kn in enumerate(zip(got.key.tolist(), got.name.tolist(), strict=True)):
             for mask in by.get(kn, ()):
                 lo, hi = at + got.lo[k], at + got.hi[k] + 1
@@ -372,12 +379,15 @@ def _each(rows: DataFrame, ddl: str, at: list[int], make: Callable[..., tuple],
 
 def report(docs: DataFrame, length: int = LENGTH, passage: int = PASSAGE) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_shared (bytes in passages that other documents hold too): a row a document."""
-    sample, marks = _decisions(docs, length)
-    _, shared = _decisions(docs, passage, across=True)
+    source = _source(docs)
+    sample = _sample(source, [length, passage])
+    marks = _decisions(source, sample, 0, length)
+    shared = _decisions(source, sample, 1, passage, across=True)
     both = written(marks.join(shared.withColumnRenamed("marks", "shared"), "doc", "full_outer"))
 
     def make(data: bytes, found: list[dict] | None, passages: list[dict] | None) -> tuple[int, int, int, str, int]:
-        gone, held = _spans(data, found, length), _spans(data, passages, passage)
+        sums = prefix_sums(data) if len(data) <= PIECE else None
+        gone, held = _spans(data, found, length, sums), _spans(data, passages, passage, sums)
         sha = hashlib.sha256()
         for part in _kept(data, gone):
             sha.update(part)
@@ -385,7 +395,7 @@ def report(docs: DataFrame, length: int = LENGTH, passage: int = PASSAGE) -> Dat
 
     types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64()]
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_shared"]
-    rows = _joined(_source(docs), both).select("doc_id", "data", "marks", "shared")
+    rows = _joined(source, both).select("doc_id", "data", "marks", "shared")
     cut = _each(rows, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_shared long", [1, 2, 3], make, 1, types, names)
     zero = F.lit(0).cast("long")
     rest = sample.join(both.select("doc"), "doc", "left_anti")
@@ -394,7 +404,8 @@ def report(docs: DataFrame, length: int = LENGTH, passage: int = PASSAGE) -> Dat
 
 def remove(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """The rows of ``docs`` with the covered bytes cut from their texts (halves of characters replaced), all columns kept."""
-    _, marks = _decisions(docs, length)
+    source = _source(docs)
+    marks = _decisions(source, _sample(source, [length]), 0, length)
     row = F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != "text")).alias("row")
     data = F.col("text").cast("string").cast("binary")
     rows = docs.select(F.xxhash64(F.col("doc_id").cast("long"), F.coalesce(data, F.lit("").cast("binary"))).alias("doc"), row, data.alias("data"))
