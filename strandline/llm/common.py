@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -94,6 +96,12 @@ def components(edges: DataFrame) -> DataFrame:
     )
 
 
+def values(column: pa.Array, size: int = 256) -> Iterator:
+    """The column's values as Python objects, a slice of rows at a time, so that a batch isn't held twice."""
+    for at in range(0, len(column), size):
+        yield from column.slice(at, size).to_pylist()
+
+
 def lower_ascii(col: Column) -> Column:
     """Lower-case A to Z only."""
     return F.translate(col, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

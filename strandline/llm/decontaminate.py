@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.common import forget, written
+from strandline.llm.common import forget, values, written
 
 WINDOW = 10
 #: Words of the items in one broadcast automaton (a few hundred bytes each).
@@ -228,7 +228,7 @@ def _pass(docs: DataFrame, automaton, merge: bool) -> DataFrame:
         for batch in batches:
             n_words, runs, items = [], [], []
             old = [batch.column(len(kept) + k).to_pylist() for k in range(1, 3)] if merge else None
-            for k, text in enumerate(batch.column(at).to_pylist()):
+            for k, text in enumerate(values(batch.column(at))):
                 n, flags, found = machine.scan(text)
                 names = {machine.names[x] for x in found}
                 if old:

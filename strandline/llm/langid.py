@@ -14,14 +14,14 @@ labelled text all are ``und``; repeated rows count each; further columns are ign
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.common import written
+from strandline.llm.common import values, written
 
 BITS = 15
 SIZES = (1, 2, 3)
@@ -71,7 +71,7 @@ def counted(rows: DataFrame, bits: int = BITS, sizes: tuple[int, ...] = SIZES) -
             return pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), pa.array(at, pa.int64()), pa.array(n, pa.int64()), pa.array(c, pa.list_(pa.int64()))], names=["lang", "at", "texts", "counts"])
 
         for batch in batches:
-            for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for text, lang in zip(values(batch.column(0)), values(batch.column(1)), strict=True):
                 if has_letters(text):
                     if lang not in sums and len(sums) == MAX_LANGUAGES:
                         yield flush()
@@ -115,13 +115,13 @@ def models(counts: DataFrame, bits: int = BITS, most: int = MAX_LANGUAGES) -> It
         after = names[-1]
 
 
-def scores_of(texts: list[str | None], matrix: np.ndarray, bits: int = BITS, sizes: tuple[int, ...] = SIZES) -> np.ndarray:
-    """Log scores, texts x languages; NaN where a text is null or has no letters.
+def scores_of(texts: Iterable[str | None], n: int, matrix: np.ndarray, bits: int = BITS, sizes: tuple[int, ...] = SIZES) -> np.ndarray:
+    """Log scores of ``n`` texts, texts x languages; NaN where a text is null or has no letters.
 
     The batch is one sparse matrix of counts, kept as runs of (bucket, count) text by
     text, times the dense one: rows of the matrix are gathered in blocks and added up by text.
     """
-    out = np.full((len(texts), matrix.shape[1]), np.nan)
+    out = np.full((n, matrix.shape[1]), np.nan)
     held: list[tuple[int, np.ndarray, np.ndarray]] = []
     size = 0
 
@@ -156,7 +156,7 @@ def _scored(rows: DataFrame, model: tuple[list[str], np.ndarray], bits: int, siz
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, matrix = shared.value
         for batch in batches:
-            logs = scores_of(batch.column(at).to_pylist(), matrix, bits, sizes)
+            logs = scores_of(values(batch.column(at)), batch.num_rows, matrix, bits, sizes)
             some = ~np.isnan(logs[:, 0])
             best = np.where(some, np.nan_to_num(logs).argmax(axis=1), 0)
             top = logs[np.arange(len(logs)), best]

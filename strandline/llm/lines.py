@@ -134,10 +134,24 @@ def verified(rows: DataFrame, pairs: DataFrame, similarity: float = SIMILARITY)
     tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     other = texts.select(F.col("id").alias("b"), F.col("line").alias("lb")).repartition(tasks, "b").hint("merge")
     both = pairs.join(texts.select(F.col("id").alias("a"), F.col("line").alias("la")), "a").join(other, "b")
-    both = both.select("a", "b", F.array_distinct(shingles(F.col("la"))).alias("sa"), F.array_distinct(shingles(F.col("lb"))).alias("sb"))
-    small, large = F.least(F.size("sa"), F.size("sb")), F.greatest(F.size("sa"), F.size("sb"))
-    common = F.size(F.array_intersect("sa", "sb"))
-    return both.where((small >= similarity * large) & (common >= similarity * (small + large - common))).select("a", "b")
+    return both.where(_similar(F.col("la"), F.col("lb"), similarity)).select("a", "b")
+
+
+def _similar(la: Column, lb: Column, similarity: float) -> Column:
+    """Whether two lines have the similarity.
+
+    The sets are fields of a struct that a lambda reads, so each is made once; a filter
+    over plain columns would repeat their making at every use.
+    """
+    hashes = lambda line: F.array_distinct(F.transform(shingles(line), lambda s: F.xxhash64(s)))
+    share = round(similarity * 1000)  # whole numbers, so that the bound itself counts
+
+    def test(pair: Column) -> Column:
+        n, m = F.size(pair["a"]).cast("long"), F.size(pair["b"]).cast("long")
+        common = F.size(F.array_intersect(pair["a"], pair["b"]))
+        return (F.least(n, m) * 1000 >= share * F.greatest(n, m)) & (common * (1000 + share) >= share * (n + m))
+
+    return F.get(F.transform(F.array(F.struct(hashes(la).alias("a"), hashes(lb).alias("b"))), test), F.lit(0))
 
 
 def _kept(docs: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:

@@ -28,7 +28,7 @@ from strandline.llm.common import written
 END_ID = 1
 WINDOW = 2048
 #: Entries of the word cache of one Python worker (about 150 bytes each); it is emptied when full.
-CACHE_ENTRIES = 1_500_000
+CACHE_ENTRIES = 600_000
 
 # Characters for which the vocabulary's normaliser and pre-tokeniser act on each
 # blank-separated word alone: printable ASCII and composed Latin and Cyrillic letters.

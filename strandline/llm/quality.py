@@ -42,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandline.llm.common import written
+from strandline.llm.common import values, written
 
 BITS = 16
 MAX_TARGET = 20_000
@@ -93,7 +93,7 @@ def models(docs: DataFrame, labels: DataFrame, bits: int = BITS, most: int = MAX
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros((2, _ROWS, size), dtype=np.int64)
         for batch in batches:
-            for text, target in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for text, target in zip(values(batch.column(0)), values(batch.column(1)), strict=True):
                 got = buckets(text, bits)
                 for k in range(_ROWS):
                     n = np.bincount(got[k], minlength=size) if got.shape[1] * 8 > size else None
@@ -139,7 +139,7 @@ def scored(docs: DataFrame, ratios: np.ndarray, bits: int = BITS) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = [weights_of(buckets(t, bits), shared.value) for t in batch.column(at).to_pylist()]
+            got = [weights_of(buckets(t, bits), shared.value) for t in values(batch.column(at))]
             cols = [pa.array([g[k] for g in got], pa.float64()) for k in (0, 1)]
             rest = [c for k, c in enumerate(batch.columns) if k != at]
             yield pa.RecordBatch.from_arrays([*rest, *cols], names=[*(f.name for f in kept), "log_weight", "worst_stretch"])

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.common import components, tiled, written
+from strandline.llm.common import components, tiled, values, written
 
 SHINGLE = 3
 SEED = 42
@@ -70,7 +70,7 @@ def _fingerprinted(rows: DataFrame, name: str, shingle: int = SHINGLE) -> DataFr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = np.array([fingerprint(t, shingle) for t in batch.column(at).to_pylist()], dtype=np.uint64).view(np.int64)
+            got = np.array([fingerprint(t, shingle) for t in values(batch.column(at))], dtype=np.uint64).view(np.int64)
             cols = [c for k, c in enumerate(batch.columns) if k != at]
             yield pa.RecordBatch.from_arrays([*cols, pa.array(got)], names=[*(f.name for f in kept), name])
 
