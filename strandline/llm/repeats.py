@@ -15,7 +15,7 @@ key at the same offset.  A sampled position (the start of such a block) owns a r
 of neighbouring suffixes, and what can be settled for a whole run never reaches
 the sort:
 
-1. Per document: sampled positions, each with its block's hash and its run's name.
+1. Per document: sampled positions, each with its block's hash and its run's name and place.
 2. Blocks that occur once hold no repeated prefix.  The rest is a small part.
 3. Runs with equal names are one class; a class of two or more is repeated whole
    (for passages: a class that two documents hold).
@@ -84,12 +84,12 @@ def prefix_sums(data: bytes) -> np.ndarray:
 class Sampled:
     """The sampled positions of a piece of a text: pos, the first and last suffix each owns, key (of the block) and name (of the run).
 
-    ``data`` holds the piece's first ``limit`` suffixes and, after them, what belongs to their prefixes.
+    The piece holds the first ``limit`` suffixes and, after them, what belongs to their prefixes.
     """
 
     def __init__(self, data: bytes, length: int, limit: int, sums: np.ndarray | None = None):
-        self.data, half = data, max(3 * length // 8, 1)
-        self.pos = self.lo = self.hi = self.end = np.zeros(0, dtype=np.int64)
+        half = max(3 * length // 8, 1)
+        self.pos = self.lo = self.hi = np.zeros(0, dtype=np.int64)
         self.key = self.name = np.zeros(0, dtype=np.int64)
         n = len(data)
         if n < length:
@@ -110,9 +110,8 @@ class Sampled:
         first = np.flatnonzero(np.append(True, np.diff(at) != 0))
         self.pos, self.lo = at[first], first
         self.hi = np.append(first[1:], len(at)) - 1
-        self.end = self.hi + length
         self.key = blocks[self.pos].view(np.int64)
-        name = self.spans(self.lo, self.end) ^ ((self.pos - self.lo).astype(np.uint64) * _MIX)
+        name = self.spans(self.lo, self.hi + length) ^ ((self.pos - self.lo).astype(np.uint64) * _MIX)
         self.name = ((name ^ (name >> np.uint64(29))) * _MIX).view(np.int64)
 
     def spans(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -126,7 +125,7 @@ class Sampled:
 
 
 def pieces(data: bytes, length: int, sums: np.ndarray | None = None) -> Iterator[tuple[int, Sampled]]:
-    """Offset and sampled positions of the pieces of a text; ``sums`` are its prefix sums if it is one piece and they are known."""
+    """Offset and sampled positions of the pieces of a text, whose runs follow one another; ``sums`` are its prefix sums if it is one piece and they are known."""
     for at in range(0, max(len(data) - length + 1, 1), PIECE):
         yield at, Sampled(data[at : at + PIECE - 1 + length], length, PIECE) if len(data) > PIECE else Sampled(data, length, PIECE, sums)
 
@@ -151,9 +150,9 @@ def _joined(docs: DataFrame, lists: DataFrame) -> DataFrame:
 
 
 def _sample(source: DataFrame, lengths: list[int]) -> DataFrame:
-    """doc, doc_id, n_bytes, sha256 of the whole text, and for each length keysN and namesN: a row a document, written."""
-    longs = pa.list_(pa.int64())
-    names = [f"{c}{k}" for k in range(len(lengths)) for c in ("keys", "names")]
+    """doc, doc_id, n_bytes, sha256 of the whole text, and for each length, of each run, keysN, namesN, losN (its first suffix) and sizesN (how many it has): a row a document, written."""
+    names = [f"{c}{k}" for k in range(len(lengths)) for c in ("keys", "names", "los", "sizes")]
+    kinds = [pa.list_(t) for t in (pa.int64(), pa.int64(), pa.int32(), pa.int32())] * len(lengths)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -165,12 +164,14 @@ def _sample(source: DataFrame, lengths: list[int]) -> DataFrame:
                     sha.append(hashlib.sha256(data).hexdigest())
                     sums = prefix_sums(data) if min(lengths) <= len(data) <= PIECE else None
                     for k, length in enumerate(lengths):
-                        got = [p for _, p in pieces(data, length, sums)]
-                        lists[2 * k].append(np.concatenate([p.key for p in got]))
-                        lists[2 * k + 1].append(np.concatenate([p.name for p in got]))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(size, pa.int64()), pa.array(sha), *(pa.array(x, longs) for x in lists)], names=["doc", "doc_id", "n_bytes", "sha", *names])
+                        got = [(p.key, p.name, at + p.lo, p.hi - p.lo + 1) for at, p in pieces(data, length, sums)]
+                        for into, values in zip(lists[4 * k : 4 * k + 4], zip(*got, strict=True), strict=True):
+                            into.append(np.concatenate(values))
+                cols = [pa.array([v.astype(t.value_type.to_pandas_dtype()) for v in x], t) for x, t in zip(lists, kinds, strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(size, pa.int64()), pa.array(sha), *cols], names=["doc", "doc_id", "n_bytes", "sha", *names])
 
-    return written(source.mapInArrow(run, "doc long, doc_id long, n_bytes long, sha string, " + ", ".join(f"{n} array<long>" for n in names)))
+    ddl = ", ".join(f"{n} array<{'int' if pa.types.is_int32(t.value_type) else 'long'}>" for n, t in zip(names, kinds, strict=True))
+    return written(source.mapInArrow(run, f"doc long, doc_id long, n_bytes long, sha string, {ddl}"))
 
 
 def suffix_order(values: np.ndarray) -> np.ndarray:
@@ -260,21 +261,18 @@ _TEXTS = pa.schema([("key", pa.int64()), ("id", pa.int64()), ("text", pa.binary(
 
 
 def _texts_of(source: DataFrame, need: DataFrame, length: int) -> DataFrame:
-    """key, id (name), text, first, last: the bytes of one run of each class of ``need`` (doc, key, name, first, last)."""
-    lists = written(need.groupBy("doc").agg(F.collect_list(F.struct("key", "name", "first", "last")).alias("want")))
+    """key, id (name), text, first, last: the bytes of one run of each class of ``need`` (doc, key, name, lo, size, first, last)."""
+    lists = written(need.groupBy("doc").agg(F.collect_list(F.struct("key", "name", "lo", "size", "first", "last")).alias("want")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, 64):
                 part = batch.slice(lo, 64)
-                rows: list[tuple] = []
-                for data, want in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                    open_ = {(w["key"], w["name"]): w for w in want}
-                    for _, got in pieces(data, length):
-                        for k, kn in enumerate(zip(got.key.tolist(), got.name.tolist(), strict=True)):
-                            w = open_.pop(kn, None)
-                            if w is not None:
-                                rows.append((*kn, got.data[got.lo[k] : got.end[k]], w["first"], w["last"]))
+                rows = [
+                    (w["key"], w["name"], data[w["lo"] : w["lo"] + w["size"] - 1 + length], w["first"], w["last"])
+                    for data, want in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True)
+                    for w in want
+                ]
                 cols = list(zip(*rows, strict=True)) if rows else [()] * len(_TEXTS)
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, _TEXTS, strict=True)], schema=_TEXTS)
 
@@ -320,37 +318,33 @@ def _compared(texts: DataFrame, counts: DataFrame, length: int, across: bool) ->
 
 
 def _decisions(source: DataFrame, sample: DataFrame, k: int, length: int, across: bool = False) -> DataFrame:
-    """doc, marks (key, name, mask; a null mask flags the whole run) of documents that have some, by the k-th length of the sample.
+    """doc, marks (lo, size, mask; a null mask flags the whole run) of documents that have some, by the k-th length of the sample.
 
     With ``across`` what counts is that another document holds a prefix too, else that it starts anywhere else.
     """
-    each = sample.select("doc", F.explode(F.arrays_zip(f"keys{k}", f"names{k}")).alias("s")).select("doc", F.col(f"s.keys{k}").alias("key"), F.col(f"s.names{k}").alias("name"))
+    fields = {"keys": "key", "names": "name", "los": "lo", "sizes": "size"}
+    each = sample.select("doc", F.explode(F.arrays_zip(*(f"{c}{k}" for c in fields))).alias("s")).select("doc", *(F.col(f"s.{c}{k}").alias(name) for c, name in fields.items()))
     again = written(each.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"))
     runs = written(maybe_in(each, again, "key").join(again, "key", "left_semi"))
-    classes = runs.groupBy("key", "name").agg(F.count("*").alias("n"), F.min("doc").alias("first"), F.max("doc").alias("last"))
+    classes = runs.groupBy("key", "name").agg(F.count("*").alias("n"), F.min(F.struct("doc", "lo", "size")).alias("at"), F.min("doc").alias("first"), F.max("doc").alias("last"))
     classes = written(classes.withColumn("whole", F.col("first") != F.col("last") if across else F.col("n") > 1).drop("n"))
     # A block whose classes are all repeated whole needs no sort.
     several = classes.groupBy("key").agg(F.count("*").alias("n"), F.min("whole").alias("all")).where("n > 1 AND NOT all")
     several = written(several.select("key", "n"))
-    need = classes.join(several.select("key"), "key").select(F.col("first").alias("doc"), "key", "name", "first", "last")
+    need = classes.join(several.select("key"), "key").select("key", "name", "at.*", "first", "last")
     masks = _compared(_texts_of(source, need, length), several, length, across)
     whole = classes.where("whole").select("key", "name", F.lit(None).cast("binary").alias("mask"))
     found = written(whole.unionByName(masks.join(whole.select("key", "name"), ["key", "name"], "left_anti")))
-    marks = runs.join(found, ["key", "name"]).groupBy("doc").agg(F.collect_set(F.struct("key", "name", "mask")).alias("marks"))
+    marks = runs.join(found, ["key", "name"]).groupBy("doc").agg(F.collect_set(F.struct("lo", "size", "mask")).alias("marks"))
     return written(marks)
 
 
-def _spans(data: bytes, marks: list[dict] | None, length: int, sums: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+def _spans(data: bytes, marks: list[dict] | None, length: int) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of the bytes of a text under flagged suffixes."""
-    by: dict[tuple[int, int], list[bytes | None]] = {}
-    for m in marks or ():
-        by.setdefault((m["key"], m["name"]), []).append(m["mask"])
     flags = np.zeros(max(len(data) - length + 1, 0), dtype=bool)
-    for at, got in pieces(data, length, sums) if by else ():
-        for k, kn in enumerate(zip(got.key.tolist(), got.name.tolist(), strict=True)):
-            for mask in by.get(kn, ()):
-                lo, hi = at + got.lo[k], at + got.hi[k] + 1
-                flags[lo:hi] |= True if mask is None else np.unpackbits(np.frombuffer(mask, dtype=np.uint8))[: hi - lo].view(bool)
+    for m in marks or ():
+        lo, size, mask = m["lo"], m["size"], m["mask"]
+        flags[lo : lo + size] |= True if mask is None else np.unpackbits(np.frombuffer(mask, dtype=np.uint8), count=size).view(bool)
     return covered(flags, length)
 
 
@@ -386,8 +380,7 @@ def report(docs: DataFrame, length: int = LENGTH, passage: int = PASSAGE) -> Dat
     both = written(marks.join(shared.withColumnRenamed("marks", "shared"), "doc", "full_outer"))
 
     def make(data: bytes, found: list[dict] | None, passages: list[dict] | None) -> tuple[int, int, int, str, int]:
-        sums = prefix_sums(data) if len(data) <= PIECE else None
-        gone, held = _spans(data, found, length, sums), _spans(data, passages, passage, sums)
+        gone, held = _spans(data, found, length), _spans(data, passages, passage)
         sha = hashlib.sha256()
         for part in _kept(data, gone):
             sha.update(part)
