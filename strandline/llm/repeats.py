@@ -326,12 +326,12 @@ def _decisions(source: DataFrame, sample: DataFrame, k: int, length: int, across
     each = sample.select("doc", F.explode(F.arrays_zip(*(f"{c}{k}" for c in fields))).alias("s")).select("doc", *(F.col(f"s.{c}{k}").alias(name) for c, name in fields.items()))
     again = written(each.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"))
     runs = written(maybe_in(each, again, "key").join(again, "key", "left_semi"))
-    classes = runs.groupBy("key", "name").agg(F.count("*").alias("n"), F.min(F.struct("doc", "lo", "size")).alias("at"), F.min("doc").alias("first"), F.max("doc").alias("last"))
+    classes = runs.groupBy("key", "name").agg(F.count("*").alias("n"), F.min_by("lo", "doc").alias("lo"), F.min("size").alias("size"), F.min("doc").alias("first"), F.max("doc").alias("last"))
     classes = written(classes.withColumn("whole", F.col("first") != F.col("last") if across else F.col("n") > 1).drop("n"))
     # A block whose classes are all repeated whole needs no sort.
     several = classes.groupBy("key").agg(F.count("*").alias("n"), F.min("whole").alias("all")).where("n > 1 AND NOT all")
     several = written(several.select("key", "n"))
-    need = classes.join(several.select("key"), "key").select("key", "name", "at.*", "first", "last")
+    need = classes.join(several.select("key"), "key").select(F.col("first").alias("doc"), "key", "name", "lo", "size", "first", "last")
     masks = _compared(_texts_of(source, need, length), several, length, across)
     whole = classes.where("whole").select("key", "name", F.lit(None).cast("binary").alias("mask"))
     found = written(whole.unionByName(masks.join(whole.select("key", "name"), ["key", "name"], "left_anti")))
