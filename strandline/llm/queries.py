@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strandline.llm import ann, decontaminate, langid, lines, packing, paragraphs, quality, repeats, simhash, warc
+from strandline.llm import ann, decontaminate, langid, lexical, lines, packing, paragraphs, quality, repeats, simhash, trie, urls, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,6 +53,22 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+#: Rules of op11: longest wins.
+URL_RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
+
+
+def op11_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.report(table(spark, sf_dir, "pages"), spark.createDataFrame(URL_RULES, "host string, path string, verdict string"))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.report(table(spark, sf_dir, "conversations"))
+
+
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_nearest": op1_nearest,
     "op2_packing": op2_packing,
@@ -64,6 +80,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash": op8_simhash,
     "op9_paragraphs": op9_paragraphs,
     "op10_decontamination": op10_decontamination,
+    "op11_url_filter": op11_url_filter,
+    "op12_prefix_trie": op12_prefix_trie,
+    "op13_ranked_search": op13_ranked_search,
 }
 
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
@@ -99,4 +118,50 @@ SELECT page_id, payload_bytes, {_SYMBOLS} AS payload_digest,
 FROM f
 """
 
-ORACLE_SQL: dict[str, str] = {"op6_warc": OP6, "op10_decontamination": OP10}
+OP11 = """
+WITH a AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+b AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM a),
+r(h, p, v) AS (VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')),
+f AS (SELECT b.*, h || p AS rule, v FROM b LEFT JOIN r ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p)
+      QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY length(h || p) DESC NULLS LAST) = 1)
+SELECT page_id, host, path, rule, coalesce(v, 'allow') AS verdict FROM f
+"""
+
+OP12 = """
+WITH t AS (SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS text,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) AS i
+  FROM conversations WHERE conv_id IS NOT NULL),
+ids AS (SELECT DISTINCT c, c - c % 100 AS base FROM t),
+bits AS (SELECT c, base, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), [CAST(ascii(x) AS BIGINT) FOR x IN string_split(CAST(c AS VARCHAR), '')]),
+    lambda crc, x: list_reduce([xor(crc, x), 0, 0, 0, 0, 0, 0, 0, 0], lambda a, b: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END)) AS crc FROM ids),
+h AS (SELECT c, base, xor(crc, 4294967295) % 6 AS h FROM bits),
+both_parts AS (SELECT h.c, 0 AS part, t.i, t.role, t.text FROM h JOIN t ON t.c = h.base AND t.i <= h.h
+  UNION ALL SELECT h.c, 1, t.i, t.role, t.text FROM h JOIN t ON t.c = h.c AND t.i > h.h),
+s AS (SELECT c, row_number() OVER (PARTITION BY c ORDER BY part, i) AS d, md5(length(role) || ':' || role || text) AS k, length(text) AS n FROM both_parts),
+keys AS (SELECT c, d, n, string_agg(k, '') OVER (PARTITION BY c ORDER BY d) AS path FROM s
+  UNION ALL SELECT c, 0, 0, '' FROM h),
+last AS (SELECT c, max(d) AS len FROM keys GROUP BY c),
+nodes AS (SELECT path, d, min(c) AS conv_id, count(*) AS n_convs, (count(*) - 1) * min(n) AS here,
+    sha256(coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (d = len), '')) AS ends_sha256 FROM keys JOIN last USING (c) GROUP BY path, d),
+kids AS (SELECT k.path, count(DISTINCT m.path) AS n_children FROM keys k JOIN keys m ON m.c = k.c AND m.d = k.d + 1 GROUP BY k.path),
+up AS (SELECT m.path, min(n.conv_id) AS parent_conv_id FROM keys k JOIN keys m ON m.c = k.c AND m.d = k.d + 1 JOIN nodes n ON n.path = k.path GROUP BY m.path),
+below AS (SELECT k.path, CAST(sum(u.here) AS BIGINT) AS saved_tokens, count(*) FILTER (u.path NOT IN (SELECT path FROM kids)) AS n_leaves
+  FROM nodes u JOIN keys k ON k.c = u.conv_id AND k.d <= u.d GROUP BY k.path)
+SELECT conv_id, CAST(d AS BIGINT) AS depth, parent_conv_id, n_convs, coalesce(n_children, 0) AS n_children, n_leaves, saved_tokens, ends_sha256
+FROM nodes LEFT JOIN kids USING (path) LEFT JOIN up USING (path) JOIN below USING (path)
+"""
+
+OP13 = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS ws FROM documents),
+s AS (SELECT count(*) FILTER (len(ws) > 0) AS docs, sum(len(ws)) AS terms FROM d),
+t AS (SELECT r, doc_id, n, term, count(*) AS tf FROM (SELECT r, doc_id, len(ws) AS n, unnest(ws) AS term FROM d) GROUP BY ALL),
+f AS (SELECT term, count(*) AS df FROM t GROUP BY term),
+q AS (SELECT b, item_id, term, count(*) AS times FROM (SELECT row_number() OVER () AS b, item_id, unnest({_WORDS}) AS term FROM benchmark) GROUP BY ALL),
+w AS (SELECT term, CAST(floor(1000 * ln(CAST(2 * docs + 2 AS DOUBLE) / CAST(2 * df + 1 AS DOUBLE))) AS BIGINT) AS w FROM f, s),
+p AS (SELECT b, item_id, r, doc_id, CAST(sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * (100 - 25 + (25 * n * docs) // terms)))) AS BIGINT) AS score
+      FROM q JOIN w USING (term) JOIN t USING (term), s GROUP BY ALL)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY b ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM p WHERE score > 0
+QUALIFY rank <= 20
+"""
+
+ORACLE_SQL: dict[str, str] = {"op6_warc": OP6, "op10_decontamination": OP10, "op11_url_filter": OP11, "op12_prefix_trie": OP12, "op13_ranked_search": OP13}
