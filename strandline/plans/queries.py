@@ -1,6 +1,6 @@
-"""All registered queries: over the driver tables (``catalogue``) and over inline rows (``fixtures``)."""
+"""All registered queries: over the driver tables (``catalogue``, ``mechanisms``) and over scenarios planted into them (``fixtures``)."""
 
-from strandline.plans import fixtures  # noqa: F401  registers its queries
+from strandline.plans import fixtures, mechanisms  # noqa: F401  register their queries
 from strandline.plans.catalogue import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]

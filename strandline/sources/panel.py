@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from strandline.functions.names import norm, trimmed
+from strandline.sources.sas import registered
 
 OBSERVATION = T.StructType(
     [T.StructField("cik", T.StringType()), T.StructField("fdate", T.DateType()), T.StructField("comp_name", T.StringType()), T.StructField("sub_name", T.StringType())]
@@ -31,7 +32,9 @@ def observations(rows: DataFrame) -> DataFrame:
 
 
 def read_observations(spark: SparkSession, path: str, form: str = "parquet") -> DataFrame:
-    """Parquet, ORC or JSON files, or CSV (also gzipped) with a header."""
+    """Parquet, ORC, JSON or SAS7BDAT files, or CSV (also gzipped) with a header."""
+    if form == "sas7bdat":
+        registered(spark)
     if form == "csv":
         return observations(spark.read.option("header", True).csv(path))
     return observations(spark.read.format(form).load(path))
