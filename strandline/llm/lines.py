@@ -1,10 +1,11 @@
 """Fuzzy line dedup by MinHash, with built-in functions only.
 
-All lines that aren't blank, trimmed and lower-cased, take part.  Equal lines are one
-from the start (by a 64-bit hash), whatever their length.  A line's signature are the
-first of ``BANDS * ROWS`` hash orders over all its ``SHINGLE``-character shingles: the
-shingles are rows and their smallest and largest hashes are combined per line before
-they are shuffled.  Each band files the line; per file the smallest and the largest
+All lines that aren't blank, trimmed and lower-cased, take part.  Different lines become one
+row each first, grouped by their text, whatever their length: such a row has a number of
+its own and the first place of the line.  A line's signature are the first of
+``BANDS * ROWS`` hash orders over all its shingles of ``SHINGLE`` bytes: ``STEP`` shingles
+at a time are a row, whose smallest and largest hashes are combined per line before they
+are shuffled.  Each band files the line; per file the smallest and the largest
 member are leaders, found by a combined aggregation, and every member is a candidate
 with each.  Candidates are verified by the exact Jaccard similarity of their character
 shingles, and verified links go through distributed contraction to components.  Files
@@ -14,8 +15,8 @@ several components are left, all pairs but those in one component or with a lead
 each component the first occurrence (by document and position) stays.
 
 At the similarity asked for, a pair shares a file with probability
-``1 - (1 - 0.8 ** ROWS) ** BANDS`` (0.995); tests hold the links against brute force.
-One changed character costs ``SHINGLE`` shingles on either side, so lines of fewer than
+``1 - (1 - 0.8 ** ROWS) ** BANDS`` (0.991), counted in bytes; tests hold the links against
+brute force.  The exact similarity is that of shingles of characters.  One changed character costs ``SHINGLE`` shingles on either side, so lines of fewer than
 69 characters are near each other only by what is added at an end; lines shorter than a
 shingle are equal or different.
 
@@ -23,7 +24,8 @@ Defined results: a null text has no lines; documents with a null id take no part
 and are kept as they are; blank lines are never touched; rows that repeat an id
 keep what is at a kept position; a document that loses all its lines stays, with
 an empty text; ties go to the smaller document id, then position; an empty table
-gives an empty result; further columns are kept by :func:`keep_first`.
+gives an empty result; a very long line is one row like any other, compared whole, and a
+document of any length is cut into its lines in its own task; further columns are kept by :func:`keep_first`.
 """
 
 from __future__ import annotations
@@ -38,10 +40,13 @@ from strandline.llm.common import components, maybe_in, tiled, with_maybe, writt
 SHINGLE = 7
 SIMILARITY = 0.8
 ROWS = 4
-BANDS = 10
+BANDS = 9
+#: Shingles of one row on the way to a signature: combining them there costs less than a row each.
+STEP = 3
 TILE = 1024
 
 _SHINGLES = r"(?s)(?=(.{%d}))" % SHINGLE
+_PLACES = 1 << 31  # positions of a document
 _random = random.Random(3)
 _MASKS = [_random.getrandbits(64) - (1 << 63) for _ in range((ROWS * BANDS + 1) // 2)]
 
@@ -54,11 +59,19 @@ def shingles(line: Column) -> Column:
     return F.regexp_extract_all(line, F.lit(_SHINGLES), 1)
 
 
-def lines(docs: DataFrame) -> DataFrame:
-    """doc_id, pos, line (normalised), id of every line that takes part."""
+def occurrences(docs: DataFrame) -> DataFrame:
+    """doc_id, pos, line (normalised) of every line that takes part."""
     rows = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.posexplode(F.split("text", "\n")).alias("pos", "raw"))
-    rows = rows.select("doc_id", "pos", normal(F.col("raw")).alias("line")).where(F.length("line") > 0)
-    return rows.select("doc_id", "pos", "line", F.xxhash64("line").alias("id"))
+    return rows.select("doc_id", "pos", normal(F.col("raw")).alias("line")).where(F.length("line") > 0)
+
+
+def lines(docs: DataFrame) -> DataFrame:
+    """id, line, doc_id, pos (of the first place): a row a different line, written, so that the numbers stay."""
+    # Document and position as one number, as a grouped minimum of a pair would have to sort.
+    place = F.expr(f"CAST(doc_id AS DECIMAL(20)) * {_PLACES} + pos")
+    rows = occurrences(docs).groupBy("line").agg(F.min(place).alias("at"))
+    pos = F.expr(f"pmod(at, {_PLACES})")
+    return written(rows.select(F.monotonically_increasing_id().alias("id"), "line", F.expr(f"(at - pmod(at, {_PLACES})) DIV {_PLACES}").alias("doc_id"), pos.cast("int").alias("pos")))
 
 
 def signed(rows: DataFrame) -> DataFrame:
@@ -66,9 +79,15 @@ def signed(rows: DataFrame) -> DataFrame:
 
     A mask gives two orders, one the reverse of the other: the smallest and the largest masked hash.
     """
-    hashed = rows.select("id", F.explode(shingles(F.col("line"))).alias("s")).select("id", F.xxhash64("s").alias("h"))
-    masked = [F.col("h").bitwiseXOR(F.lit(mask)) for mask in _MASKS]
-    orders = [*map(F.min, masked), *map(F.max, masked)][: ROWS * BANDS]
+    last = F.octet_length("line") - SHINGLE + 1
+    cut = rows.select("id", F.col("line").cast("binary").alias("line"), last.alias("last")).where("last > 0")
+    cut = cut.select("id", "line", "last", F.explode(F.expr(f"sequence(1, last, {STEP})")).alias("at"))
+    hashed = cut.select("id", *(F.expr(f"xxhash64(substring(line, least(at + {k}, last), {SHINGLE}))").alias(f"h{k}") for k in range(STEP)))
+
+    def order(mask: int, of_row, of_line) -> Column:
+        return of_line(of_row(*(F.col(f"h{k}").bitwiseXOR(F.lit(mask)) for k in range(STEP))))
+
+    orders = [*(order(m, F.least, F.min) for m in _MASKS), *(order(m, F.greatest, F.max) for m in _MASKS)][: ROWS * BANDS]
     low = hashed.groupBy("id").agg(*(o.alias(f"o{k}") for k, o in enumerate(orders)))
     keys = [F.xxhash64(F.lit(b), *(F.col(f"o{b * ROWS + k}") for k in range(ROWS))) for b in range(BANDS)]
     return low.select("id", F.array(*keys).alias("keys"))
@@ -79,7 +98,7 @@ def filed(signatures: DataFrame) -> DataFrame:
     each = signatures.select(F.explode("keys").alias("key"), "id")
     leaders = each.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo <> hi")
     leaders = written(leaders)
-    return maybe_in(each, leaders, "key").join(leaders, "key").select("key", "id", "lo", "hi").distinct()
+    return maybe_in(each, leaders, "key").join(leaders, "key").select("key", "id", "lo", "hi")
 
 
 def led(members: DataFrame) -> DataFrame:
@@ -126,15 +145,14 @@ def grouped(rows: DataFrame, signatures: DataFrame, similarity: float = SIMILARI
 
 
 def verified(rows: DataFrame, pairs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """The pairs whose lines have the exact similarity over all character shingles."""
+    """The pairs whose lines have the exact similarity over all character shingles.
+
+    Neither join side is dealt by hand, so that adaptive execution can split the pairs of a line that leads a large file.
+    """
     ids = written(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
-    # One row a line before the join, so that a very common line is no hot key there.
-    texts = written(maybe_in(rows.select("id", "line"), ids).dropDuplicates(["id"]).join(ids, "id", "left_semi"))
-    # A fixed number of tasks: pairs take long for their bytes, by which adaptive execution would put them in one task.
-    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    other = texts.select(F.col("id").alias("b"), F.col("line").alias("lb")).repartition(tasks, "b").hint("merge")
-    both = pairs.join(texts.select(F.col("id").alias("a"), F.col("line").alias("la")), "a").join(other, "b")
-    return both.where(_similar(F.col("la"), F.col("lb"), similarity)).select("a", "b")
+    texts = written(maybe_in(rows.select("id", "line"), ids).join(ids, "id", "left_semi"))
+    text = lambda c: texts.select(F.col("id").alias(c), F.col("line").alias(f"l{c}"))
+    return pairs.join(text("a"), "a").join(text("b"), "b").where(_similar(F.col("la"), F.col("lb"), similarity)).select("a", "b")
 
 
 def _similar(la: Column, lb: Column, similarity: float) -> Column:
@@ -143,7 +161,15 @@ def _similar(la: Column, lb: Column, similarity: float) -> Column:
     The sets are fields of a struct that a lambda reads, so each is made once; a filter
     over plain columns would repeat their making at every use.
     """
-    hashes = lambda line: F.array_distinct(F.transform(shingles(line), lambda s: F.xxhash64(s)))
+
+    def hashes(line: Column) -> Column:
+        """Of different shingles; where bytes are characters, they are cut as bytes, which takes a fraction of the time."""
+        plain = line.cast("binary")
+        starts = F.when(F.length(line) >= SHINGLE, F.sequence(F.lit(1), F.length(line) - SHINGLE + 1)).otherwise(F.array().cast("array<int>"))
+        cut = F.transform(starts, lambda k: F.xxhash64(F.substring(plain, k, F.lit(SHINGLE))))
+        wide = F.transform(shingles(line), lambda s: F.xxhash64(s.cast("binary")))
+        return F.array_distinct(F.when(F.octet_length(line) == F.length(line), cut).otherwise(wide))
+
     share = round(similarity * 1000)  # whole numbers, so that the bound itself counts
 
     def test(pair: Column) -> Column:
@@ -154,31 +180,42 @@ def _similar(la: Column, lb: Column, similarity: float) -> Column:
     return F.get(F.transform(F.array(F.struct(hashes(la).alias("a"), hashes(lb).alias("b"))), test), F.lit(0))
 
 
-def _kept(docs: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
-    """doc_id, pos, id of every line, and doc_id, kept (positions of lines that stay) of documents that have some."""
+def _lines_of(docs: DataFrame) -> DataFrame:
+    """doc_id, n_lines: the different positions of lines that take part, over all rows of an id."""
+    blank = F.filter(F.transform(F.split("text", "\n"), normal), lambda line: F.length(line) > 0)
+    rows = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.size(blank).cast("long").alias("n"))
+    once = rows.groupBy("doc_id").agg(F.max("n").alias("n_lines"), F.count("*").alias("rows")).where("n_lines > 0")
+    once = written(once)
+    several = once.where("rows > 1").select("doc_id")
+    if several.isEmpty():
+        return once.select("doc_id", "n_lines")
+    places = occurrences(docs).join(several, "doc_id", "left_semi").groupBy("doc_id").agg(F.countDistinct("pos").alias("n_lines"))
+    return once.where("rows = 1").select("doc_id", "n_lines").unionByName(places)
+
+
+def _kept(docs: DataFrame, similarity: float) -> DataFrame:
+    """doc_id, kept: positions of the lines that stay, of documents that keep some."""
     rows = lines(docs)
-    places = written(rows.select("doc_id", "pos", "id"))
     linked = grouped(rows, written(signed(rows)), similarity)
-    first = places.groupBy("id").agg(F.min(F.struct("doc_id", "pos")).alias("at"))
-    named = first.join(linked, first["id"] == linked["node"], "left").select(F.coalesce("component", "id").alias("component"), "at")
-    heads = named.groupBy("component").agg(F.min("at").alias("at"))
-    return places, heads.groupBy("at.doc_id").agg(F.sort_array(F.collect_list("at.pos")).alias("kept"))
+    named = rows.select("id", "doc_id", "pos").join(linked, F.col("id") == F.col("node"), "left")
+    alone = named.where("component IS NULL").select("doc_id", "pos")
+    place = F.expr(f"CAST(doc_id AS DECIMAL(20)) * {_PLACES} + pos")
+    heads = named.where("component IS NOT NULL").groupBy("component").agg(F.min(place).alias("at"))
+    heads = heads.select(F.expr(f"(at - pmod(at, {_PLACES})) DIV {_PLACES}").alias("doc_id"), F.expr(f"CAST(pmod(at, {_PLACES}) AS INT)").alias("pos"))
+    return alone.unionByName(heads).groupBy("doc_id").agg(F.sort_array(F.collect_list("pos")).alias("kept"))
 
 
 def report(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """doc_id, n_lines (that take part), n_removed: a row a document."""
-    places, kept = _kept(docs, similarity)
-    have = places.groupBy("doc_id").agg(F.countDistinct("pos").alias("n_lines"))
-    counts = written(have.join(kept, "doc_id", "left").select("doc_id", "n_lines", (F.col("n_lines") - F.coalesce(F.size("kept"), F.lit(0))).alias("n_removed")))
+    kept = _kept(docs, similarity).select("doc_id", F.size("kept").alias("stay"))
+    counts = written(_lines_of(docs).join(kept, "doc_id", "left").select("doc_id", "n_lines", (F.col("n_lines") - F.coalesce("stay", F.lit(0))).alias("n_removed")))
     return docs.select(F.col("doc_id").cast("long").alias("doc_id")).join(counts, "doc_id", "left").select("doc_id", F.coalesce("n_lines", F.lit(0)).alias("n_lines"), F.coalesce("n_removed", F.lit(0)).alias("n_removed"))
 
 
 def keep_first(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """The rows of ``docs`` without repeated lines, all columns kept."""
-    places, kept = _kept(docs, similarity)
-    kept = written(kept)
-    have = places.groupBy("doc_id").agg(F.countDistinct("pos").alias("n"))
-    changed = written(have.join(kept, "doc_id", "left").where(F.col("n") > F.coalesce(F.size("kept"), F.lit(0))).select("doc_id", "kept"))
+    kept = written(_kept(docs, similarity))
+    changed = written(_lines_of(docs).join(kept, "doc_id", "left").where(F.col("n_lines") > F.coalesce(F.size("kept"), F.lit(0))).select("doc_id", "kept"))
     # Documents that surely lose nothing pass by; the others meet their kept positions.
     keyed = with_maybe(docs.withColumn("__id", F.col("doc_id").cast("long")), changed.select(F.col("doc_id").alias("__id")), "__id", "__changed")
     same = keyed.where("NOT __changed").select(*(F.col(f"`{c}`") for c in docs.columns))
