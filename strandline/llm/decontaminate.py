@@ -13,7 +13,8 @@ neither a written table nor a shuffle.
 Defined results: null texts and texts without words have no words and are kept;
 null items and items without words match nothing; repeated items count by their
 ``item_id`` (a null one as the empty string); repeated rows are rows of their
-own; an empty table on either side gives no hits; further columns are kept by
+own; an empty table on either side gives no hits; a very long text streams whole
+through the automaton in one task; further columns are kept by
 :func:`remove` and ignored by :func:`report`.
 """
 

@@ -9,7 +9,8 @@ as a sparse matrix of counts times the dense one (:func:`scores_of`).
 Defined results: a null text or one without letters is ``und`` with score 0 and
 teaches nothing; rows with null labels aren't learned from; a null ``doc_id``
 hashes as the empty string; ties go to the language that sorts first; without any
-labelled text all are ``und``; repeated rows count each; further columns are ignored.
+labelled text all are ``und``; repeated rows count each; further columns are ignored;
+a very long text is counted and scored whole by one task.
 """
 
 from __future__ import annotations

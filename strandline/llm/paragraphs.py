@@ -22,7 +22,8 @@ Defined results: a null text has no paragraphs; documents with a null id take no
 part and are kept as they are; rows that repeat an id with the same text hold the
 same occurrence, so none of them loses it to the other; with different texts each
 paragraph is one of the id; texts of fewer than ``MIN_WORDS`` words are never touched;
-an empty table gives an empty result; further columns are kept by :func:`remove`,
+an empty table gives an empty result; a very long text is cut into its paragraphs and
+stretches by one task, none of which is cut short; further columns are kept by :func:`remove`,
 ignored by :func:`report`.
 """
 

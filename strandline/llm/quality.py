@@ -28,7 +28,8 @@ Defined results: null texts and texts without words have a null weight and are n
 drawn; a null id hashes as such and can't be a target; of several labels of a document
 one good label is enough unless another calls it bad; without target documents every
 ratio is 0 and all documents with words are drawn; equal keys are ordered by id and rows
-equal in both are drawn together; repeated rows count each; further columns are
+equal in both are drawn together; repeated rows count each; a very long text is counted
+and scored whole by one task; further columns are
 kept by :func:`keep`.
 """
 

@@ -14,7 +14,8 @@ Defined results: a null text or one without words has fingerprint zero, linked
 like any other; rows with a null ``doc_id`` get their fingerprint and their
 group's smallest id (null if no row of the group has one); reports have a row for
 every row, and rows that repeat an id are linked only by what their texts say;
-an empty table gives an empty result; further columns are ignored by
+an empty table gives an empty result; a very long text is hashed whole by one task,
+from then on it is 64 bits like any other; further columns are ignored by
 :func:`fingerprints` and kept by :func:`keep_one`.
 """
 

@@ -55,6 +55,14 @@ def test_packing_is_a_round_trip(spark):
     assert all(len(s.ids) == 2 * s.length for s in whole) and sum(s.length for s in whole) == at
 
 
+def test_packing_shuffles_no_ids(spark):
+    rows = packing.pack(docs_of(spark, [(k, words(k, 30)) for k in range(40)]).repartition(4))
+    rows.count()
+    plan = rows._jdf.queryExecution().toString()
+    exchanges = [x for x in re.findall(r"(?m)^.*Exchange .*$", plan[plan.index("== Physical Plan") :]) if "ids" in x]
+    assert "BroadcastHashJoin" in plan and not exchanges and "SortMergeJoin" not in plan
+
+
 def test_packing_of_nothing(spark):
     assert packing.pack(docs_of(spark, [])).count() == 0
 
