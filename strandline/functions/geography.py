@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-import re
-from itertools import groupby
+from functools import cache
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import StringType
 
 from strandline.functions.names import trimmed
+from strandline.functions.patterns import Ordered
 
 # Country names by ISO 3166-1 alpha-2 code.
 COUNTRIES = {
@@ -77,20 +80,25 @@ def detect_us_state(name: Column) -> Column:
     return F.get(F.filter(F.array(*map(F.lit, STATES)), lambda s: low.contains(F.lower(s))), F.lit(0))
 
 
+@cache
+def _automaton() -> Ordered:
+    """Once a worker."""
+    return Ordered(LEGAL_FORMS, country_names())
+
+
+@pandas_udf(StringType())
+def _codes(names: pd.Series) -> pd.Series:
+    find = _automaton().first
+    return names.map(find, na_action="ignore").astype(object)
+
+
 def country_code(name: Column) -> Column:
     """Code of the first legal form that matches, else of the longest country name that occurs; null if none does.
 
-    Neighbouring forms of one country are one pattern.  One alternation tells
-    whether any country name occurs; only then the names are tried by length, in a
-    lambda, which keeps that long chain out of generated code.
+    All forms and names are looked for in one pass; as a chain of expressions they would be
+    some two hundred patterns for every name.
     """
-    name = trimmed(name)
-    low = F.lower(name)
-    form = F.coalesce(*(F.when(name.rlike("(?iuU)(?:" + "|".join(p for p, _ in g) + ")"), F.lit(c)) for c, g in groupby(LEGAL_FORMS, key=lambda x: x[1])))
-    names = country_names()
-    some = low.rlike(r"(?U)\b(?:" + "|".join(re.escape(a) for a, _ in names) + r")\b")
-    by_length = lambda x: F.coalesce(*(F.when(x.rlike(rf"(?U)\b{re.escape(a)}\b"), F.lit(c)) for a, c in names))
-    return F.coalesce(form, F.when(some, F.get(F.transform(F.array(low), by_length), F.lit(0))))
+    return _codes(trimmed(name))
 
 
 def country_name(code: Column) -> Column:

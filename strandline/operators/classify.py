@@ -7,7 +7,7 @@ broadcast by hand; adaptive execution does so where a side turns out small.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandline.functions.names import brand_token, first_word, infer_type, norm
@@ -43,7 +43,10 @@ def cross_parent_brands(subs: DataFrame) -> DataFrame:
 
 def signals(subs: DataFrame, companies: DataFrame) -> DataFrame:
     """``subs`` with company_name, first_filing, batch_size, cross_parent."""
-    rows = subs.join(companies.select("cik", "company_name", "first_filing"), "cik").withColumn("batch_size", F.count("*").over(Window.partitionBy("cik", "first_seen")))
+    # Counted with partial aggregation and joined, as a parent's first filing may hold most of the rows.
+    day = F.coalesce("first_seen", F.lit(""))
+    sizes = subs.groupBy("cik", day.alias("__day")).agg(F.count("*").alias("batch_size"))
+    rows = subs.join(companies.select("cik", "company_name", "first_filing"), "cik").withColumn("__day", day).join(sizes, ["cik", "__day"]).drop("__day")
     names = cross_parent_names(subs).withColumn("by_name", F.lit(True))
     distinctive = (F.length("brand") >= 5) & ~F.col("brand").isin(*COMMON_BRANDS)
     brands = cross_parent_brands(subs).where(distinctive).withColumn("by_brand", F.lit(True))

@@ -31,5 +31,14 @@ def by_company(subs: DataFrame, cik: str) -> DataFrame:
 
 
 def sampled(subs: DataFrame, n: int = 10_000, k: int = 20, seed: int = 42) -> DataFrame:
-    """Countries of a random sample of children."""
-    return countries(subs.orderBy(F.rand(seed)).limit(n), k)
+    """Countries of a sample of children."""
+    return countries(bottom(subs, ["cik", "sub_norm"], n, seed), k)
+
+
+def bottom(rows: DataFrame, key: list[str], n: int, seed: int = 42) -> DataFrame:
+    """The n rows whose keys have the smallest hashes: a random sample that stays the same.
+
+    Each task keeps its n smallest, and these are merged; nothing is sorted as a whole, and
+    the sample of two tables is the sample of their samples.
+    """
+    return rows.orderBy(F.md5(F.concat_ws("|", F.lit(str(seed)), *key).cast("binary")), *key).limit(n)

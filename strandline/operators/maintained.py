@@ -22,7 +22,7 @@ from strandline.functions.names import is_active
 from strandline.operators.analytics import year_of
 from strandline.operators.timeline import all_filings, presence, timeline_of
 from strandline.sources.panel import observations
-from strandline.store import stored
+from strandline.store import forget, stored
 
 BUCKETS = 64
 KIDS = "cik string, sub_norm string, sub_name string, comp_name string, dates array<date>, bucket int"
@@ -168,6 +168,7 @@ class Maintained:
             whole = now if other is None else now.unionByName(other.select(*now.columns))
             whole.withColumn("bucket", self._bucket()).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.folder}/{staged}/{name}")
         write(kids.select("cik").limit(0), "done")
+        forget(kids, filings, subs, *([] if was is None else [was]))
 
     def _publish(self, staged: str, batch: int) -> None:
         for name, schema in (("kids", KIDS), ("subs", SUBS)):

@@ -1,16 +1,21 @@
-"""Registered queries of the file format, approximate search, maintained reports and the cache, with the SQL that states them."""
+"""Registered queries of file formats, approximate search, maintained reports, the cache, watch lists and long runs, with the SQL that states them."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.operators import fuzzy
+from strandline.functions.names import infer_type
+from strandline.operators import classify as cl
+from strandline.operators import fuzzy, paper, watchlist
 from strandline.operators.maintained import Maintained
-from strandline.plans.catalogue import _Y, PANEL, _obs, _table, register
+from strandline.operators.progress import Run
+from strandline.plans.catalogue import _Y, PANEL, TYPED, _companies, _obs, _subs, _table, _typed, register
+from strandline.sources import sinks
 from strandline.sources.panel import read_observations
 from strandline.sources.sas import registered
-from strandline.store import shared_dir
+from strandline.sources.workbook import read_workbooks, write_workbooks
+from strandline.store import shared_dir, stored
 from strandline.streaming import cache
 
 
@@ -106,3 +111,76 @@ r AS (SELECT DISTINCT key, 0::BIGINT AS i, NULL::BIGINT AS filled, 0::BIGINT AS
     served + CASE WHEN what <> 'lookup' THEN 0 WHEN alive THEN n ELSE o.i END
   FROM r JOIN (SELECT * FROM o) o ON o.key = r.key AND o.i = r.i + 1, LATERAL (SELECT coalesce(ms - filled < 86400000, false) AS alive) a)
 SELECT key, hits, misses, expired + coalesce(filled + 86400000 <= (SELECT max(ms) FROM e), false)::INT AS expired, invalidated, served FROM r QUALIFY row_number() OVER (PARTITION BY key ORDER BY i DESC) = 1""")
+
+
+# Workbooks, in sheets of 3000 rows, and printable documents of all parents.
+def _workbooks(s: SparkSession, d: str) -> DataFrame:
+    folder = f"{shared_dir(s)}/books"
+    write_workbooks(sinks.capped_rows(_typed(s, d).drop("company_name"), _companies(s, d)), folder, sheet_rows=3000)
+    return read_workbooks(s, folder)
+
+
+register("workbook_rows", _workbooks, TYPED + "SELECT company_name, cik, sub_name, first_seen, last_seen, time_in, time_out, confidence, type, CAST(enriched AS VARCHAR) AS enriched FROM typed")
+register("printed_documents", lambda s, d: paper.read_back(stored(paper.documents(_subs(s, d), _companies(s, d)))), PANEL + """, r AS (SELECT *, row_number() OVER (PARTITION BY cik ORDER BY sub_name, first_seen, sub_norm) AS r FROM subs),
+k AS (SELECT cik, CAST(r - 1 AS INTEGER) AS line, concat_ws(' | ', left(sub_name, 40), first_seen, last_seen, left(time_in, 35), left(time_out, 35), confidence) AS text FROM r WHERE r <= 200),
+p AS (SELECT cik, CAST(ceil(count(*) / 40) AS INTEGER) AS pages FROM k GROUP BY cik) SELECT cik, pages, 3 + 2 * pages AS objects, true AS sound, line, text FROM k JOIN p USING (cik)""")
+
+
+# Watched suppliers: users' signups add one, errors remove it; purchases are filings, views are marks of what was read.
+def _requests(s: SparkSession, d: str) -> DataFrame:
+    what = F.when(F.col("event_type") == "signup", "add").when(F.col("event_type") == "error", "remove")
+    return _table(s, d, "events").select(F.col("event_id").alias("request"), "user_id", (F.col("event_id") % 7 * 20).cast("string").alias("cik"), what.alias("what"), F.col("ts").alias("at")).where("what IS NOT NULL")
+
+
+_judged = lambda s, d: watchlist.outcomes(_requests(s, d), _table(s, d, "supplier").select(F.col("s_suppkey").cast("string").alias("cik")))
+_filed = lambda e: e.where("event_type = 'purchase'").select(F.col("event_id").alias("filing"), (F.col("event_id") % 7 * 20).cast("string").alias("cik"), F.col("ts").alias("at"))
+
+
+def _alerts(s: SparkSession, d: str) -> DataFrame:
+    """Filings come as a stream, and then all of them come once more."""
+    folder, events = shared_dir(s), _table(s, d, "events")
+    events.repartitionByRange(4, "ts").write.parquet(f"{folder}/in")
+    watching = stored(watchlist.spans(_judged(s, d)))
+    for run in range(2):
+        filings = _filed(s.readStream.schema(events.schema).option("maxFilesPerTrigger", 2).parquet(f"{folder}/in"))
+        watchlist.alert_stream(filings, watching, f"{folder}/alerts", f"{folder}/checkpoint{run}").awaitTermination()
+    return s.read.parquet(f"{folder}/alerts").drop("day")
+
+
+def _marks(s: SparkSession, d: str) -> DataFrame:
+    """Every view is a try to mark an alert of the filing just before it, which may be someone else's or none."""
+    kept = watchlist.alerts(_filed(_table(s, d, "events")), stored(watchlist.spans(_judged(s, d))))
+    marks = _table(s, d, "events").where("event_type = 'view'").select(watchlist.alert_id(F.col("event_id") - 1, F.col("user_id")).alias("alert_id"), "user_id")
+    own = _table(s, d, "events").where("event_id % 3 = 0").join(kept, F.col("event_id") == F.substring_index("alert_id", "/", 1).cast("long")).select("alert_id", kept["user_id"])
+    done, judged = watchlist.marked(kept, marks.unionByName(own))
+    rows = lambda df, table, value: df.groupBy(F.lit(table).alias("t"), F.col(value).cast("string").alias("v")).agg(F.count("*").alias("n"))
+    return rows(done, "alerts", "read").unionByName(rows(judged, "marks", "outcome"))
+
+
+_WATCH = """WITH r AS (SELECT event_id AS request, user_id, CAST(event_id % 7 * 20 AS VARCHAR) AS cik, CASE event_type WHEN 'signup' THEN 'add' ELSE 'remove' END AS what, ts AS at_time FROM events WHERE event_type IN ('signup', 'error')),
+o AS (SELECT r.*, coalesce(lag(what) OVER w = 'add', false) AS held, s_suppkey IS NOT NULL AS known, lead(at_time) OVER w AS following FROM r LEFT JOIN supplier ON cik = CAST(s_suppkey AS VARCHAR) WINDOW w AS (PARTITION BY user_id, cik ORDER BY at_time, request)),
+j AS (SELECT *, CASE WHEN what = 'add' AND NOT known THEN 'unknown company' WHEN what = 'add' THEN CASE WHEN held THEN 'conflict' ELSE 'added' END WHEN known AND held THEN 'removed' ELSE 'not found' END AS outcome FROM o),
+s AS (SELECT *, lead(at_time) OVER (PARTITION BY user_id, cik ORDER BY at_time, request) AS until FROM j WHERE outcome IN ('added', 'removed')),
+f AS (SELECT event_id AS filing, CAST(event_id % 7 * 20 AS VARCHAR) AS cik, ts AS at_time FROM events WHERE event_type = 'purchase'),
+a AS (SELECT filing || '/' || user_id AS alert_id, user_id, s.cik, f.at_time, false AS read FROM f JOIN s ON f.cik = s.cik AND outcome = 'added' AND s.at_time <= f.at_time AND (until IS NULL OR f.at_time < until)) """
+register("watch_outcomes", lambda s, d: _judged(s, d).select("request", "user_id", "cik", "what", "outcome"), _WATCH + "SELECT request, user_id, cik, what, outcome FROM j")
+register("watch_alerts", lambda s, d: _alerts(s, d).select("alert_id", "user_id", "cik", F.date_format("at", "yyyy-MM-dd HH:mm:ss").alias("at"), "read"), _WATCH + """SELECT alert_id, user_id, cik, strftime(at_time, '%Y-%m-%d %H:%M:%S') AS "at", read FROM a""")
+register("watch_marks", _marks, _WATCH + """, m AS (SELECT (event_id - 1) || '/' || user_id AS alert_id, user_id FROM events WHERE event_type = 'view'
+  UNION ALL SELECT alert_id, a.user_id FROM a JOIN events e ON event_id = CAST(split_part(alert_id, '/', 1) AS BIGINT) WHERE event_id % 3 = 0),
+d AS (SELECT m.*, CASE WHEN a.alert_id IS NULL THEN 'not found' ELSE 'read' END AS outcome FROM m LEFT JOIN a ON a.alert_id = m.alert_id AND a.user_id = m.user_id)
+SELECT 'alerts' AS t, CAST(alert_id IN (SELECT alert_id FROM d WHERE outcome = 'read') AS VARCHAR) AS v, count(*) AS n FROM a GROUP BY ALL UNION ALL SELECT 'marks', outcome, count(*) FROM d GROUP BY ALL""")
+
+
+# A classification that reports as it goes.
+def _reported(s: SparkSession, d: str) -> DataFrame:
+    run = Run(s, f"{shared_dir(s)}/classification", 4, "classification")
+    names = [F.col(c) for c in ("sub_name", "company_name", "first_seen", "first_filing", "batch_size", "cross_parent")]
+    kinds = ("Internal Creation", "External Acquisition", "Restructuring", "Joint Venture")
+    run.go(stored(cl.signals(_subs(s, d), _companies(s, d))), ["cik", "sub_norm"], lambda part: part.withColumn("type", infer_type(*names)), {k: F.col("type") == k for k in kinds})
+    ended = run.events().where("event <> 'progress' OR percent = 100").groupBy("event", "processed", "total", "percent", "counts").agg(F.count("*").alias("n"))
+    return ended.select("event", "processed", "total", "percent", "counts").unionByName(run.result().agg(F.lit("result").alias("event"), F.count("*").alias("processed"), F.count("*").alias("total"), F.lit(100).alias("percent"), F.lit("{}").alias("counts")))
+
+
+register("classification_progress", _reported, TYPED + """, c AS (SELECT count(*) AS n, '{' || concat_ws(', ', '"External Acquisition": ' || count(*) FILTER (type = 'External Acquisition'), '"Internal Creation": ' || count(*) FILTER (type = 'Internal Creation'),
+  '"Joint Venture": ' || count(*) FILTER (type = 'Joint Venture'), '"Restructuring": ' || count(*) FILTER (type = 'Restructuring')) || '}' AS counts FROM typed)
+SELECT 'start' AS event, 0::BIGINT AS processed, n AS total, 0 AS percent, '{}' AS counts FROM c UNION ALL SELECT 'progress', n, n, 100, counts FROM c UNION ALL SELECT 'done', n, n, 100, counts FROM c UNION ALL SELECT 'result', n, n, 100, '{}' FROM c""")

@@ -36,13 +36,13 @@ def read_observations(spark: SparkSession, path: str, form: str = "parquet") ->
     if form == "sas7bdat":
         registered(spark)
     if form == "csv":
-        return observations(spark.read.option("header", True).csv(path))
+        return observations(spark.read.option("header", True).option("escape", '"').csv(path))
     return observations(spark.read.format(form).load(path))
 
 
 def _by_header(spark: SparkSession, path: str, ddl: str) -> DataFrame:
     """A CSV file with a header, its columns taken by name; those it lacks are null."""
-    raw = spark.read.option("header", True).csv(path)
+    raw = spark.read.option("header", True).option("escape", '"').csv(path)  # quotes inside fields are doubled
     fields = T.StructType.fromDDL(ddl)
     return raw.select(*((F.col(f"`{f.name}`") if f.name in raw.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in fields))
 

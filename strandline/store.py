@@ -21,3 +21,16 @@ def stored(df: DataFrame) -> DataFrame:
     path = shared_dir(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def there(spark: SparkSession, path: str) -> bool:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+
+
+def forget(*tables: DataFrame) -> None:
+    """Delete the files of :func:`stored` tables that nothing reads any more."""
+    for df in tables:
+        for file in df.inputFiles()[:1]:
+            folder = df.sparkSession._jvm.org.apache.hadoop.fs.Path(file).getParent()
+            folder.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(folder, True)

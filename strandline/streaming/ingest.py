@@ -10,7 +10,7 @@ from strandline.operators.documents import entities
 from strandline.operators.merge import merged_observations
 from strandline.operators.timeline import all_filings, presence, rollup_of, timeline_of
 from strandline.sources.panel import OBSERVATION, observations
-from strandline.store import stored
+from strandline.store import forget, stored
 
 #: Parents are kept in so many partitions by hash unless the panel says otherwise; a batch rewrites those it touches.
 BUCKETS = 64
@@ -60,6 +60,7 @@ def merge_batch(spark: SparkSession, folder: str, new: DataFrame, buckets: int =
     dates = stored(all_filings(kids))
     write(timeline_of(kids, dates), "children")
     write(rollup_of(kids, dates), "companies")
+    forget(kids, dates)
 
 
 def ingest(spark: SparkSession, landing: str, folder: str, checkpoint: str, files: int = 50, every: str | None = None) -> StreamingQuery:
