@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,6 +18,8 @@ from strandline.sources.sas import registered
 from strandline.sources.workbook import read_workbooks, write_workbooks
 from strandline.store import shared_dir, stored
 from strandline.streaming import cache
+from strandline.streaming.ingest import ingest
+from strandline.streaming.landing import land, landed
 
 
 # SAS7BDAT files, written by tasks and read by ranges of pages.
@@ -184,3 +187,43 @@ def _reported(s: SparkSession, d: str) -> DataFrame:
 register("classification_progress", _reported, TYPED + """, c AS (SELECT count(*) AS n, '{' || concat_ws(', ', '"External Acquisition": ' || count(*) FILTER (type = 'External Acquisition'), '"Internal Creation": ' || count(*) FILTER (type = 'Internal Creation'),
   '"Joint Venture": ' || count(*) FILTER (type = 'Joint Venture'), '"Restructuring": ' || count(*) FILTER (type = 'Restructuring')) || '}' AS counts FROM typed)
 SELECT 'start' AS event, 0::BIGINT AS processed, n AS total, 0 AS percent, '{}' AS counts FROM c UNION ALL SELECT 'progress', n, n, 100, counts FROM c UNION ALL SELECT 'done', n, n, 100, counts FROM c UNION ALL SELECT 'result', n, n, 100, '{}' FROM c""")
+
+
+# Filings as a stream: the later half of the parents' files lands first, the run ends, the rest (older filings among it) lands, and the run goes on.
+def _streamed(s: SparkSession, d: str) -> str:
+    folder, obs = shared_dir(s), _obs(s, d).select("cik", "fdate", "comp_name", "sub_name")
+    for test in ("fdate >= '1998-01-01'", "fdate < '1998-01-01'"):
+        obs.where(test).repartition(6, "cik").write.mode("append").parquet(f"{folder}/landing")
+        ingest(s, f"{folder}/landing", f"{folder}/panel", f"{folder}/checkpoint", files=4).awaitTermination()
+    return f"{folder}/panel"
+
+
+register("stream_children", lambda s, d: s.read.parquet(f"{_streamed(s, d)}/children").drop("bucket"), PANEL + "SELECT cik, sub_norm, sub_name, first_seen, last_seen, time_in, time_out, confidence FROM subs")
+register("stream_companies", lambda s, d: s.read.parquet(f"{_streamed(s, d)}/companies").drop("bucket"), PANEL + "SELECT * FROM companies")
+
+
+# Pages by host, landed and read as a stream of 20 hosts a batch; the run breaks off in its second batch and goes on.
+def _landed(s: SparkSession, d: str) -> DataFrame:
+    folder = shared_dir(s)
+    land(_table(s, d, "pages").select(F.split_part("url", F.lit("/"), F.lit(3)).alias("parent"), "page_id", "html"), f"{folder}/landing")
+    broken = []
+
+    def batch(rows: DataFrame, number: int) -> None:
+        if number == 1 and not broken:
+            broken.append(number)
+            raise InterruptedError
+        rows.select("parent", "page_id", F.md5("html").alias("page"), F.lit(number).alias("batch")).write.mode("overwrite").parquet(f"{folder}/out/batch={number}")
+
+    for _ in range(2):
+        query = landed(s, f"{folder}/landing", f"{folder}/checkpoint", 20).writeStream.foreachBatch(batch).option("checkpointLocation", f"{folder}/checkpoint").start()
+        try:
+            query.processAllAvailable()
+        except StreamingQueryException:
+            continue
+        finally:
+            query.stop()
+    return s.read.parquet(f"{folder}/out").select("parent", "page_id", "page", F.col("batch").cast("int").alias("batch"))
+
+
+register("landed_pages", _landed, """WITH p AS (SELECT split_part(url, '/', 3) AS parent, page_id, md5(html) AS page FROM pages), n AS (SELECT parent, row_number() OVER (ORDER BY parent) - 1 AS r FROM (SELECT DISTINCT parent FROM p))
+SELECT parent, page_id, page, CAST(r // 20 AS INTEGER) AS batch FROM p JOIN n USING (parent)""")

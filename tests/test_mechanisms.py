@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 from strandline.operators import fuzzy, maintained, timeline
 from strandline.sources import sas
 from strandline.sources.panel import read_observations
-from strandline.streaming import cache
+from strandline.streaming import cache, landing
 from tests.test_panel import panel
 
 SCHEMA = T.StructType(
@@ -239,3 +239,31 @@ def test_cache_outcomes(spark, tmp_path):
     ]
     tally = {r.key: tuple(r)[1:] for r in cache.tallied(spark.read.parquet(str(tmp_path / "out"))).collect()}
     assert tally == {"a": (1, 3, 2, 1, 13), "b": (0, 1, 1, 0, 1)}
+
+
+def test_landed_pages_go_on_where_they_stopped(spark, tmp_path):
+    pages = spark.createDataFrame([(f"h{k % 23:02}/ü", k, f"<p>{k}</p>") for k in range(100)], "parent string, page_id long, html string")
+    landing.land(pages, str(tmp_path / "in"))
+    seen, fail = [], [2]
+
+    def batch(rows, number):
+        if number in fail:
+            fail.clear()
+            raise InterruptedError
+        seen.append((number, sorted((r.parent, r.page_id, r.html) for r in rows.collect())))
+
+    def run(stop=None):
+        query = landing.landed(spark, str(tmp_path / "in"), str(tmp_path / "c"), 5).writeStream.foreachBatch(batch).option("checkpointLocation", str(tmp_path / "c")).start()
+        try:
+            query.processAllAvailable()
+        finally:
+            query.stop()
+
+    with pytest.raises(Exception, match="InterruptedError"):
+        run()
+    run()
+    run()  # nothing is new
+    landing.land(spark.createDataFrame([("z", 999, "late")], "parent string, page_id long, html string"), str(tmp_path / "in"))
+    run()
+    assert [len({r[0] for r in rows}) for _, rows in seen] == [5, 5, 5, 5, 3, 1] and [n for n, _ in seen] == list(range(6))
+    assert sorted(r for _, rows in seen for r in rows) == sorted([*((r.parent, r.page_id, r.html) for r in pages.collect()), ("z", 999, "late")])
