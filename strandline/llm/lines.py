@@ -36,7 +36,7 @@ import random
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.common import components, maybe_in, tiled, with_maybe, written
+from strandline.llm.common import components, forget, maybe_in, tiled, with_maybe, written
 
 SHINGLE = 7
 SIMILARITY = 0.8
@@ -49,6 +49,9 @@ AGREE = 22
 TILE = 1024
 
 _SHINGLES = r"(?s)(?=(.{%d}))" % SHINGLE
+#: How tables of hashes are written: nothing makes them smaller.
+PLAIN = "uncompressed"
+
 _PLACES = 1 << 31  # positions of a document
 _random = random.Random(3)
 _MASKS = [_random.getrandbits(64) - (1 << 63) for _ in range((ROWS * BANDS + 1) // 2)]
@@ -165,9 +168,11 @@ def others(parts: DataFrame, whole: bool = True, tile: int = TILE) -> DataFrame:
 
 
 def grouped(rows: DataFrame, signatures: DataFrame, similarity: float = SIMILARITY, tile: int = TILE) -> DataFrame:
-    """node, component of the lines that have links."""
-    members = written(filed(signatures))
-    linked = written(components(verified(rows, written(led(members, signatures)), similarity)))
+    """node, component of the lines that have links. ``signatures`` is a written table, deleted when it has been used."""
+    members = written(filed(signatures), PLAIN)
+    pairs = written(led(members, signatures))
+    forget(signatures)
+    linked = written(components(verified(rows, pairs, similarity)))
     for whole in (False, True):
         parts = parted(members, linked)
         if parts.isEmpty():
@@ -230,7 +235,7 @@ def _lines_of(docs: DataFrame) -> DataFrame:
 def _kept(docs: DataFrame, similarity: float) -> DataFrame:
     """doc_id, kept: positions of the lines that stay, of documents that keep some."""
     rows = lines(docs)
-    linked = grouped(rows, written(signed(rows)), similarity)
+    linked = grouped(rows, written(signed(rows), PLAIN), similarity)
     named = rows.select("id", "doc_id", "pos").join(linked, F.col("id") == F.col("node"), "left")
     alone = named.where("component IS NULL").select("doc_id", "pos")
     place = F.expr(f"CAST(doc_id AS DECIMAL(20)) * {_PLACES} + pos")
