@@ -80,7 +80,9 @@ def candidates(queries: DataFrame, names: DataFrame, share: float = SHARE, most:
     """query, k, name: pairs that the index can't rule out."""
     asked = stored(_prepared(queries, share, most))
     known = stored(names.select("name").where("name IS NOT NULL").distinct())
-    index = known.select(F.length("name").alias("n"), "name", F.explode(F.concat(_of_size(F.col("name"), F.lit(1)), _of_size(F.col("name"), F.lit(2)))).alias("gram"))
+    # Single characters only serve queries of at most 2 * most + 1, so names of at most that and their errors.
+    single = F.when(F.length("name") <= 3 * most + 1, _of_size(F.col("name"), F.lit(1))).otherwise(F.array().cast("array<string>"))
+    index = known.select(F.length("name").alias("n"), "name", F.explode(F.concat(single, _of_size(F.col("name"), F.lit(2)))).alias("gram"))
     index = stored(index)
     lookup = asked.where("q > 0").select("query", "k", "q", F.explode(_of_size(F.col("query"), F.col("q"))).alias("gram"))
     # How many names have a gram, for the grams of queries; unknown ones are the rarest.

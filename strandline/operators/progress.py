@@ -1,7 +1,8 @@
 """Long runs that report as they go, can be cancelled, and don't start too soon again.
 
 A run goes over its table in parts, by hash of a key.  Each part is written while Spark
-observes what is counted, so counting costs no further pass; after each part a row says
+observes what is counted, so counting costs no further pass (but a table that isn't kept
+by that key is read once a part, so parts should be few); after each part a row says
 how far the run is.  Parts that are there are not run again, so a run that was cancelled
 or broke off goes on where it stopped.  Runs carry a job tag by which any thread, or any
 program of the session, can cancel them.

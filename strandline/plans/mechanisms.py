@@ -56,9 +56,9 @@ register(
     PANEL + """, q AS (SELECT DISTINCT replace(s_name, 'pp', 'p') || ' Brnd#7 Holdings' AS query FROM supplier), n AS (SELECT DISTINCT sub_name AS name FROM obs)
 SELECT query, name, CAST(levenshtein(query, name) AS INTEGER) AS errors FROM q JOIN n ON levenshtein(query, name) <= least(floor(length(query) * 0.4), 3)""",
 )
-_swapped = F.concat(F.substring("p_name", 1, 1), F.substring("p_name", 3, 1), F.substring("p_name", 2, 1), F.expr("substring(p_name, 4)"))
+_swapped = lambda s, d: _table(s, d, "part").selectExpr("concat(substring(p_name, 1, 1), substring(p_name, 3, 1), substring(p_name, 2, 1), substring(p_name, 4)) AS query")
 register(
-    "fuzzy_part_names", lambda s, d: fuzzy.best(_table(s, d, "part").select(_swapped.alias("query")), _table(s, d, "part").select(F.col("p_name").alias("name")), 5, most=9),
+    "fuzzy_part_names", lambda s, d: fuzzy.best(_swapped(s, d), _table(s, d, "part").select(F.col("p_name").alias("name")), 5, most=9),
     """WITH q AS (SELECT DISTINCT p_name[1] || p_name[3] || p_name[2] || p_name[4:] AS query FROM part), n AS (SELECT DISTINCT p_name AS name FROM part),
 m AS (SELECT query, name, CAST(levenshtein(query, name) AS INTEGER) AS errors FROM q JOIN n ON levenshtein(query, name) <= least(floor(length(query) * 0.4), 9))
 SELECT query, CAST(row_number() OVER (PARTITION BY query ORDER BY errors, name) AS INTEGER) AS rank, name, errors FROM m QUALIFY rank <= 5""",
