@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandline.llm import decontaminate, lines, packing, quality, simhash
-from strandline.llm.common import written
+from strandline.llm.common import small_batches, written
 
 
 def _counted(docs: DataFrame) -> DataFrame:
@@ -26,6 +26,7 @@ def _counted(docs: DataFrame) -> DataFrame:
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that importance resampling draws."""
+    small_batches(spark)
     return quality.keep(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
@@ -36,16 +37,19 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies."""
+    small_batches(spark)
     return simhash.keep_one(docs)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the spans that occur in benchmark items."""
+    small_batches(spark)
     return _counted(decontaminate.remove(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of packed sequences."""
+    small_batches(spark)
     return packing.pack(docs).drop("ids")
 
 

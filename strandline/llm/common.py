@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 LOCAL_CHECKPOINTS = "/tmp/checkpoints/strandline"
 #: Bits of the bitmap of :func:`maybe_in` (2 MB).
 FILTER_BITS = 1 << 24
+#: Rows with whole texts in one batch.
+BATCH_TEXTS = 1_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -25,6 +27,13 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/strandline-{uuid.uuid4().hex}"
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Let whole texts go to Python a few at a time: a batch lives in the executor's and the worker's memory at once, several times over."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_TEXTS:
+        spark.conf.set(name, str(BATCH_TEXTS))
+
+
 def written(df: DataFrame, codec: str = "zstd") -> DataFrame:
     """Cut lineage: write the rows to the shared folder and read them back.
 
