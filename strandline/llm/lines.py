@@ -99,7 +99,7 @@ def signed(rows: DataFrame) -> DataFrame:
     return low.select("id", F.array(*keys).alias("keys"), *(mark.alias(name) for name, mark in zip(MARKS, _marks(), strict=True)))
 
 
-#: Columns of a signature's marks: the last 16 bits of four orders each.
+#: Columns of a signature's marks: the last 16 bits of four orders each, those of a band.
 MARKS = [f"m{k}" for k in range(-(-ROWS * BANDS // 4))]
 
 
@@ -124,10 +124,10 @@ def agreeing(a: list[Column], b: list[Column]) -> Column:
 
 
 def filed(signatures: DataFrame) -> DataFrame:
-    """key, id, lo, hi (the smallest and the largest id of the file), marks: each member of the files of several lines."""
-    each = signatures.select(F.explode("keys").alias("key"), "id", *MARKS)
+    """key, band, id, lo, hi (the smallest and the largest id of the file), marks: each member of the files of several lines."""
+    each = signatures.select(F.posexplode("keys").alias("band", "key"), "id", *MARKS)
     leaders = written(each.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo <> hi"))
-    return maybe_in(each, leaders, "key").join(leaders, "key").select("key", "id", "lo", "hi", *MARKS)
+    return maybe_in(each, leaders, "key").join(leaders, "key").select("key", "band", "id", "lo", "hi", *MARKS)
 
 
 def led(members: DataFrame, signatures: DataFrame) -> DataFrame:
@@ -146,11 +146,11 @@ def candidates(signatures: DataFrame) -> DataFrame:
 
 
 def parted(members: DataFrame, linked: DataFrame) -> DataFrame:
-    """key, id, component, first (the smallest id of the component there), marks: members of files that hold several components besides leaders."""
-    named = members.where("id <> lo AND id <> hi").join(linked, F.col("id") == F.col("node"), "left").select("key", "id", F.coalesce("component", "id").alias("component"), *MARKS)
+    """key, band, id, component, first (the smallest id of the component there), marks: members of files that hold several components besides leaders."""
+    named = members.where("id <> lo AND id <> hi").join(linked, F.col("id") == F.col("node"), "left").select("key", "band", "id", F.coalesce("component", "id").alias("component"), *MARKS)
     still = named.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
     named = written(named.join(still, "key", "left_semi"))
-    return written(named.join(named.groupBy("key", "component").agg(F.min("id").alias("first")), ["key", "component"]).select("key", "id", "component", "first", *MARKS))
+    return written(named.join(named.groupBy("key", "component").agg(F.min("id").alias("first")), ["key", "component"]).select("key", "band", "id", "component", "first", *MARKS))
 
 
 def others(parts: DataFrame, whole: bool = True, tile: int = TILE) -> DataFrame:
@@ -160,7 +160,11 @@ def others(parts: DataFrame, whole: bool = True, tile: int = TILE) -> DataFrame:
     left, right = units.where("side < 2").alias("l"), right.alias("r")
     near = agreeing([F.col(m) for m in MARKS], [F.col(f"{m}2") for m in MARKS]) >= AGREE
     other = F.expr("component <> component2 AND (side = 1 AND side2 = 2 OR side = 0 AND side2 = 0 AND id < id2)")
-    if not whole:
+    if whole:
+        # A band's four orders are one mark, so a pair is taken in the first of the files it shares.
+        for k, mark in enumerate(MARKS[:-1]):
+            other = other & ((F.col("band") <= k) | (F.col(mark) != F.col(f"{mark}2")))
+    else:
         other = other & F.expr("first OR first2")
     # One condition of the join, so that no pair leaves it that won't be verified.
     met = left.join(right, (F.col("l.key") == F.col("r.key")) & (F.col("l.t") == F.col("r.t")) & (F.col("l.u") == F.col("r.u")) & other & near)
