@@ -267,3 +267,13 @@ def test_landed_pages_go_on_where_they_stopped(spark, tmp_path):
     run()
     assert [len({r[0] for r in rows}) for _, rows in seen] == [5, 5, 5, 5, 3, 1] and [n for n, _ in seen] == list(range(6))
     assert sorted(r for _, rows in seen for r in rows) == sorted([*((r.parent, r.page_id, r.html) for r in pages.collect()), ("z", 999, "late")])
+
+
+def test_alike_names_are_not_all_candidates(spark):
+    """Names that differ in few digits share nearly all grams; those that are too far are not compared in Python."""
+    names = [f"Supplier#{k:09} Brand#{b} Holdings" for k in range(0, 400, 2) for b in (7, 17)]
+    asked = [f"Suplier#{k:09} Brnd#7 Holdings" for k in range(0, 400, 8)]
+    frame = lambda rows, c: spark.createDataFrame([(r,) for r in rows], f"{c} string")
+    found = fuzzy.candidates(frame(asked, "query"), frame(names, "name"))
+    got = {(r.query, r.name) for r in found.collect()}
+    assert got == {(q, n) for q in asked for n in names if _distance(q, n) <= 3} and found.count() == len(got)
