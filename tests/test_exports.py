@@ -171,3 +171,25 @@ def test_bottom_sample_of_samples(spark):
     parts = bottom(rows.where("id < 400"), ["k"], 50).unionByName(bottom(rows.where("id >= 400"), ["k"], 50))
     assert {r.id for r in bottom(parts, ["k"], 50).collect()} == whole and len(whole) == 50
     assert "TakeOrderedAndProject" in bottom(rows, ["k"], 50)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_counted_alerts_are_those_listed(spark):
+    rng, at = random.Random(5), lambda n: dt.datetime(2024, 1, 1) + dt.timedelta(minutes=20 * n)
+    requests = spark.createDataFrame([(k, rng.randint(0, 6), str(rng.randint(0, 2)), rng.choice(["add", "remove"]), at(rng.randint(0, 40))) for k in range(200)], "request long, user_id long, cik string, what string, at timestamp_ntz")
+    companies = spark.createDataFrame([("0",), ("1",)], "cik string")
+    watching = watchlist.spans(watchlist.outcomes(requests, companies))
+    filings = spark.createDataFrame([(k, rng.choice("012"), at(rng.randint(-5, 50))) for k in range(90)] + [(90, "0", None)], "filing long, cik string, at timestamp_ntz")
+    listed = watchlist.alerts(filings, watching, 3)
+    assert sorted(map(tuple, listed.collect())) == sorted(map(tuple, watchlist.alerts(filings, watching, 1).collect()))
+    by_filing = {}
+    for r in listed.collect():
+        by_filing.setdefault(int(r.alert_id.split("/")[0]), []).append(r.user_id)
+    counted = watchlist.alert_counts(filings, watching)
+    assert {r.filing: r.alerts for r in counted.collect()} == {k: len(by_filing.get(k, [])) for k in range(91)} and max(map(len, by_filing.values())) > 2
+    marks = [(rng.randint(0, 95), rng.randint(0, 6)) for _ in range(300)]
+    single = spark.createDataFrame(marks, "filing long, user_id long")
+    tried = single.select(watchlist.alert_id(F.col("filing"), F.col("user_id")).alias("alert_id"), "user_id")
+    own = listed.where("cast(split(alert_id, '/')[0] AS long) % 3 = 0").select("alert_id", "user_id")
+    done, judged = watchlist.marked(listed, tried.unionByName(own))
+    want = {("alerts", str(r.read).lower(), r["count"]) for r in done.groupBy("read").count().collect()} | {("marks", r.outcome, r["count"]) for r in judged.groupBy("outcome").count().collect()}
+    assert {tuple(r) for r in watchlist.mark_totals(filings, watching, single, F.col("filing") % 3 == 0).collect()} == want and len(want) == 4
