@@ -11,7 +11,8 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strandline.operators import fuzzy, maintained, timeline
+from strandline.functions import names
+from strandline.operators import features, fuzzy, maintained, timeline
 from strandline.sources import sas
 from strandline.sources.panel import read_observations
 from strandline.streaming import cache, landing
@@ -277,3 +278,30 @@ def test_alike_names_are_not_all_candidates(spark):
     found = fuzzy.candidates(frame(asked, "query"), frame(names, "name"))
     got = {(r.query, r.name) for r in found.collect()}
     assert got == {(q, n) for q in asked for n in names if _distance(q, n) <= 3} and found.count() == len(got)
+
+
+def test_acquirers_meet_names_by_their_whole_start(spark):
+    """Starts whose first letters all names share must not pair with all of them, nor may pieces of names be broadcast."""
+    known = spark.createDataFrame([(f"initech{k:04} soft", "acme") for k in range(300)], "company string, acquirer string")
+    subs = spark.createDataFrame([("1", f"The Initech{k:04} Software initech{k:04} soft") for k in range(0, 600, 2)], "cik string, sub_name string")
+    found = features.labels_from_acquirers(subs, spark.createDataFrame([("1", "Acme Industries")], "cik string, company_name string"), known)
+    assert sorted(r.sub_name for r in found.collect()) == sorted(f"The Initech{k:04} Software initech{k:04} soft" for k in range(0, 300, 2))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in plan and "SortMergeJoin" in plan
+
+
+def test_signals_shuffle_no_children_for_small_sides(spark):
+    from strandline.operators import classify
+    from strandline.store import stored
+
+    subs = stored(spark.createDataFrame([(str(k % 5), f"Brand{k % 3} Inc {k % 7}", "2001-01-01") for k in range(60)], "cik string, sub_name string, first_seen string"))
+    companies = stored(spark.createDataFrame([(str(k), f"P {k}", "2001-01-01") for k in range(5)], "cik string, company_name string, first_filing string"))
+    rows = classify.signals(subs, companies)
+    assert "SortMergeJoin" not in rows._jdf.queryExecution().executedPlan().toString()
+    assert {r.batch_size for r in rows.collect()} == {12} and all(r.cross_parent for r in rows.collect())
+
+
+def test_trimmed_takes_all_white_space(spark):
+    texts = [c + "a" + c + "b" + c for c in map(chr, range(1, 0x3100))]
+    frame = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert frame.where(~names.trimmed(F.col("t")).eqNullSafe(F.regexp_replace("t", r"(?U)^\s+|\s+$", ""))).count() == 0
