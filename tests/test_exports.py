@@ -193,3 +193,10 @@ def test_counted_alerts_are_those_listed(spark):
     done, judged = watchlist.marked(listed, tried.unionByName(own))
     want = {("alerts", str(r.read).lower(), r["count"]) for r in done.groupBy("read").count().collect()} | {("marks", r.outcome, r["count"]) for r in judged.groupBy("outcome").count().collect()}
     assert {tuple(r) for r in watchlist.mark_totals(filings, watching, single, F.col("filing") % 3 == 0).collect()} == want and len(want) == 4
+
+
+def test_registered_exports_have_no_cap(spark):
+    from strandline.plans.queries import QUERIES
+
+    plan = QUERIES["export_rows"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Limit" not in plan
