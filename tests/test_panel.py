@@ -132,3 +132,33 @@ def test_integrity(spark):
     assert checks.where("NOT passed").count() == 0
     assert merge.pass_rate(checks).first().pass_rate == 100
     assert merge.integrity(companies.limit(0), dates, subs).where("NOT passed").count() >= 2
+
+
+def test_a_child_of_the_driver_tables_is_one_row_before_it_is_named(spark):
+    from strandline.sources import panel as source
+
+    kids = source.driver_children(spark, "/root/testdata/sf0.001")
+    assert kids.count() == kids.select("cik", "sub_norm").distinct().count()
+    first = kids.where("size(dates) > 1").first()
+    assert first.dates == sorted(set(first.dates)) and all((d.month, d.day) == (1, 1) for d in first.dates)
+    plan = source.driver_observations(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    # Names are made above the only aggregation and below the list of dates.
+    assert plan.count("Aggregate") == 1 and plan.index("Generate") < plan.index("Joint Venture") < plan.index("Aggregate")
+
+
+def test_children_of_several_rows_are_joined(spark):
+    day = lambda y: dt.date(y, 1, 1)
+    rows = [("1", "a", "A", "P", [day(1999)]), ("1", "a", "a", "O", [day(1950), day(1999)]), ("1", "b", "b", "P", [day(2000)]), ("2", "a", "a", "Q", [day(2001)])]
+    parts = spark.createDataFrame(rows, "cik string, sub_norm string, sub_name string, comp_name string, dates array<date>")
+    got = sorted(map(tuple, timeline.joined(parts).collect()))
+    assert got == [("1", "a", "A", "O", [day(1950), day(1999)]), ("1", "b", "b", "P", [day(2000)]), ("2", "a", "a", "Q", [day(2001)])]
+
+
+def test_only_names_of_several_parents_are_shared(spark):
+    from strandline.operators import classify
+
+    subs = spark.createDataFrame([("1", "Alpha x"), ("2", "Alpha x"), ("1", "Beta y"), ("1", "Beta y"), (None, "Beta y")], "cik string, sub_name string")
+    assert [r.sub_norm for r in classify.cross_parent_names(subs).collect()] == ["alpha x"]
+    assert [r.brand for r in classify.cross_parent_brands(subs).collect()] == ["alpha"]
+    plan = classify.cross_parent_names(subs)._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan
