@@ -305,3 +305,13 @@ def test_trimmed_takes_all_white_space(spark):
     texts = [c + "a" + c + "b" + c for c in map(chr, range(1, 0x3100))]
     frame = spark.createDataFrame([(t,) for t in texts], "t string")
     assert frame.where(~names.trimmed(F.col("t")).eqNullSafe(F.regexp_replace("t", r"(?U)^\s+|\s+$", ""))).count() == 0
+
+
+@pytest.mark.parametrize("rle", [False, True])
+def test_sas_rows_are_encoded_a_slice_at_a_time(tmp_path, monkeypatch, rle):
+    whole = b"".join(sas.encoded(_table(1500), SCHEMA, 4096, rle))
+    cells, seen = sas._cells, []
+    monkeypatch.setattr(sas, "_cells", lambda column, *rest: seen.append(len(column)) or cells(column, *rest))
+    monkeypatch.setattr(sas, "BATCH_ROWS", 100)
+    assert b"".join(sas.encoded(_table(1500), SCHEMA, 4096, rle)) == whole
+    assert max(seen) <= 100 and sum(seen) == 1500 * len(SCHEMA.names)
