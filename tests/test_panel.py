@@ -162,3 +162,11 @@ def test_only_names_of_several_parents_are_shared(spark):
     assert [r.brand for r in classify.cross_parent_brands(subs).collect()] == ["alpha"]
     plan = classify.cross_parent_names(subs)._jdf.queryExecution().executedPlan().toString()
     assert "SortAggregate" not in plan
+
+
+def test_merges_read_the_driver_tables_once(spark):
+    from strandline.plans.catalogue import QUERIES
+
+    for name in ("merge_legacy", "merge_incremental"):
+        files = QUERIES[name](spark, "/root/testdata/sf0.001").inputFiles()
+        assert files and not any("lineitem" in f for f in files)
