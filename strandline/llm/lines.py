@@ -12,7 +12,9 @@ one pair in a thousand of the similarity asked for doesn't) are verified by the
 Jaccard similarity of their character shingles, and verified links go through distributed contraction to components.  Files
 whose members are not one component by then are compared in tiles of ``TILE`` members:
 each member with the first of each other component, which joins stars, then, where
-several components are left, all pairs but those in one component or with a leader.  Of
+several components are left, all pairs but those in one component or with a leader.  There,
+pairs whose sketches differ too much for the similarity don't leave the join: a sketch has the parities of a line's different shingles
+in 1024 places, so two differ in no more places than the sets differ in shingles, and no similar pair is lost.  Of
 each component the first occurrence (by document and position) stays.
 
 At the similarity asked for, a pair shares a file with probability
@@ -145,20 +147,47 @@ def candidates(signatures: DataFrame) -> DataFrame:
     return led(written(filed(signatures)), signatures)
 
 
-def parted(members: DataFrame, linked: DataFrame) -> DataFrame:
-    """key, band, id, component, first (the smallest id of the component there), marks: members of files that hold several components besides leaders."""
+#: Columns of a sketch: parities, 64 to a number.
+PARITIES = [f"s{k}" for k in "abcdefghijklmnop"]
+
+
+def sketched(texts: DataFrame) -> DataFrame:
+    """id, size, parities: how many different shingles a line (id, line) has, and of each place the parity of those that fall there."""
+    sets = texts.select("id", hashes(F.col("line")).alias("set")).select("id", F.size("set").cast("long").alias("size"), F.explode_outer("set").alias("h"))
+    bit = F.expr("shiftleft(1L, CAST(shiftrightunsigned(h, 4) & 63 AS INT))")
+    word = F.expr("h & 15")
+    return sets.groupBy("id").agg(F.max("size").alias("size"), *(F.coalesce(F.bit_xor(F.when(word == k, bit).otherwise(F.lit(0).cast("long"))), F.lit(0)).alias(s) for k, s in enumerate(PARITIES)))
+
+
+def may_be_similar(similarity: float) -> Column:
+    """False only of pairs that surely don't have the similarity, by the sizes and parities of both (the other's columns end in 2)."""
+    share = round(similarity * 1000)
+    n, m = F.col("size"), F.col("size2")
+    differ = F.lit(0)
+    for s in PARITIES:
+        differ = differ + F.bit_count(F.col(s).bitwiseXOR(F.col(f"{s}2")))
+    return (F.least(n, m) * 1000 >= F.greatest(n, m) * share) & (differ * (1000 + share) <= (n + m) * (1000 - share))
+
+
+def parted(rows: DataFrame, members: DataFrame, linked: DataFrame) -> DataFrame:
+    """key, band, id, component, first (the smallest id of the component there), marks, sketch: members of files that hold several components besides leaders."""
     named = members.where("id <> lo AND id <> hi").join(linked, F.col("id") == F.col("node"), "left").select("key", "band", "id", F.coalesce("component", "id").alias("component"), *MARKS)
     still = named.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
-    named = written(named.join(still, "key", "left_semi"))
-    return written(named.join(named.groupBy("key", "component").agg(F.min("id").alias("first")), ["key", "component"]).select("key", "band", "id", "component", "first", *MARKS))
+    named = written(named.join(still, "key", "left_semi"), PLAIN)
+    sketches = written(sketched(_texts(rows, named.select("id").distinct())), PLAIN)
+    firsts = named.groupBy("key", "component").agg(F.min("id").alias("first"))
+    parts = written(named.join(firsts, ["key", "component"]).join(sketches, "id").select("key", "band", "id", "component", "first", *MARKS, "size", *PARITIES), PLAIN)
+    forget(named)
+    forget(sketches)
+    return parts
 
 
-def others(parts: DataFrame, whole: bool = True, tile: int = TILE) -> DataFrame:
-    """a < b: pairs of members of a file that are in two components and agree in enough orders, all of them or those with the first of a component."""
+def others(parts: DataFrame, whole: bool = True, tile: int = TILE, similarity: float = SIMILARITY) -> DataFrame:
+    """a < b: pairs of members of a file that are in two components, may be similar and agree in enough orders, all of them or those with the first of a component."""
     units = written(tiled(parts.withColumn("first", F.col("first") == F.col("id")), tile))
-    right = units.where("side <> 1").select("key", "t", "u", *(F.col(c).alias(f"{c}2") for c in ("side", "id", "component", "first", *MARKS)))
+    right = units.where("side <> 1").select("key", "t", "u", *(F.col(c).alias(f"{c}2") for c in ("side", "id", "component", "first", *MARKS, "size", *PARITIES)))
     left, right = units.where("side < 2").alias("l"), right.alias("r")
-    near = agreeing([F.col(m) for m in MARKS], [F.col(f"{m}2") for m in MARKS]) >= AGREE
+    near = may_be_similar(similarity) & (agreeing([F.col(m) for m in MARKS], [F.col(f"{m}2") for m in MARKS]) >= AGREE)
     other = F.expr("component <> component2 AND (side = 1 AND side2 = 2 OR side = 0 AND side2 = 0 AND id < id2)")
     if whole:
         # A band's four orders are one mark, so a pair is taken in the first of the files it shares.
@@ -178,24 +207,42 @@ def grouped(rows: DataFrame, signatures: DataFrame, similarity: float = SIMILARI
     forget(signatures)
     linked = written(components(verified(rows, pairs, similarity)))
     for whole in (False, True):
-        parts = parted(members, linked)
+        parts = parted(rows, members, linked)
         if parts.isEmpty():
             break
-        more = written(verified(rows, written(others(parts, whole, tile)), similarity))
+        more = verified(rows, written(others(parts, whole, tile, similarity)), similarity)
+        forget(parts)
         if not more.isEmpty():
             linked = written(components(linked.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more)))
+    forget(members)
     return linked
 
 
+def _texts(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """id, line of these ids."""
+    ids = written(ids)
+    return maybe_in(rows.select("id", "line"), ids).join(ids, "id", "left_semi")
+
+
 def verified(rows: DataFrame, pairs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """The pairs whose lines have the exact similarity over all character shingles.
+    """The pairs whose lines have the exact similarity over all character shingles, written.
 
     Neither join side is dealt by hand, so that adaptive execution can split the pairs of a line that leads a large file.
     """
-    ids = written(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
-    texts = written(maybe_in(rows.select("id", "line"), ids).join(ids, "id", "left_semi"))
+    texts = written(_texts(rows, pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()))
     text = lambda c: texts.select(F.col("id").alias(c), F.col("line").alias(f"l{c}"))
-    return pairs.join(text("a"), "a").join(text("b"), "b").where(_similar(F.col("la"), F.col("lb"), similarity)).select("a", "b")
+    found = written(pairs.join(text("a"), "a").join(text("b"), "b").where(_similar(F.col("la"), F.col("lb"), similarity)).select("a", "b"))
+    forget(texts)
+    return found
+
+
+def hashes(line: Column) -> Column:
+    """Of different shingles; where bytes are characters, they are cut as bytes, which takes a fraction of the time."""
+    plain = line.cast("binary")
+    starts = F.when(F.length(line) >= SHINGLE, F.sequence(F.lit(1), F.length(line) - SHINGLE + 1)).otherwise(F.array().cast("array<int>"))
+    cut = F.transform(starts, lambda k: F.xxhash64(F.substring(plain, k, F.lit(SHINGLE))))
+    wide = F.transform(shingles(line), lambda s: F.xxhash64(s.cast("binary")))
+    return F.array_distinct(F.when(F.octet_length(line) == F.length(line), cut).otherwise(wide))
 
 
 def _similar(la: Column, lb: Column, similarity: float) -> Column:
@@ -204,15 +251,6 @@ def _similar(la: Column, lb: Column, similarity: float) -> Column:
     The sets are fields of a struct that a lambda reads, so each is made once; a filter
     over plain columns would repeat their making at every use.
     """
-
-    def hashes(line: Column) -> Column:
-        """Of different shingles; where bytes are characters, they are cut as bytes, which takes a fraction of the time."""
-        plain = line.cast("binary")
-        starts = F.when(F.length(line) >= SHINGLE, F.sequence(F.lit(1), F.length(line) - SHINGLE + 1)).otherwise(F.array().cast("array<int>"))
-        cut = F.transform(starts, lambda k: F.xxhash64(F.substring(plain, k, F.lit(SHINGLE))))
-        wide = F.transform(shingles(line), lambda s: F.xxhash64(s.cast("binary")))
-        return F.array_distinct(F.when(F.octet_length(line) == F.length(line), cut).otherwise(wide))
-
     share = round(similarity * 1000)  # whole numbers, so that the bound itself counts
 
     def test(pair: Column) -> Column:
@@ -237,7 +275,7 @@ def _lines_of(docs: DataFrame) -> DataFrame:
 
 
 def _kept(docs: DataFrame, similarity: float) -> DataFrame:
-    """doc_id, kept: positions of the lines that stay, of documents that keep some."""
+    """doc_id, kept: positions of the lines that stay, of documents that keep some; written."""
     rows = lines(docs)
     linked = grouped(rows, written(signed(rows), PLAIN), similarity)
     named = rows.select("id", "doc_id", "pos").join(linked, F.col("id") == F.col("node"), "left")
@@ -245,7 +283,9 @@ def _kept(docs: DataFrame, similarity: float) -> DataFrame:
     place = F.expr(f"CAST(doc_id AS DECIMAL(20)) * {_PLACES} + pos")
     heads = named.where("component IS NOT NULL").groupBy("component").agg(F.min(place).alias("at"))
     heads = heads.select(F.expr(f"(at - pmod(at, {_PLACES})) DIV {_PLACES}").alias("doc_id"), F.expr(f"CAST(pmod(at, {_PLACES}) AS INT)").alias("pos"))
-    return alone.unionByName(heads).groupBy("doc_id").agg(F.sort_array(F.collect_list("pos")).alias("kept"))
+    kept = written(alone.unionByName(heads).groupBy("doc_id").agg(F.sort_array(F.collect_list("pos")).alias("kept")))
+    forget(rows)
+    return kept
 
 
 def report(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -257,7 +297,7 @@ def report(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
 
 def keep_first(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """The rows of ``docs`` without repeated lines, all columns kept."""
-    kept = written(_kept(docs, similarity))
+    kept = _kept(docs, similarity)
     changed = written(_lines_of(docs).join(kept, "doc_id", "left").where(F.col("n_lines") > F.coalesce(F.size("kept"), F.lit(0))).select("doc_id", "kept"))
     # Documents that surely lose nothing pass by; the others meet their kept positions.
     keyed = with_maybe(docs.withColumn("__id", F.col("doc_id").cast("long")), changed.select(F.col("doc_id").alias("__id")), "__id", "__changed")

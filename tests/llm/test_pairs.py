@@ -193,6 +193,31 @@ def test_line_dedup_joins_a_star_of_variants(spark, n, tile):
     assert {got.get(x) for x in meant} == {got[hub]}
 
 
+def test_line_dedup_meets_only_lines_that_may_be_similar(spark):
+    centre = words(1, 30).split()
+    texts = [" ".join([*centre[: k % 30], words(10_000 + k, 1)[:6], *centre[k % 30 + 1 :]]) for k in range(90)]
+    rows = lines.lines(docs_of(spark, list(enumerate(texts))))
+    sets = {r.id: frozenset(r.line[i : i + lines.SHINGLE] for i in range(len(r.line) - lines.SHINGLE + 1)) for r in rows.collect()}
+    share = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a, b in combinations(sorted(sets), 2)}
+    sketches = common.written(lines.sketched(rows))
+    other = sketches.select(*(F.col(c).alias(f"{c}2") for c in sketches.columns))
+    close = {(r.id, r.id2) for r in sketches.join(other, F.expr("id < id2")).where(lines.may_be_similar(lines.SIMILARITY)).collect()}
+    assert {p for p, s in share.items() if s >= lines.SIMILARITY} <= close
+    below = {p for p, s in share.items() if s < lines.SIMILARITY}
+    assert len(below) > 1000 and len(below & close) < 0.3 * len(below) and min(share[p] for p in close) > 0.75
+    # No component is known yet, so all members of a file meet; of those below the similarity hardly any leaves the join.
+    signatures = common.written(lines.signed(rows))
+    members = common.written(lines.filed(signatures))
+    parts = lines.parted(rows, members, spark.createDataFrame([], "node long, component long"))
+    met = {(r.a, r.b) for r in lines.others(parts).collect()}
+    assert met <= close
+    files = members.where("id <> lo AND id <> hi").groupBy("key").agg(F.collect_set("id").alias("ids")).collect()
+    filed = {tuple(sorted(p)) for r in files for p in combinations(r.ids, 2)}
+    sure = {p for p in filed if share[p] >= 0.83}
+    led = {(r.a, r.b) for r in lines.led(members, signatures).collect()}
+    assert sure and len(sure & (met | led)) >= 0.99 * len(sure)
+
+
 def test_paragraphs_against_brute_force(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     paras, sets = [], {}
