@@ -77,3 +77,17 @@ def test_entry(spark):
     entry = importlib.import_module("__spark_entry__")
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_a_batch_is_dealt_once_and_its_files_are_moved(spark, tmp_path):
+    from strandline.operators import partitions
+
+    obs = driver_observations(spark, SF).where("cik IN ('1', '2', '3')")
+    kids = timeline.presence(obs).withColumn("bucket", partitions.bucket_of(4))
+    plan = partitions.merged(kids.limit(0), kids, partitions.sizes(kids))._jdf.queryExecution().executedPlan().toString()
+    # After rows are dealt by bucket and child, the aggregation needs no exchange of its own.
+    assert plan.index("SortAggregate") < plan.index("Exchange hashpartitioning(bucket") and plan[: plan.index("Exchange hashpartitioning(bucket")].count("Exchange") == 0
+    partitions.write(kids, str(tmp_path / "a"))
+    files = partitions.listed(spark, str(tmp_path), "a")
+    partitions.replace(spark, str(tmp_path / "a"), str(tmp_path / "b"), {b: [f for _, p, f in files if p == b] for _, b, _ in files})
+    assert {(p.parent.name, p.name) for p in (tmp_path / "b").rglob("part-*")} == {(b, f) for _, b, f in files} and not list((tmp_path / "a").rglob("part-*"))
