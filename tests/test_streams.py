@@ -79,6 +79,29 @@ def test_entry(spark):
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
+def test_a_batch_of_filings_that_broke_off_while_it_was_moved_is_finished(spark, tmp_path, monkeypatch):
+    from strandline.operators import partitions
+
+    obs = driver_observations(spark, SF).where("cik IN ('1', '2', '3')").select("cik", "fdate", "comp_name", "sub_name")
+    folder, replace = str(tmp_path / "panel"), partitions.replace
+    ingest.merge_batch(spark, folder, obs.where("fdate >= '1998-01-01'"), buckets=4)
+
+    def broken(session, source, target, files):
+        replace(session, source, target, dict(list(files.items())[:1]))
+        raise OSError("lost")
+
+    monkeypatch.setattr(partitions, "replace", broken)
+    with pytest.raises(OSError, match="lost"):
+        ingest.merge_batch(spark, folder, obs.where("fdate < '1998-01-01'"))
+    monkeypatch.setattr(partitions, "replace", replace)
+    ingest.merge_batch(spark, folder, obs.where("fdate < '1998-01-01'"))
+    want = {tuple(r) for r in timeline.child_timeline(driver_observations(spark, SF).where("cik IN ('1', '2', '3')")).collect()}
+    got = [tuple(r) for r in spark.read.parquet(f"{folder}/children").drop("bucket").collect()]
+    assert len(got) == len(want) and set(got) == want
+    kids = spark.read.parquet(f"{folder}/observations")
+    assert kids.count() == len(want) and kids.where("bucket > 3").count() == 0
+
+
 def test_a_batch_is_dealt_once_and_its_files_are_moved(spark, tmp_path):
     from strandline.operators import partitions
 
