@@ -170,3 +170,12 @@ def test_merges_read_the_driver_tables_once(spark):
     for name in ("merge_legacy", "merge_incremental"):
         files = QUERIES[name](spark, "/root/testdata/sf0.001").inputFiles()
         assert files and not any("lineitem" in f for f in files)
+
+
+def test_legacy_merge_of_children_with_dates_equals_that_of_observations(spark):
+    obs = years(spark, {"A LLC": [2018], "B": [2018, 2019], "C": [2020], "D": [2017, 2020]})
+    cut = "2019-06-01"
+    old, new = obs.where(f"fdate < '{cut}'"), obs.where(f"fdate >= '{cut}'")
+    subs = timeline.bounds(timeline.spans(timeline.presence(old)), timeline.filing_dates(timeline.presence(old)), suffix_rule=False)
+    want = {tuple(r) for r in merge.legacy_merge(timeline.bounds(timeline.spans(old), timeline.filing_dates(old), suffix_rule=False), timeline.filing_dates(old), new).collect()}
+    assert {tuple(r) for r in merge.legacy_merge(subs, timeline.filing_dates(timeline.presence(old)), timeline.presence(new)).collect()} == want and len(want) == 4
