@@ -290,6 +290,15 @@ def test_acquirers_meet_names_by_their_whole_start(spark):
     assert "BroadcastHashJoin" not in plan and "SortMergeJoin" in plan
 
 
+def test_acquirers_label_every_child_that_holds_a_start(spark):
+    """However many children hold the start of a company, and whichever parents come before the acquirer."""
+    known = spark.createDataFrame([("initech", "acme")], "company string, acquirer string")
+    subs = spark.createDataFrame([(str(p), f"Initech {k}") for p in (1, 2, 3) for k in range(9)], "cik string, sub_name string")
+    companies = spark.createDataFrame([("1", "Other"), ("2", "Acme Industries"), ("3", "Acme Labs")], "cik string, company_name string")
+    found = features.labels_from_acquirers(subs, companies, known)
+    assert sorted((r.cik, r.sub_name) for r in found.collect()) == [(p, f"Initech {k}") for p in "23" for k in range(9)]
+
+
 def test_signals_shuffle_no_children_for_small_sides(spark):
     from strandline.operators import classify
     from strandline.store import stored
