@@ -280,6 +280,31 @@ def test_alike_names_are_not_all_candidates(spark):
     assert got == {(q, n) for q in asked for n in names if _distance(q, n) <= 3} and found.count() == len(got)
 
 
+def test_names_of_one_end_meet_by_the_other_half(spark, monkeypatch):
+    """A half that all names and queries share must not pair all of them, and no pair may be lost by it."""
+    monkeypatch.setattr(fuzzy, "FEW", 4)
+    monkeypatch.setattr(fuzzy, "HOT", 64)
+    names = [f"Supplier#{k:09} Brand#7 Holdings" for k in range(0, 6000, 10)]
+    asked = [f"Suplier#{k:09} Brnd#7 Holdings" for k in range(0, 6000, 20)]
+    rows = lambda texts, key: spark.createDataFrame([(i, 0, t, 3, None) for i, t in enumerate(texts)], f"{key} long, bucket long, text string, k int, was string")
+    met = sum(df.count() for df in fuzzy._met(rows(asked, "query_id"), rows(names, "name_id").drop("k")))
+    want = {(q, n, e) for q in asked for n in names if (e := fuzzy.bitap(q, n, 3)) is not None}
+    assert len(want) <= met < 4 * len(want) < len(asked) * len(names) / 6
+    frame = lambda texts, c: spark.createDataFrame([(t,) for t in texts], f"{c} string")
+    assert {tuple(r) for r in fuzzy.matches(frame(asked, "query"), frame(names, "name")).collect()} == want
+
+
+def test_search_is_whole_where_every_key_is_hot(spark, monkeypatch):
+    monkeypatch.setattr(fuzzy, "FEW", 1)
+    monkeypatch.setattr(fuzzy, "HOT", 2)
+    rng = random.Random(8)
+    names = sorted({"".join(rng.choice("ab ") for _ in range(rng.randint(4, 16))) for _ in range(120)})
+    asked = rng.sample(names, 30) + ["bbbbbbbbb", "a b a b a b a b"]
+    frame = lambda texts, c: spark.createDataFrame([(t,) for t in texts], f"{c} string")
+    got = {tuple(r) for r in fuzzy.matches(frame(asked, "query"), frame(names, "name")).collect()}
+    assert got == {(q, n, _distance(q, n)) for q in asked for n in names if _distance(q, n) <= min(int(len(q) * 0.4), 3)}
+
+
 def test_acquirers_meet_names_by_their_whole_start(spark):
     """Starts whose first letters all names share must not pair with all of them, nor may pieces of names be broadcast."""
     known = spark.createDataFrame([(f"initech{k:04} soft", "acme") for k in range(300)], "company string, acquirer string")
