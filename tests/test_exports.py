@@ -98,6 +98,27 @@ def test_watch_outcomes_and_alerts(spark, tmp_path):
     assert {r.alert_id: r.outcome for r in marks.collect()} == {"22/u": "read", "22/v": "not found", "99/u": "not found"}
 
 
+def test_noted_alerts_are_those_written(spark, tmp_path):
+    """Listed as they are read, alerts take no disk; filings that come again, also to a stream with other spans, add nothing."""
+    at = lambda n: dt.datetime(2024, 1, 1) + dt.timedelta(hours=n)
+    rng = random.Random(3)
+    rows = [(k, rng.choice("ab"), at(rng.randint(0, 90))) for k in range(60)]
+    for part in range(2):
+        spark.createDataFrame(rows[part * 20 :], "filing long, cik string, at timestamp_ntz").write.parquet(str(tmp_path / f"in{part}"))
+    spans = [[(u, rng.choice("ab"), at(s := rng.randint(0, 60)), rng.choice([None, at(s + 20)])) for u in range(12)] for _ in range(2)]
+    kept = {}
+    for listed in (True, False):
+        folder = str(tmp_path / f"alerts{listed}")
+        for run, part in enumerate((1, 0)):
+            stream = spark.readStream.schema("filing long, cik string, at timestamp_ntz").parquet(str(tmp_path / f"in{part}"))
+            watching = spark.createDataFrame(spans[run], "user_id long, cik string, since timestamp_ntz, until timestamp_ntz")
+            watchlist.alert_stream(stream, watching, folder, f"{folder}-c{run}", listed).awaitTermination()
+        frame = spark.read.parquet(folder).drop("batch") if listed else watchlist.noted_alerts(spark, folder, day=F.dayofmonth("at")).where("day = day(at)").drop("day")
+        kept[listed] = sorted(map(tuple, frame.select("alert_id", "user_id", "cik", "at", "read").collect()))
+    assert kept[True] == kept[False] and len(kept[True]) > 100
+    assert not list((tmp_path / "alertsFalse").glob("batch=*"))
+
+
 def test_a_run_reports_and_goes_on_where_it_stopped(spark, tmp_path):
     rows = spark.range(1000)
     run = Run(spark, str(tmp_path / "run"), 4)
