@@ -153,7 +153,7 @@ PARITIES = [f"s{k}" for k in "abcdefghijklmnop"]
 
 def sketched(texts: DataFrame) -> DataFrame:
     """id, size, parities: how many different shingles a line (id, line) has, and of each place the parity of those that fall there."""
-    sets = texts.select("id", hashes(F.col("line")).alias("set")).select("id", F.size("set").cast("long").alias("size"), F.explode_outer("set").alias("h"))
+    sets = texts.select("id", F.array_distinct(hashes(F.col("line"))).alias("set")).select("id", F.size("set").cast("long").alias("size"), F.explode_outer("set").alias("h"))
     bit = F.expr("shiftleft(1L, CAST(shiftrightunsigned(h, 4) & 63 AS INT))")
     word = F.expr("h & 15")
     return sets.groupBy("id").agg(F.max("size").alias("size"), *(F.coalesce(F.bit_xor(F.when(word == k, bit).otherwise(F.lit(0).cast("long"))), F.lit(0)).alias(s) for k, s in enumerate(PARITIES)))
@@ -169,16 +169,20 @@ def may_be_similar(similarity: float) -> Column:
     return (F.least(n, m) * 1000 >= F.greatest(n, m) * share) & (differ * (1000 + share) <= (n + m) * (1000 - share))
 
 
-def parted(rows: DataFrame, members: DataFrame, linked: DataFrame) -> DataFrame:
-    """key, band, id, component, first (the smallest id of the component there), marks, sketch: members of files that hold several components besides leaders."""
+def parted(rows: DataFrame, members: DataFrame, linked: DataFrame, sketches: list[DataFrame] | None = None) -> DataFrame:
+    """key, band, id, component, first (the smallest id of the component there), marks, sketch: members of files that hold several components besides leaders.
+
+    ``sketches`` keeps the table of sketches from one call to the next: with more links fewer files hold several components, so its lines are enough.
+    """
+    sketches = [] if sketches is None else sketches
     named = members.where("id <> lo AND id <> hi").join(linked, F.col("id") == F.col("node"), "left").select("key", "band", "id", F.coalesce("component", "id").alias("component"), *MARKS)
     still = named.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
     named = written(named.join(still, "key", "left_semi"), PLAIN)
-    sketches = written(sketched(_texts(rows, named.select("id").distinct())), PLAIN)
+    if not sketches:
+        sketches.append(written(sketched(_texts(rows, named.select("id").distinct())), PLAIN))
     firsts = named.groupBy("key", "component").agg(F.min("id").alias("first"))
-    parts = written(named.join(firsts, ["key", "component"]).join(sketches, "id").select("key", "band", "id", "component", "first", *MARKS, "size", *PARITIES), PLAIN)
+    parts = written(named.join(firsts, ["key", "component"]).join(sketches[0], "id").select("key", "band", "id", "component", "first", *MARKS, "size", *PARITIES), PLAIN)
     forget(named)
-    forget(sketches)
     return parts
 
 
@@ -206,15 +210,17 @@ def grouped(rows: DataFrame, signatures: DataFrame, similarity: float = SIMILARI
     pairs = written(led(members, signatures))
     forget(signatures)
     linked = written(components(verified(rows, pairs, similarity)))
+    sketches: list[DataFrame] = []
     for whole in (False, True):
-        parts = parted(rows, members, linked)
+        parts = parted(rows, members, linked, sketches)
         if parts.isEmpty():
             break
         more = verified(rows, written(others(parts, whole, tile, similarity)), similarity)
         forget(parts)
         if not more.isEmpty():
             linked = written(components(linked.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more)))
-    forget(members)
+    for done in (members, *sketches):
+        forget(done)
     return linked
 
 
@@ -237,26 +243,25 @@ def verified(rows: DataFrame, pairs: DataFrame, similarity: float = SIMILARITY)
 
 
 def hashes(line: Column) -> Column:
-    """Of different shingles; where bytes are characters, they are cut as bytes, which takes a fraction of the time."""
+    """Of all shingles, repeats included; where bytes are characters, they are cut as bytes, which takes a fraction of the time."""
     plain = line.cast("binary")
     starts = F.when(F.length(line) >= SHINGLE, F.sequence(F.lit(1), F.length(line) - SHINGLE + 1)).otherwise(F.array().cast("array<int>"))
     cut = F.transform(starts, lambda k: F.xxhash64(F.substring(plain, k, F.lit(SHINGLE))))
     wide = F.transform(shingles(line), lambda s: F.xxhash64(s.cast("binary")))
-    return F.array_distinct(F.when(F.octet_length(line) == F.length(line), cut).otherwise(wide))
+    return F.when(F.octet_length(line) == F.length(line), cut).otherwise(wide)
 
 
 def _similar(la: Column, lb: Column, similarity: float) -> Column:
     """Whether two lines have the similarity.
 
-    The sets are fields of a struct that a lambda reads, so each is made once; a filter
-    over plain columns would repeat their making at every use.
+    The shingles are fields of a struct that a lambda reads, so each are made once; a filter
+    over plain columns would repeat their making at every use. Intersection and union drop repeats themselves.
     """
     share = round(similarity * 1000)  # whole numbers, so that the bound itself counts
 
     def test(pair: Column) -> Column:
-        n, m = F.size(pair["a"]).cast("long"), F.size(pair["b"]).cast("long")
-        common = F.size(F.array_intersect(pair["a"], pair["b"]))
-        return (F.least(n, m) * 1000 >= share * F.greatest(n, m)) & (common * (1000 + share) >= share * (n + m))
+        common, all_of = (F.size(f(pair["a"], pair["b"])).cast("long") for f in (F.array_intersect, F.array_union))
+        return common * 1000 >= share * all_of
 
     return F.get(F.transform(F.array(F.struct(hashes(la).alias("a"), hashes(lb).alias("b"))), test), F.lit(0))
 

@@ -218,6 +218,28 @@ def test_line_dedup_meets_only_lines_that_may_be_similar(spark):
     assert sure and len(sure & (met | led)) >= 0.99 * len(sure)
 
 
+def test_line_dedup_sketches_a_line_once(spark, monkeypatch):
+    """Both comparisons of files of several components read one table of sketches, and all that is kept is deleted."""
+    centre = words(1, 30).split()
+    texts = [" ".join([*centre[: k % 30], words(10_000 + k, 1)[:6], *centre[k % 30 + 1 :]]) for k in range(90)]
+    rows = lines.lines(docs_of(spark, list(enumerate(texts))))
+    made, calls, sketched, parted = [], [], lines.sketched, lines.parted
+    monkeypatch.setattr(lines, "sketched", lambda texts: made.append(1) or sketched(texts))
+    monkeypatch.setattr(lines, "parted", lambda *a: calls.append(parted(*a)) or calls[-1])
+    # Nothing is linked by the first comparison, so that the second one meets the same lines.
+    monkeypatch.setattr(lines, "verified", lambda rows, pairs, similarity: common.written(pairs.limit(0)))
+    lines.grouped(rows, common.written(lines.signed(rows)))
+    assert len(calls) == 2 and len(made) == 1
+
+
+def test_line_similarity_counts_different_shingles(spark):
+    pairs = [("abcdefg" * 9, "abcdefg" * 9 + "x"), ("ab" * 40, "ab" * 9 + "a"), ("größe " * 8, "größe " * 7), ("short", "short"), ("a" * 40, "b" * 40), (words(5, 20), words(5, 19))]
+    sets = lambda t: {t[i : i + lines.SHINGLE] for i in range(len(t) - lines.SHINGLE + 1)}
+    want = [1000 * len(sets(a) & sets(b)) >= 800 * len(sets(a) | sets(b)) for a, b in pairs]
+    got = spark.createDataFrame(pairs, "a string, b string").select(lines._similar(F.col("a"), F.col("b"), 0.8).alias("s")).collect()
+    assert [r.s for r in got] == want
+
+
 def test_paragraphs_against_brute_force(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     paras, sets = [], {}
