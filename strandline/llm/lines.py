@@ -12,7 +12,7 @@ one pair in a thousand of the similarity asked for doesn't) are verified by the
 Jaccard similarity of their character shingles, and verified links go through distributed contraction to components.  Files
 whose members are not one component by then are compared in tiles of ``TILE`` members:
 each member with the first of each other component, which joins stars, then, where
-several components are left, all pairs but those in one component or with a leader.  There,
+several components are left, all pairs but those in one component, with a leader or with such a first.  There,
 pairs whose sketches differ too much for the similarity don't leave the join: a sketch has the parities of a line's different shingles
 in 1024 places, so two differ in no more places than the sets differ in shingles, and no similar pair is lost.  Of
 each component the first occurrence (by document and position) stays.
@@ -172,15 +172,19 @@ def may_be_similar(similarity: float) -> Column:
 def parted(rows: DataFrame, members: DataFrame, linked: DataFrame, sketches: list[DataFrame] | None = None) -> DataFrame:
     """key, band, id, component, first (the smallest id of the component there), marks, sketch: members of files that hold several components besides leaders.
 
-    ``sketches`` keeps the table of sketches from one call to the next: with more links fewer files hold several components, so its lines are enough.
+    ``sketches`` keeps the tables of sketches and of firsts from one call to the next: with more links fewer files hold several components, so
+    its lines are enough, and who was a component's first there has been compared with all the others.
     """
     sketches = [] if sketches is None else sketches
-    named = members.where("id <> lo AND id <> hi").join(linked, F.col("id") == F.col("node"), "left").select("key", "band", "id", F.coalesce("component", "id").alias("component"), *MARKS)
+    members = members.where("id <> lo AND id <> hi")
+    if sketches:
+        members = members.join(sketches[1], ["key", "id"], "left_anti")
+    named = members.join(linked, F.col("id") == F.col("node"), "left").select("key", "band", "id", F.coalesce("component", "id").alias("component"), *MARKS)
     still = named.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
     named = written(named.join(still, "key", "left_semi"), PLAIN)
-    if not sketches:
-        sketches.append(written(sketched(_texts(rows, named.select("id").distinct())), PLAIN))
     firsts = named.groupBy("key", "component").agg(F.min("id").alias("first"))
+    if not sketches:
+        sketches += written(sketched(_texts(rows, named.select("id").distinct())), PLAIN), written(firsts.select("key", F.col("first").alias("id")))
     parts = written(named.join(firsts, ["key", "component"]).join(sketches[0], "id").select("key", "band", "id", "component", "first", *MARKS, "size", *PARITIES), PLAIN)
     forget(named)
     return parts
